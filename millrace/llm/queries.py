@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, html_extract, packing, quality, sharding, url_filter, warc
+from millrace.llm import chat, decontam, html_extract, ngram_join, packing, pii, quality, sharding, url_filter, warc
 
 TOKENIZER, EOS = "word_bpe_49k.json", 2
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -41,6 +41,20 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def _of_kind(kind: str) -> Callable:
+    return lambda x: x["kind"] == kind
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    joined = lambda own: F.array_join(F.transform(own, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda x: x["kind"].isin(*pii.BASE_KINDS))
+    counts = [F.size(F.filter("spans", _of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article of every page."""
     return html_extract.extract(_table(spark, sf_dir, "pages"))
@@ -62,6 +76,16 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of links between sets of 4-word shingles."""
+    return ngram_join.cluster(_table(spark, sf_dir, "documents"), ngram_join.Settings(words=4, percent=85))
+
+
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds."""
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, read back from the WARC files made of ARC files."""
     records = warc.archive(_table(spark, sf_dir, "pages"))
@@ -81,7 +105,8 @@ select page_id, payload_bytes,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_url_filter, op5_html_extract, op6_sharding, op7_chat, op10_warc)}
+    every = (op1_packing, op2_quality, op3_url_filter, op4_pii, op5_html_extract, op6_sharding, op7_chat, op8_ngram_join, op9_decontam, op10_warc)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
