@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]"
+BLANKS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 # How a kept line may end, and what marks navigation and boilerplate.
 LINE_END = r"[.!?…;:,。！？\"'”»)\]%*#&$\p{L}\p{N}]"
 NAVIGATION = r"(?i)^[\x20\x09]*(home|menu|next|previous|prev|back|top|search|login|log in|sign in|sign up|register|share|tweet|print|read more|more|skip to content|contact us|about us|sitemap)[\x20\x09]*[>»|:.]*[\x20\x09]*$"
 LINK_ROW = r"^[^.!?]*([|»>·•][^|»>·•]*){3,}$"
+PHRASES = "all rights reserved, cookie policy, privacy policy, terms of use, terms of service, lorem ipsum, javascript, enable cookies, click here, subscribe to, ©, licensed under, this work is licensed".split(", ")
 BOILERPLATE = r"(?i)(all rights reserved|cookie policy|privacy policy|terms of (use|service)|lorem ipsum|javascript|enable cookies|click here|subscribe to|©|licensed under|this work is licensed)"
 
 
@@ -30,25 +33,25 @@ class Rules:
 
 def words_of(text: Column) -> Column:
     """The words of a text; none for null or blank."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{SPACE}+", -1))
 
 
-def line_fails(line: Column, rules: Rules) -> Column:
-    """Whether a line with a word breaks a punctuation, navigation or boilerplate rule."""
-    bare = F.regexp_replace(line, f"^{SPACE}+|{SPACE}+$", "")
-    words = F.size(F.split(bare, f"{SPACE}+", -1))
+def line_fails(line: Column, suspect: Column, rules: Rules) -> Column:
+    """Whether a line with a word breaks a punctuation, navigation or boilerplate rule. Each costly test stands behind a
+    cheap one that it implies; suspect tells that the text holds a boilerplate phrase."""
+    bare = F.btrim(line, F.lit(BLANKS))
     marked = F.size(F.filter(F.split(bare, f"{SPACE}+", -1), lambda w: w.rlike(r"[#*$%&|<>!]{2,}$|^[#*$%&|<>]+$")))
-    letters = F.length(F.regexp_replace(bare, r"[^\p{L}]", ""))
-    upper = F.length(F.regexp_replace(bare, r"[^\p{Lu}]", ""))
+    letters = F.length(F.regexp_replace(bare, r"[^\p{L}]+", ""))
+    upper = F.length(F.regexp_replace(bare, r"[^\p{Lu}]+", ""))
     return (
-        (F.length(F.regexp_replace(bare, r"[^\p{L}\p{N}]", "")) == 0)
-        | ~F.substring(bare, -1, 1).rlike(LINE_END)
-        | (marked > rules.max_symbol_words * words)
-        | ((letters > 20) & (upper > rules.max_upper * letters))
+        ~bare.rlike(r"[\p{L}\p{N}]")
+        | ~F.right(bare, F.lit(1)).rlike(LINE_END)
+        | (bare.rlike(r"[#*$%&|<>!]") & (marked > rules.max_symbol_words * F.size(F.split(bare, f"{SPACE}+", -1))))
+        | (bare.rlike(r"\p{Lu}\P{L}*\p{Lu}") & (letters > 20) & (upper > rules.max_upper * letters))
         | bare.rlike(NAVIGATION)
-        | bare.rlike(LINK_ROW)
-        | bare.rlike(BOILERPLATE)
+        | (bare.rlike("[|»>·•]") & bare.rlike(LINK_ROW))
+        | (suspect & bare.rlike(BOILERPLATE))
     )
 
 
@@ -64,13 +67,15 @@ def assess(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataF
     """
     own = [F.col(f"`{c}`") for c in docs.columns if c != "quality" and not c.startswith("_q_")]
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    step = docs.select(*own, words_of(t).alias("_q_words"), F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)).alias("_q_lines"))
+    low = F.lower(t)
+    suspect = functools.reduce(lambda x, y: x | y, [F.contains(low, F.lit(p)) for p in PHRASES])
+    step = docs.select(*own, words_of(t).alias("_q_words"), F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)).alias("_q_lines"), suspect.alias("_q_suspect"))
     step = step.select(
         "*",
         F.when(F.size("_q_words") < 3, F.array().cast("array<bigint>"))
         .otherwise(F.transform(F.sequence(F.lit(0), F.size("_q_words") - 3), lambda i: F.xxhash64(F.get("_q_words", i), F.get("_q_words", i + 1), F.get("_q_words", i + 2))))
         .alias("_q_three"),
-        F.filter("_q_lines", lambda x: ~line_fails(x, rules)).alias("_q_good"),
+        F.filter("_q_lines", lambda x: ~line_fails(x, F.col("_q_suspect"), rules)).alias("_q_good"),
     )
     # Sorted windows with their places only where some window occurs twice.
     step = step.select("*", F.when(F.size(F.array_distinct("_q_three")) == F.size("_q_three"), F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(F.sort_array(F.transform("_q_three", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("_q_sorted"))
@@ -81,8 +86,8 @@ def assess(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataF
     step = step.select("*", F.size(words_of(F.col("_q_clean"))).cast("long").alias("_q_kept"), ((F.col("_q_n") < rules.min_words) | (F.col("_q_repeat") * 100 > F.col("_q_n") * int(100 * rules.max_repeat))).alias("_q_failed"))
     found = F.struct(
         F.col("_q_n").alias("n_words"),
-        F.length(F.regexp_replace(t, SPACE + "+", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_q_words", "")).cast("long").alias("word_chars"),
+        F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("n_dup_lines"),
         F.col("_q_repeat").alias("n_repeat_words"),
         F.col("_q_failed").alias("base_failed"),
