@@ -1 +1,285 @@
-"""Registered queries."""
+"""Registered queries: scans and sinks, sampling and mixing, rewards and pairs, leakage, model sizes, arrays."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import sizes
+from millrace.operators import convert, leakage, reward, sampling
+from millrace.plans.catalogue import register, table
+from millrace.sources import files, interactions
+from millrace.sources.scratch import scratch
+from millrace.streaming.reactions import reaction_windows
+
+SHARES = {"conversations": 0.55, "documents": 0.20, "pages": 0.25}
+
+
+# --- scans and sinks ---------------------------------------------------------------------------------------------------
+
+
+@register("scan_limit", "select conv_id, turn, role, text from conversations order by conv_id, turn limit 100")
+def scan_limit(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").orderBy("conv_id", "turn").limit(100)
+
+
+@register("parquet_limit", "select doc_id, lang, source, n_chars from documents order by doc_id limit 50")
+def parquet_limit(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars").orderBy("doc_id").limit(50)
+
+
+@register("scan_jsonl", "select conv_id, turn, role, text from conversations")
+def scan_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "jsonl")
+    files.write_jsonl(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), path)
+    return files.read_jsonl(spark, path, "conv_id long, turn long, role string, text string")
+
+
+@register("sink_jsonl", """select '{"conv_id":' || conv_id || ',"turn":' || turn || ',"role":' || to_json(role) || '}' as line from conversations""")
+def sink_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "sink")
+    files.write_jsonl(table(spark, sf, "conversations").select("conv_id", "turn", "role"), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def _crawl(spark: SparkSession, sf: str) -> DataFrame:
+    """conversations as a crawl of one folder a role, the system's with a malformed line in each file."""
+    path = scratch(spark, "crawl")
+    rows = table(spark, sf, "conversations")
+    line = F.to_json(F.struct("conv_id", "turn"))
+    bad = rows.filter("role = 'system'").select("role", F.lit("{broken").alias("value"))
+    good = rows.select("role", line.alias("value")).unionByName(bad)
+    good.repartition("role").write.partitionBy("role").text(path)
+    return files.tolerant_rows(spark, path, "*.txt").withColumn("role", F.regexp_extract("file", "role=([^/]*)/", 1))
+
+
+@register("tolerant_scan", "select role, conv_id, turn from conversations where role <> 'system'")
+def tolerant_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return _crawl(spark, sf).select("role", F.get_json_object("raw", "$.conv_id").cast("long").alias("conv_id"), F.get_json_object("raw", "$.turn").cast("long").alias("turn"))
+
+
+@register("usable_files", "select role, count(*) as examples from conversations where role <> 'system' group by role having count(*) >= 50")
+def usable_files(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _crawl(spark, sf).withColumn("file", F.col("role"))
+    return files.usable_files(rows, F.get_json_object("raw", "$.turn").isNotNull()).withColumnRenamed("file", "role")
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    """events as an interaction log: a user's day is the situation."""
+    emotion = {"purchase": "happy", "signup": "surprise", "view": "neutral", "click": "unknown", "error": "angry"}
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in emotion.items() for x in pair]), F.col("event_type"))
+    signs = [F.lit(False).alias(s) if s != "left_frame" else (F.col("event_type") == "error").alias(s) for s in interactions.SIGNS]
+    reaction = F.struct(F.lit("neutral").alias("emotion_before"), kind.alias("emotion_after"), *signs, F.col("value").alias("engagement_seconds"))
+    return table(spark, sf, "events").select(F.concat_ws("|", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("situation_key"), F.col("event_id").alias("pos"), "event_type", "user_id", "ts", reaction.alias("reaction"))
+
+
+_EVENTS = """
+with scored as (select user_id || '|' || strftime(ts, '%Y-%m-%d') as situation_key, event_id as pos, event_type,
+  (1.0::double * (case event_type when 'purchase' then 1.0::double when 'signup' then 0.2::double when 'error' then -1.0::double else 0.0::double end - 0.0::double)
+   + 0.05::double * value) + case when event_type = 'error' then -1.2::double else 0.0::double end as reward from events)
+"""
+
+
+@register("interaction_log", "select user_id || '|' || strftime(ts, '%Y-%m-%d') as situation_key, case event_type when 'purchase' then 'happy' when 'signup' then 'surprise' when 'view' then 'neutral' when 'error' then 'angry' else 'unknown' end as emotion_after, event_type = 'error' as left_frame, false as turned_away, value as engagement_seconds from events")
+def interaction_log(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "log")
+    r = F.col("reaction")
+    written = F.struct(r["emotion_after"].alias("emotion_after"), F.when(r["left_frame"], F.lit(True)).alias("left_frame"), r["engagement_seconds"].alias("engagement_seconds"))
+    files.write_jsonl(_events(spark, sf).select("situation_key", written.alias("reaction")), path)
+    log = interactions.read_log(spark, path)
+    return log.select("situation_key", *[F.col(f"reaction.{c}").alias(c) for c in ("emotion_after", "left_frame", "turned_away", "engagement_seconds")])
+
+
+@register("sft_input", "select doc_id, text, lang from documents")
+def sft_input(spark: SparkSession, sf: str) -> DataFrame:
+    return files.sft_input(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
+
+
+@register("heldout_set", "select conv_id, count(*) as messages from conversations group by conv_id order by conv_id limit 40 offset 20")
+def heldout_set(spark: SparkSession, sf: str) -> DataFrame:
+    made = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("messages"))
+    return files.ordered_slice(made, "conv_id", 20, 60)
+
+
+@register("repeat_passes", "select pass, conv_id, turn from (select unnest(range(3)) as pass, conv_id, turn from conversations) order by pass, conv_id, turn limit (select (count(*) * 5 // 2) from conversations)")
+def repeat_passes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn")
+    return files.repeat_passes(rows, 3, ["conv_id", "turn"], rows.count() * 5 // 2).select(F.col("pass").cast("long"), "conv_id", "turn")
+
+
+@register("split_stats", "select count(*) as examples, sum(case when trim(coalesce(text, '')) = '' then 1 else 0 end)::bigint as empty_text from documents")
+def split_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return files.split_stats(table(spark, sf, "documents"), "text")
+
+
+@register("inspect", """select '{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}' as preview from documents order by doc_id limit 5""")
+def inspect(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").select("source", "n_chars", "doc_id", "lang")
+    return files.inspect(rows, "doc_id")
+
+
+# --- sampling and mixing -----------------------------------------------------------------------------------------------
+
+_GOLD = "case when quality = 1 then 'ACT' else 'WAIT' end"
+
+
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "ACT").otherwise("WAIT").alias("decision"))
+
+
+@register("downsample_balance", f"with c as (select doc_id, {_GOLD} as decision from labels), n as (select min(n) as q from (select count(*) as n from c group by decision)), r as (select *, row_number() over (partition by decision order by md5('42:balance:' || doc_id), doc_id) as k from c) select doc_id, decision from r, n where k <= q")
+def downsample_balance(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.downsample_to_balance(_labelled(spark, sf), "decision", F.col("doc_id"))
+
+
+@register("balanced_count", f"select (case when count(*) > 1 then min(n) * count(*) else sum(n) end)::bigint as balanced from (select {_GOLD} as decision, count(*) as n from labels group by 1)")
+def balanced_count(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.balanced_count(_labelled(spark, sf).groupBy("decision").agg(F.count("*").alias("n")), "decision", "n")
+
+
+def _tagged(spark: SparkSession, sf: str) -> DataFrame:
+    ids = {"conversations": F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")), "documents": F.col("doc_id").cast("string"), "pages": F.col("page_id").cast("string")}
+    parts = [table(spark, sf, name).select(F.lit(name).alias("source"), F.concat(F.lit(name[0]), ids[name]).alias("id")) for name in SHARES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_TAGGED = "(select 'conversations' as source, 'c' || conv_id || ':' || turn as id from conversations union all select 'documents', 'd' || doc_id from documents union all select 'pages', 'p' || page_id from pages)"
+_SOURCES = "(select 0 as ord, 'conversations' as name, 0.55::double as proportion, (select count(*) from conversations) as n union all select 1, 'documents', 0.2::double, (select count(*) from documents) union all select 2, 'pages', 0.25::double, (select count(*) from pages))"
+
+
+def _sources(spark: SparkSession, sf: str, extra: list[tuple[int, str, float]] = ()) -> DataFrame:
+    listed = spark.createDataFrame([(k, n, p) for k, (n, p) in enumerate(SHARES.items())] + list(extra), "ord int, name string, proportion double")
+    counts = _tagged(spark, sf).groupBy("source").agg(F.count("*").alias("n"))
+    return listed.join(counts, listed["name"] == counts["source"], "left").select("ord", "name", "proportion", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@register("union_sources", f"select source, id from {_TAGGED}")
+def union_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return _tagged(spark, sf)
+
+
+@register("mix_ceiling", f"select arg_min(floor(n / proportion)::bigint, (floor(n / proportion), ord)) as max_total, arg_min(name, (floor(n / proportion), ord)) as limiting from {_SOURCES}")
+def mix_ceiling(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.mix_ceiling(_sources(spark, sf))
+
+
+@register("renormalize", "select name, (proportion / 0.8::double) as proportion, n from (select 'conversations' as name, 0.55::double as proportion, (select count(*) from conversations) as n union all select 'pages', 0.25::double, (select count(*) from pages))")
+def renormalize(spark: SparkSession, sf: str) -> DataFrame:
+    sources = _sources(spark, sf).withColumn("n", F.when(F.col("name") == "documents", F.lit(0)).otherwise(F.col("n")))
+    return sampling.renormalize(sources).select("name", "proportion", "n")
+
+
+_PLAN = f"(select *, least(round_even(total * proportion, 0)::bigint, n) as taken, round_even(total * proportion, 0)::bigint as wanted from {_SOURCES}, (select min(floor(n / proportion))::bigint as total from {_SOURCES}))"
+
+
+@register("mix_report", f"select name, n, wanted, taken, wanted - taken as shortfall, total from {_PLAN}")
+def mix_report(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.mix_plan(_sources(spark, sf), None).select("name", "n", "wanted", "taken", "shortfall", "total")
+
+
+@register("build_mix", f"select source, id from (select t.*, taken, row_number() over (partition by source order by md5('42:mix:' || id), id) as k from {_TAGGED} t join {_PLAN} p on t.source = p.name) where k <= taken")
+def build_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.build_mix(_tagged(spark, sf), SHARES, F.col("id"))
+
+
+_SPLIT = "(select doc_id, case when row_number() over (order by md5('42:split:' || doc_id), doc_id::varchar) <= greatest(1, floor((select count(*) from documents) * 0.05::double)) then 'val' else 'train' end as part from documents)"
+
+
+@register("train_val_split", f"select doc_id, part from {_SPLIT}")
+def train_val_split(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.train_val_split(table(spark, sf, "documents").select("doc_id"), 0.05, F.col("doc_id").cast("string"))
+
+
+@register("split_disjoint", f"select part, count(*) as n, count(distinct doc_id) as ids from {_SPLIT} group by part")
+def split_disjoint(spark: SparkSession, sf: str) -> DataFrame:
+    return train_val_split(spark, sf).groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"))
+
+
+# --- rewards and pairs -------------------------------------------------------------------------------------------------
+
+
+@register("reaction_reward", _EVENTS + "select pos, situation_key, reward from scored")
+def reaction_reward(spark: SparkSession, sf: str) -> DataFrame:
+    return _events(spark, sf).select("pos", "situation_key", reward.score(F.col("reaction")).alias("reward"))
+
+
+_PAIRS = _EVENTS + """, g as (select situation_key, count(*) as n, arg_max(struct_pack(r := reward, p := pos, e := event_type), (reward, -pos)) as best, arg_min(struct_pack(r := reward, p := pos, e := event_type), (reward, -pos)) as worst from scored group by 1)
+select situation_key, best.p as chosen_pos, worst.p as rejected_pos, best.e as chosen, worst.e as rejected, best.r - worst.r as margin from g where n >= 2 and best.r - worst.r >= 0.5::double"""
+
+
+@register("preference_pairs", _PAIRS)
+def preference_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    scored = _events(spark, sf).select("situation_key", "pos", reward.score(F.col("reaction")).alias("reward"), F.struct("pos", "event_type").alias("action"))
+    pairs = reward.preference_pairs(scored)
+    return pairs.select("situation_key", F.col("chosen.pos").alias("chosen_pos"), F.col("rejected.pos").alias("rejected_pos"), F.col("chosen.event_type").alias("chosen"), F.col("rejected.event_type").alias("rejected"), "margin")
+
+
+@register("dpo_input", "select situation_key, prompt, chosen, rejected from (" + _PAIRS.replace("select situation_key, best.p as chosen_pos, worst.p as rejected_pos, best.e as chosen, worst.e as rejected", "select situation_key, 'user: ' || situation_key as prompt, best.e as chosen, worst.e as rejected") + ")")
+def dpo_input(spark: SparkSession, sf: str) -> DataFrame:
+    said = F.array(F.struct(F.lit("user").alias("role"), F.col("situation_key").alias("content")), F.struct(F.lit("assistant").alias("role"), F.lit("-").alias("content")))
+    log = _events(spark, sf).withColumn("messages", said).withColumn("decision_json", F.col("event_type"))
+    rows = files.dpo_input(reward.dpo_pairs(log))
+    flat = lambda c: F.array_join(F.transform(c, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    return rows.select("situation_key", flat(F.col("prompt")).alias("prompt"), F.get("chosen", F.lit(0))["content"].alias("chosen"), F.get("rejected", F.lit(0))["content"].alias("rejected"))
+
+
+@register("reaction_window", "select a.event_id as action_id, o.event_id as obs_id from events a join events o on a.user_id = o.user_id and o.ts > a.ts and o.ts <= a.ts + interval 6 hours where a.event_type = 'click' and o.event_type <> 'click'")
+def reaction_window(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events")
+    actions = events.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("action_id"), F.col("ts").alias("action_ts"))
+    seen = events.filter("event_type <> 'click'").select("user_id", F.col("event_id").alias("obs_id"), F.col("ts").alias("obs_ts"))
+    return reaction_windows(actions, seen, window="6 hours").select("action_id", "obs_id")
+
+
+# --- leakage, sizes, arrays --------------------------------------------------------------------------------------------
+
+
+@register("contamination_check", "select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text) where trim(b.text) <> ''")
+def contamination_check(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.contained(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "item_id")
+
+
+@register("exact_contamination", "select item_id from benchmark where trim(text) in (select trim(text) from documents)")
+def exact_contamination(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.exact_overlap(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select("item_id")
+
+
+def _names(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part").select("p_partkey", "p_size")
+    return part.withColumn("name", F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("org/Model-"), F.col("p_size"), F.lit("B-Instruct"))).when(F.col("p_size") % 4 == 1, F.concat(F.lit("org/model-"), F.col("p_size"), F.lit(".5b"))).when(F.col("p_size") % 4 == 2, "org/mini").otherwise(F.concat(F.lit("tuned/whisper-"), F.element_at(F.array(*map(F.lit, ("tiny", "small", "medium", "large-v3", "large-v3-turbo"))), F.col("p_size") % 5 + 1))))
+
+
+_NAMES = "(select p_partkey, p_size, case p_size % 4 when 0 then 'org/Model-' || p_size || 'B-Instruct' when 1 then 'org/model-' || p_size || '.5b' when 2 then 'org/mini' else 'tuned/whisper-' || ['tiny', 'small', 'medium', 'large-v3', 'large-v3-turbo'][p_size % 5 + 1] end as name from part)"
+_BILLIONS = "case p_size % 4 when 0 then p_size::double when 1 then (p_size || '.5')::double else 8.0::double end"
+
+
+@register("model_size", f"select p_partkey, name, {_BILLIONS} as billions from {_NAMES}")
+def model_size(spark: SparkSession, sf: str) -> DataFrame:
+    return _names(spark, sf).select("p_partkey", "name", sizes.billions(F.col("name")).alias("billions"))
+
+
+@register("vram_estimate", f"select p_partkey, round(b * 0.6::double + b * 0.08::double + 2.048::double * (b / 8) * 0.25::double + 1.5::double, 6) as gb from (select p_partkey, {_BILLIONS} as b from {_NAMES})")
+def vram_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    return _names(spark, sf).select("p_partkey", F.round(sizes.tuning_memory_gb(sizes.billions(F.col("name")), True, 1, 2048, True), 6).alias("gb"))
+
+
+@register("asr_model_size", f"select p_partkey, t as total, k as trained, round(t * 2 / 1024::double + k * 2 / 1024::double + k * 2 / 1024::double + (t / 1000::double) * 0.35::double * 8 + 1.2::double, 2) as gb from (select p_partkey, t, (case name when 'tuned/whisper-small' then round_even(t * (1 - 0.39::double), 0) when 'tuned/whisper-medium' then round_even(t * (1 - 0.40::double), 0) when 'tuned/whisper-large-v3' then round_even(t * (1 - 0.41::double), 0) when 'tuned/whisper-large-v3-turbo' then round_even(t * (1 - 0.79::double), 0) else t end)::bigint as k from (select p_partkey, name, (case name when 'tuned/whisper-tiny' then 39 when 'tuned/whisper-small' then 244 when 'tuned/whisper-medium' then 769 when 'tuned/whisper-large-v3' then 1550 when 'tuned/whisper-large-v3-turbo' then 809 end)::bigint as t from {_NAMES} where p_size % 4 = 3))")
+def asr_model_size(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.col("name")
+    speech = _names(spark, sf).filter(sizes.speech_millions(name).isNotNull())
+    return speech.select("p_partkey", sizes.speech_millions(name).alias("total"), sizes.trainable_millions(name, True).alias("trained"), sizes.speech_memory_gb(name, True, True, True, 8).alias("gb"))
+
+
+@register("mono_mix", "select vec_id, len(embedding) as samples, round(list_sum(list_transform(embedding, lambda x: (x::double + x::double * 2) / 2)), 6) as total from embeddings")
+def mono_mix(spark: SparkSession, sf: str) -> DataFrame:
+    left = F.transform("embedding", lambda x: x.cast("double"))
+    mixed = convert.mono(F.array(left, F.transform(left, lambda x: x * 2)))
+    rows = table(spark, sf, "embeddings").select("vec_id", mixed.alias("m"))
+    return rows.select("vec_id", F.size("m").cast("long").alias("samples"), F.round(F.aggregate("m", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@register("label_padding", "with t as (select conv_id, turn, conv_id // 4 as batch, list_transform(range(least(turn + 1, 6)), lambda k: case when k = 0 then case when conv_id % 8 < 4 then 7 else 7 + turn % 2 end else k + turn end) as ids from conversations), m as (select *, max(len(ids)) over (partition by batch) as most, min((ids[1] = 7)::int) over (partition by batch) as alike from t), p as (select *, list_concat(ids, list_transform(range(most - len(ids)), lambda k: -100)) as full_ids from m) select conv_id, turn, array_to_string(case when alike = 1 then full_ids[2:] else full_ids end, ',') as padded from p")
+def label_padding(spark: SparkSession, sf: str) -> DataFrame:
+    rest = F.transform(F.sequence(F.lit(0), F.least(F.col("turn"), F.lit(5))), lambda k: F.when(k == 0, F.when(F.col("conv_id") % 8 < 4, F.lit(7)).otherwise(7 + F.col("turn") % 2)).otherwise(k + F.col("turn")))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.floor(F.col("conv_id") / 4).alias("batch"), rest.alias("ids"))
+    return convert.pad_labels(rows, "batch", "ids", 7).select("conv_id", "turn", F.array_join("padded", ",").alias("padded"))
