@@ -5,9 +5,11 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.labels import strip
 
@@ -48,7 +50,7 @@ def list_text(items: Column, separator: str = "\n") -> Column:
     return F.coalesce(F.array_join(F.filter(items, lambda x: x.isNotNull()), separator), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def as_text(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """JSON of any depth as text: strings stripped, lists joined by lines, objects as 'key: value' lines in their own order,
     nulls left out, other values as Python spells them. Only for nested values; flat ones have map_text and list_text."""
@@ -69,7 +71,7 @@ def as_text(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield column.map(lambda raw: "" if raw is None else plain(json.loads(raw)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Canonical composition; Spark has no built-in for it."""
     for column in values:
@@ -121,29 +123,37 @@ def align_expression(reference: Column, hypothesis: Column) -> Column:
     return F.struct(last["s"].alias("substitutions"), last["d"].alias("deletions"), last["i"].alias("insertions"))
 
 
-@F.pandas_udf("substitutions int, deletions int, insertions int")
+# A cell of the distance table in one integer: the cost, two bits for the order of equal costs, substitutions, deletions.
+_COST, _ORDER, _SUBSTITUTION, _DELETION = 1 << 42, 1 << 40, 1 << 20, 1
+
+
+def alignment(reference, hypothesis) -> tuple[int, int, int]:
+    """(substitutions, deletions, insertions) of two token lists; whole diagonals of the table at a time."""
+    n, m = len(reference), len(hypothesis)
+    if not n or not m:
+        return 0, n, m
+    known: dict = {}
+    r, h = (np.array([known.setdefault(t, len(known)) for t in tokens]) for tokens in (reference, hypothesis))
+    before, last = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    for k in range(1, n + m + 1):
+        now = np.zeros(n + 1, np.int64)
+        low, high = max(1, k - m), min(n, k - 1)
+        if k <= m:
+            now[0] = k * _COST
+        if k <= n:
+            now[k] = k * (_COST + _DELETION)
+        if low <= high:
+            here = slice(low, high + 1)
+            diagonal, up, left = before[low - 1 : high], last[low - 1 : high], last[here]
+            best = np.minimum(np.minimum(diagonal + (_COST + _SUBSTITUTION), up + (_COST + _ORDER + _DELETION)), left + (_COST + 2 * _ORDER)) & ~(3 * _ORDER)
+            now[here] = np.where(r[low - 1 : high] == h[k - high - 1 : k - low][::-1], diagonal, best)
+        before, last = last, now
+    cell = int(last[n])
+    s, d = cell >> 20 & (1 << 20) - 1, cell & (1 << 20) - 1
+    return s, d, (cell >> 42) - s - d
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("substitutions", "deletions", "insertions")]))
 def align(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
-    """align_expression() for lists of any length, in Arrow batches, one row of the distance table at a time."""
-
-    def one(ref, hyp) -> tuple[int, int, int]:
-        above = [(j, 0, 0, j) for j in range(len(hyp) + 1)]
-        for token in ref:
-            c, s, d, i = above[0]
-            row = [(c + 1, s, d + 1, i)]
-            for j, other in enumerate(hyp):
-                diagonal = above[j]
-                if token == other:
-                    row.append(diagonal)
-                    continue
-                up, left = above[j + 1], row[j]
-                low = min(diagonal[0], up[0], left[0])
-                if diagonal[0] == low:
-                    row.append((low + 1, diagonal[1] + 1, diagonal[2], diagonal[3]))
-                elif up[0] == low:
-                    row.append((low + 1, up[1], up[2] + 1, up[3]))
-                else:
-                    row.append((low + 1, left[1], left[2], left[3] + 1))
-            above = row
-        return above[-1][1:]
-
-    return pd.DataFrame([one(r, h) for r, h in zip(reference, hypothesis)], columns=["substitutions", "deletions", "insertions"])
+    """align_expression() for lists of any length up to a million tokens, in Arrow batches."""
+    return pd.DataFrame([alignment(r, h) for r, h in zip(reference, hypothesis)], columns=["substitutions", "deletions", "insertions"])
