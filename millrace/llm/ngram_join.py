@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm.staging import staged
+from millrace.llm.staging import discard, staged
 
 _BASE = 0x9E3779B97F4A7C13  # odd, 3 modulo 8: its powers differ in low bits
 _CHUNK = 1 << 20
@@ -28,7 +28,7 @@ class Settings:
     words: int = 5
     percent: int = 80
     bucket: int = 16
-    levels: tuple[int, ...] = (1, 4, 16, 64)
+    levels: tuple[int, ...] = (16, 64, 256)
     broadcast: int = 65_536
 
 
@@ -184,31 +184,32 @@ def _alike_sizes(a: Column, b: Column, s: Settings) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * s.percent)
 
 
-def _match(rows: DataFrame, frequent: DataFrame, level: int, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """One round: (pairs, unsatisfied nodes) of rows (token, node, n), the prefixes of this level.
+def _match(rows: DataFrame, sizes: DataFrame, frequent: DataFrame, level: int, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """One round: (pairs, unsatisfied nodes) of rows (token, node), the prefixes of this level, and sizes (node, n).
 
     frequent is a bounded list of tokens that are skipped at once; other tokens in more than s.bucket nodes are skipped
     after their count. Two linked documents share at least level tokens in these prefixes, so a document that has fewer
     skipped ones has met all its partners in the buckets left; the others go to the next round.
     """
     known = F.broadcast(frequent.select("token"))
-    here = rows.join(known, "token", "left_anti").repartition("token").groupBy("token", "node").agg(F.min("n").alias("n"))
+    here = rows.join(known, "token", "left_anti").repartition("token").groupBy("token", "node").agg(F.lit(1).alias("one"))
     count = here.groupBy("token").agg(F.count("*").alias("df"))
-    shared = staged(here.join(count.filter("df > 1"), "token").select("token", "node", "n", "df"), "ngram-shared")
-    few = shared.filter(F.col("df") <= s.bucket)
-    skipped = rows.join(known, "token", "left_semi").select("token", "node", "n").distinct().select("node", "n").unionByName(shared.filter(F.col("df") > s.bucket).select("node", "n"))
-    lacking = skipped.groupBy("node").agg(F.count("*").alias("skipped"), F.min("n").alias("n"))
-    lacking = staged(lacking.filter(F.col("skipped") >= F.least(F.lit(level), _least(F.col("n"), s))).select("node", "n", "skipped"), "ngram-lacking")
+    shared = staged(here.join(count.filter("df > 1"), "token").select("token", "node", "df"), "ngram-shared")
+    skipped = rows.join(known, "token", "left_semi").distinct().select("node").unionByName(shared.filter(F.col("df") > s.bucket).select("node"))
+    missing = staged(skipped.groupBy("node").agg(F.count("*").alias("skipped")).join(sizes, "node"), "ngram-missing")
+    lacking = missing.filter(F.col("skipped") >= F.least(F.lit(level), _least(F.col("n"), s)))
+    few = shared.filter(F.col("df") <= s.bucket).select("token", "node")
     a, b = few.alias("a"), few.alias("b")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & _alike_sizes(F.col("a.n"), F.col("b.n"), s))
-    pairs = met.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count("*").alias("shared"), F.min("a.n").alias("na"), F.min("b.n").alias("nb"))
-    if level > 1:  # a pair whose nodes both skipped few tokens must share the rest
-        miss = lambda k: lacking_or_less.select(F.col("node").alias(k), F.col("skipped").alias(f"skipped_{k}"))
-        lacking_or_less = skipped.groupBy("node").agg(F.count("*").alias("skipped"))
-        pairs = pairs.join(miss("a"), "a", "left").join(miss("b"), "b", "left")
-        least = F.least(F.lit(level), _least(F.col("na"), s), _least(F.col("nb"), s))
-        pairs = pairs.filter(F.col("shared") >= least - F.least(F.coalesce("skipped_a", F.lit(0)), F.coalesce("skipped_b", F.lit(0))))
-    return pairs.select("a", "b"), lacking
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")))
+    pairs = met.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count("*").alias("shared"))
+    for k in ("a", "b"):
+        own = sizes.join(missing.select("node", "skipped"), "node", "left").select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.coalesce("skipped", F.lit(0)).alias(f"skipped_{k}"))
+        pairs = pairs.join(own, k)
+    # Both skipped at most so many of the tokens that a linked pair must share; the rest it shares here.
+    least = F.least(F.lit(level), _least(F.col("na"), s), _least(F.col("nb"), s)) - F.least("skipped_a", "skipped_b")
+    pairs = staged(pairs.filter((F.col("shared") >= least) & _alike_sizes(F.col("na"), F.col("nb"), s)).select("a", "b"), "ngram-pairs")
+    discard(shared)
+    return pairs, lacking
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -280,26 +281,26 @@ def cluster(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id
     s = settings
     signed = staged(sign(docs, s, key, text), "ngram-signed")
     members = signed.filter("heavy is null").select("key", "node", "n")
-    rows = signed.filter("node is not null").select(F.explode("prefix").alias("token"), "node", "n")
+    sizes = members.filter("node is not null").select("node", "n").distinct()
+    rows = signed.filter("node is not null").select(F.explode("prefix").alias("token"), "node")
     heavy = signed.filter("heavy is not null").select(F.explode(F.arrays_zip("heavy", "times")).alias("h")).groupBy(F.col("h.heavy").alias("token")).agg(F.sum("h.times").alias("times"))
     frequent = staged(heavy.filter(F.col("times") > 4 * s.bucket).orderBy(F.desc("times"), "token").limit(s.broadcast), "ngram-frequent")
-    met, lacking = _match(rows, frequent, s.levels[0], s)
-    met = staged(met, "ngram-pairs")
-    needed = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).unionByName(lacking.select("node")).distinct()
+    pairs, lacking = _match(rows, sizes, frequent, s.levels[0], s)
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(lacking.select("node")).distinct()
     one = members.filter("node is not null").groupBy("node").agg(F.min("key").alias("key")).join(needed, "node")
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     own = texts.join(one, "key")
     if not members.groupBy("key").count().filter("count > 1").isEmpty():  # repeated rows
         own = own.dropDuplicates(["node", "text"])
     sets = staged(_sets(own, s), "ngram-sets")
-    pairs = met
     for level in s.levels[1:]:
         if lacking.isEmpty():
             break
         width = F.col("n") - _least(F.col("n"), s) + F.least(F.lit(level), _least(F.col("n"), s))
-        rows = sets.join(lacking.select("node"), "node").select(F.explode(F.slice("tokens", 1, width.cast("int"))).alias("token"), "node", "n")
-        more, left = _match(rows, _frequent(rows, s), level, s)
-        pairs, lacking = pairs.unionByName(more), left
+        rows = staged(sets.join(lacking.select("node"), "node").select(F.explode(F.slice("tokens", 1, width.cast("int"))).alias("token"), "node"), "ngram-prefix")
+        more, lacking = _match(rows, sets.select("node", "n"), _frequent(rows, s), level, s)
+        discard(rows)
+        pairs = pairs.unionByName(more)
     links = staged(_verified(pairs.distinct(), sets, s), "ngram-links")
     if not lacking.isEmpty():
         links = links.unionByName(_remainder(lacking, sets, s))

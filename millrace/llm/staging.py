@@ -25,9 +25,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """df, written once as Parquet and read back: a lost executor costs a re-read, not a recomputation."""
+    """df, written once as Parquet and read back: a lost executor costs a re-read, not a recomputation.
+
+    The finished query's shuffle files are of no more use; the driver's garbage collection lets Spark delete them.
+    """
     spark, path = df.sparkSession, new_folder(df.sparkSession, label)
     df.write.parquet(path)
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
