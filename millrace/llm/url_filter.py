@@ -70,7 +70,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labels:
     deepest = tree.agg(F.max(F.size("segments"))).first()[0] or 0
     for depth in range(deepest):
         tree = _generalise(tree, depth, s)
-    tree = staged(_merge_alike(tree, s), "url-tree")
+    tree = staged(tree, "url-tree")
+    tree = staged(_merge_alike(tree, deepest, s), "url-tree")
     per_host = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("goods").alias("goods"))
     over_all = per_host.groupBy("template").agg(F.sum("labelled").alias("all_labelled"), F.sum("goods").alias("all_goods"))
     goods, labelled = per_host.agg(F.coalesce(F.sum("goods"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0))).first()
@@ -98,14 +99,18 @@ def _generalise(tree: DataFrame, depth: int, s: Settings) -> DataFrame:
     return out.withColumn("template", step).drop("own", "wide")
 
 
-def _merge_alike(tree: DataFrame, s: Settings) -> DataFrame:
-    """Merges sibling templates (equal but for one literal segment before the last wildcard) of a host whose smoothed
-    purities fall into the same interval of width merge_gap: they get that segment as a shared wildcard class."""
-    last = F.regexp_extract("template", r"^(.*/)([^/*]+)((?:/\*+)*)$", 1)
-    tail = F.regexp_extract("template", r"^(.*/)([^/*]+)((?:/\*+)*)$", 3)
-    node = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("goods").alias("g"))
-    node = node.withColumn("purity", (F.col("g") + s.prior * 0.5) / (F.col("l") + s.prior)).filter((F.col("l") >= s.prior) & (last != ""))
-    node = node.withColumn("class", F.floor(F.col("purity") / s.merge_gap)).withColumn("parent", last).withColumn("tail", tail)
-    alike = node.groupBy("host", "parent", "tail", "class").agg(F.count("*").alias("k"), F.min("template").alias("shared")).filter("k > 1")
-    moved = node.join(alike, ["host", "parent", "tail", "class"]).select("host", "template", F.concat("parent", F.lit("{"), F.col("class").cast("string"), F.lit("}"), "tail").alias("merged"))
-    return tree.join(moved, ["host", "template"], "left").withColumn("template", F.coalesce("merged", "template")).drop("merged", "segments")
+def _merge_alike(tree: DataFrame, depth: int, s: Settings) -> DataFrame:
+    """Merges sibling templates of a host, which differ in one literal segment only, if their smoothed purities fall into
+    the same interval of width merge_gap: they then share a class in that place. From the deepest place to the first."""
+    nodes = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("goods").alias("g")).withColumn("merged", F.col("template"))
+    for place in reversed(range(depth)):
+        parts = F.split("merged", "/", -1)  # the first part is empty
+        own = F.get(parts, F.lit(place + 1))
+        here = nodes.withColumn("own", own).withColumn("before", F.slice(parts, 1, F.lit(place + 1))).withColumn("after", F.slice(parts, place + 3, F.lit(s.max_depth + 1)))
+        now = here.filter((F.col("own") != "*") & (F.col("own") != "**")).groupBy("host", "before", "after", "own").agg(F.sum("l").alias("l"), F.sum("g").alias("g")).filter(F.col("l") >= s.prior)
+        now = now.withColumn("class", F.floor((F.col("g") + s.prior * 0.5) / (F.col("l") + s.prior) / s.merge_gap))
+        alike = now.groupBy("host", "before", "after", "class").agg(F.count("*").alias("k")).filter("k > 1")
+        moved = now.join(alike, ["host", "before", "after", "class"]).select("host", "before", "after", "own", F.concat(F.lit("{"), F.col("class").cast("string"), F.lit("}")).alias("shared"))
+        joined = here.join(moved, ["host", "before", "after", "own"], "left")
+        nodes = staged(joined.select("host", "template", "l", "g", F.when(F.col("shared").isNotNull(), F.array_join(F.concat("before", F.array("shared"), "after"), "/")).otherwise(F.col("merged")).alias("merged")), "url-nodes")
+    return tree.drop("segments").join(nodes.select("host", "template", "merged"), ["host", "template"]).withColumn("template", F.col("merged")).drop("merged")

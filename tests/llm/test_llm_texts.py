@@ -1,0 +1,227 @@
+"""Packing, quality rules, personal data and decontamination against plain Python, and their edge cases."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import decontam, packing, pii, quality
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [(1, None, None, None, None), (None, "some words here.", "en", "s", 1), (2, "", "en", "s", 0), (3, " \t\n\x0b", "en", "s", 4), (4, "word " * 30_000, "en", "s", 1), (4, "word " * 30_000, "en", "s", 1), (5, "é ́ ß中文 \U0001f600\x85x", "en", "s", 1)]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()) + rng.choice(["", "", "", ",", "."]) for _ in range(n))
+
+
+def clashing(df):
+    """Columns that an operator might use itself."""
+    for c in ("key", "node", "n", "spans", "quality", "kept", "start", "ids", "level_group", "tokens", "component_id", "value"):
+        df = df.withColumn(c, F.lit("x"))
+    return df
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    P = pytest.importorskip("public_tokenizers")
+    return packing.WordEncoder(P.path("word_bpe_49k.json"), 2, cache_size=500)
+
+
+def whole_ids(encoder, text):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(encoder.path).encode(text, add_special_tokens=False).ids + [2]
+
+
+def test_encoder_equals_the_tokenizer(encoder):
+    rng = random.Random(5)
+    texts = [t or "" for _, t, *_ in ODD if len(t or "") < 1000] + ["ΑΣ ς İx it's 'S <|endoftext|>a <|startoftext|> \x1c\x85 \u2028 b", "don'T we'LL Ω\u212b a\u0301 e\u0301x"]
+    texts += ["".join(chr(rng.choice([rng.randint(32, 126), rng.randint(160, 1000), rng.randint(0x300, 0x36F), rng.randint(0, 31), rng.randint(0x4E00, 0x4E20)])) for _ in range(60)) for _ in range(200)]
+    for t, got in zip(texts, encoder(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == whole_ids(encoder, t), repr(t)
+
+
+def check_packed(rows, expected, window):
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+        assert len(r["ids"]) == 4 * r["length"] > 0
+    got = Counter()
+    for own in by_doc.values():
+        own.sort(key=lambda r: r["start"])
+        at = 0
+        for r in own:
+            got[r["doc_id"]] += r["length"]
+    for own in by_sequence.values():
+        own.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in own] == list(np.cumsum([0] + [r["length"] for r in own[:-1]]))
+    used = [sum(r["length"] for r in own) for own in by_sequence.values()]
+    assert max(used) <= window and sum(u < window for u in used) <= 1
+    return by_doc
+
+
+def test_packing_is_a_partition_of_all_ids(spark, encoder):
+    rng = random.Random(1)
+    texts = [prose(rng, rng.choice([0, 1, 5, 40, 200, 700])) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    by_doc = check_packed(packing.pack(docs, encoder, window=256, open_windows=3, fan_in=2).collect(), texts, 256)
+    for k, t in enumerate(texts):
+        own = by_doc[k]
+        assert np.frombuffer(b"".join(r["ids"] for r in own), "<u4").tolist() == whole_ids(encoder, t)
+        assert [r["start"] for r in own] == list(np.cumsum([0] + [r["length"] for r in own[:-1]])) and {r["doc_tokens"] for r in own} == {len(whole_ids(encoder, t))}
+
+
+def test_packing_odd_rows(spark, encoder):
+    rows = packing.pack(clashing(spark.createDataFrame(ODD, DOCS)), encoder).collect()
+    assert Counter(r["doc_id"] for r in rows if r["start"] == 0) == Counter(d for d, *_ in ODD)
+    assert [r["length"] for r in rows if r["doc_id"] == 1] == [1]
+    assert packing.pack(spark.createDataFrame([], DOCS), encoder).collect() == []
+
+
+def plain_quality(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    seen = Counter(zip(words, words[1:], words[2:]))
+    covered = {j for i in range(len(words) - 2) if seen[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts(spark):
+    rng = random.Random(2)
+    texts = ["\n".join(prose(rng, rng.randint(0, 12)) for _ in range(rng.randint(1, 6))) for _ in range(60)] + ["a b c a b c", "a a a a", "a b", "| # x", None, "", "x\nx\n\n x", " \x0b ", "é é é é"]
+    got = quality.assess(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, t in zip(got, texts):
+        assert tuple(r["quality"])[:5] == plain_quality(t), t
+
+
+def test_quality_removes_lines_and_rejects(spark):
+    good = "\n".join("The quick brown fox number %d jumps over the lazy dog near river %d." % (k, k * 7) for k in range(12))
+    menu = "\n".join("Home | News %d | Sports %d | About | Contact %d |" % (k, k, k) for k in range(20))
+    shout = "\n".join("BUY!! THIS!! THING!! NUMBER!! %d!! NOW!! PLEASE!!" % k for k in range(20))
+    texts = [good, good + "\nRead more >\nAll rights reserved.", menu, shout, good + "\n" + menu]
+    got = [r["quality"] for r in quality.assess(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [q["kept"] for q in got] == [True, True, False, False, False]
+    assert got[1]["clean_text"] == good
+
+
+def test_quality_odd_rows(spark):
+    got = quality.assess(clashing(spark.createDataFrame(ODD, DOCS))).collect()
+    assert len(got) == len(ODD) and got[0]["quality"]["n_words"] == 0 and not got[0]["quality"]["kept"] and got[0]["kept"] == "x"
+    assert got[4]["quality"]["n_repeat_words"] == 30_000
+    assert quality.assess(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def plain_base(t):
+    spans = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    spans += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    spans += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    return spans + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m[0])) <= 15]
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(4)
+    for _ in range(4000):
+        t = "".join(rng.choice(["a", "1", "25", "@", ".", "-", " ", "+", "(", ")", "b.c", "4111 1111 1111 1111", "9", "é", "0", "@x.y", "_%"]) for _ in range(rng.randint(0, 30)))
+        assert pii.base_spans(t) == plain_base(t), t
+
+
+def test_base_spans_are_linear():
+    for t in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+1 " * 60_000, "@" * 200_000):
+        pii.base_spans(t)
+        pii.candidates(t)
+
+
+def test_weak_supervision_adds_secrets_only(spark):
+    rng = random.Random(6)
+    token = lambda: hashlib.sha1(str(rng.random()).encode()).hexdigest()
+    texts = [f"{prose(rng, 8)} token = \"{token()}\" {prose(rng, 5)}" for _ in range(30)] + [f"{prose(rng, 5)} mail me.{k}@mail{k}.example.com or +1 (743) 555-38{k:02d}" for k in range(30)] + [f"see key: {w} and go" for w in ["something", "whatever", "nothings"] * 10] + [prose(rng, 30) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.fit(docs)
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find(docs, model).collect()}
+    for k, t in enumerate(texts):
+        base = plain_base(t)
+        assert got[k][: len(base)] == base
+        assert [s[0] for s in got[k][len(base) :]] == (["secret"] if k < 30 else []), (t, got[k])
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs, model).collect()}
+    assert all('token = "<SECRET>"' in clean[k] for k in range(30)) and "<EMAIL>" in clean[30] and clean[100] == texts[100]
+
+
+def test_expectation_maximisation_finds_the_bad_labeler():
+    rng = np.random.default_rng(0)
+    truth = rng.random(4000) < 0.4
+    votes = np.stack([np.where(rng.random(4000) < r, 1, -1) * np.where(truth, 1, -1) for r in (0.95, 0.9, 0.85, 0.5)], axis=1)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    prior, chance, posterior = pii.expectation_maximisation(patterns, counts.astype(float))
+    right = chance[:, 1, 2]
+    assert abs(prior - 0.4) < 0.05 and right[0] > 0.9 and abs(right[3] - 0.5) < 0.1
+
+
+def test_pii_odd_rows(spark):
+    docs = clashing(spark.createDataFrame(ODD, DOCS))
+    model = pii.fit(docs)
+    assert len(pii.find(docs, model).collect()) == len(ODD)
+    assert sorted(str(r) for r in pii.redact(docs, model).collect()) == sorted(str(r) for r in docs.collect())
+    empty = spark.createDataFrame([], DOCS)
+    assert pii.find(empty, pii.fit(empty)).collect() == []
+
+
+def items_and_docs(spark, extra=()):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [f"{said(rng.randint(8, 60))}. {said(5)}." for _ in range(60)] + [said(150) + ". Yes indeed."]
+    docs = [said(rng.choice([3, 50, 400])) for _ in range(60)]
+    planted = set()
+    for k in range(0, 60, 3):
+        docs[k] = f"{docs[k]} {items[k]} {said(100)}"
+        planted.add((k, k))
+    docs[1] += " " + items[60]
+    planted.add((1, 60))
+    docs.append(items[5].split(". ")[0])  # the question without its answer
+    return spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), planted
+
+
+def test_decontamination_finds_what_was_planted(spark):
+    items, docs, planted = items_and_docs(spark)
+    got = decontam.contaminated(docs, items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == planted
+    blocks = decontam.contaminated(docs, items, decontam.Settings(index_chars=4000)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in blocks} == planted
+
+
+def test_bounds_lose_nothing():
+    """Every item above the threshold by full scoring of every passage is retrieved."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(3, 20)))) for k in range(50)]
+    lists = [t.split() for _, t in items]
+    df, mean = Counter(w for ws in lists for w in set(ws)), sum(map(len, lists)) / len(lists)
+    index = decontam.Index(items, df, len(items), mean, decontam.Settings(stride=8, overlap=0.0))
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    expected = set()
+    for t, text in enumerate(texts):
+        ws = text.split()
+        for a in range(0, max(1, len(ws)), 8):
+            terms = {index.terms[w] for w in ws[a : a + 16] if w in index.terms}
+            score = Counter()
+            for x in terms:
+                for k, v in zip(index.items[x].tolist(), index.impacts[x].tolist()):
+                    score[k] += v
+            expected |= {(t, k) for k, v in score.items() if v >= 1 - 1e-9}
+    assert {(t, i) for t, i, *_ in index.search(texts)} == expected and expected
+
+
+def test_decontamination_odd_rows(spark):
+    items = spark.createDataFrame([(1, None), (2, "..."), (3, "some words here."), (3, "some words here.")], "item_id long, text string")
+    got = decontam.contaminated(clashing(spark.createDataFrame(ODD, DOCS)), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(None, 3)}
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.contaminated(spark.createDataFrame(ODD, DOCS), empty).collect() == []
+    assert decontam.contaminated(spark.createDataFrame([], DOCS), items).collect() == []
