@@ -21,7 +21,8 @@ _END = re.compile(r"(?<=[.?!])\s+|\n+")
 @dataclass(frozen=True)
 class Settings:
     """stride: words between passages, each two strides long. share: part of an item's own score that a passage must reach
-    to be retrieved. k1, b: of BM25. block: items that share one bound in a posting list. gram, overlap: share of the
+    to be retrieved. k1, b: of BM25. block: items that share one bound, at least (more where the table of
+    bounds would exceed bound_cells numbers). gram, overlap: share of the
     question's and of the answer's word n-grams that a retrieved passage must hold. index_chars: of the items that are
     indexed and broadcast at once; more items take more passes."""
 
@@ -29,7 +30,8 @@ class Settings:
     share: float = 0.4
     k1: float = 1.2
     b: float = 0.75
-    block: int = 32
+    block: int = 4
+    bound_cells: int = 4_000_000
     gram: int = 3
     overlap: float = 0.5
     index_chars: int = 16_000_000
@@ -48,8 +50,8 @@ def _grams(words: list[str], n: int) -> set[tuple[str, ...]]:
 
 
 class Index:
-    """Posting lists (item, impact) by term, items in order, with the largest impact of each block of items. Impacts are
-    divided by the item's threshold, so that an item is retrieved from a sum of 1."""
+    """Posting lists (item, impact) by term, items in order, and a table of the largest impact of each term in each block
+    of items. Impacts are divided by the item's threshold, so that an item is retrieved from a sum of 1."""
 
     def __init__(self, items: list[tuple[int, str]], df: dict[str, int], total: int, mean: float, settings: Settings) -> None:
         s = self.settings = settings
@@ -66,37 +68,19 @@ class Index:
         self.terms = {t: j for j, t in enumerate(lists)}
         self.items = [np.array([k for k, _ in own], np.int64) for own in lists.values()]
         self.impacts = [np.array([x for _, x in own]) for own in lists.values()]
-        self.most = np.array([x.max() for x in self.impacts] or [0.0])
-        blocks = -(-len(items) // s.block)
-        self.bounds = [(np.unique(k // s.block), np.maximum.reduceat(x, np.unique(k // s.block, return_index=True)[1])) for k, x in zip(self.items, self.impacts)]
-        self.blocks = max(1, blocks)
-
-    def retrieve(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """(item, score) of all items whose sum over the distinct terms is 1 or more. Only blocks whose bound reaches 1 are
-        scored; terms go by descending bound, and a block is left once what its score can still gain is too little."""
-        terms = np.unique(terms)
-        if self.most[terms].sum() < 1:
-            return []
-        bound = np.zeros(self.blocks)
-        for t in terms:
-            at, x = self.bounds[t]
-            bound[at] += x
-        live = bound >= 1
-        if not live.any():
-            return []
-        score = np.zeros(len(self.ids))
-        for t in terms[np.argsort(-self.most[terms], kind="stable")]:
-            k, x = self.items[t], self.impacts[t]
-            on = live[k // self.settings.block]
-            score[k[on]] += x[on]
-            at, top = self.bounds[t]
-            bound[at] -= top
-            if live[at].any():
-                reach = np.maximum.reduceat(score, np.arange(0, len(score), self.settings.block)) + bound
-                live &= reach >= 1 - 1e-9
-                if not live.any():
-                    return []
-        return [(int(k), float(score[k])) for k in np.flatnonzero(score >= 1 - 1e-9)]
+        terms = max(1, len(lists))
+        self.block = max(s.block, -(-len(items) * terms // s.bound_cells))
+        self.bounds = np.zeros((terms, max(1, -(-len(items) // self.block))))
+        for j, (k, x) in enumerate(zip(self.items, self.impacts)):
+            np.maximum.at(self.bounds[j], k // self.block, x)
+
+    def retrieve(self, terms: np.ndarray, live: np.ndarray) -> list[tuple[int, float]]:
+        """(item, score) of all items in the live blocks whose sum over the distinct terms is 1 or more."""
+        k = np.concatenate([self.items[t] for t in terms])
+        x = np.concatenate([self.impacts[t] for t in terms])
+        on = live[k // self.block]
+        score = np.bincount(k[on], weights=x[on], minlength=len(self.ids))
+        return [(int(i), float(score[i])) for i in np.flatnonzero(score >= 1 - 1e-9)]
 
     def overlaps(self, item: int, words: list[str]) -> tuple[float, float]:
         """Shares of the question's and of the answer's n-grams that words hold; an answer that isn't there counts as held."""
@@ -116,20 +100,29 @@ class Index:
         base = np.concatenate([[0], np.cumsum(strides)])
         text = np.repeat(np.arange(len(texts)), sizes)
         half = base[text] + (np.arange(len(own)) - first[text]) // s.stride
+        # A passage is two strides; each word thus stands in the passage that begins at its stride and in the one before.
         known = own >= 0
-        gain = np.bincount(half[known], weights=self.most[own[known]], minlength=base[-1] + 1)
-        both = gain[:-1] + np.where(np.isin(np.arange(1, base[-1] + 1), base), 0, gain[1:])
-        found: dict[tuple[int, int], tuple[float, int]] = {}
-        for p in np.flatnonzero(both >= 1).tolist():
-            t = int(np.searchsorted(base, p, side="right")) - 1
-            a = int(first[t]) + (p - int(base[t])) * s.stride
-            terms = own[a : min(a + 2 * s.stride, int(first[t + 1]))]
-            for item, score in self.retrieve(terms[terms >= 0]):
-                at = a - int(first[t])
-                near = words[t][max(0, at - self.longest) : at + 2 * s.stride + self.longest]
-                q, answer = self.overlaps(item, near)
-                if q >= s.overlap and answer >= s.overlap and score > found.get((t, item), (0,))[0]:
-                    found[t, item] = (score, q, answer)
+        here, term = half[known], own[known]
+        again = here > base[text[known]]
+        pairs = np.unique(np.concatenate([here, here[again] - 1]) * len(self.bounds) + np.concatenate([term, term[again]]))
+        passage, term = pairs // len(self.bounds), pairs % len(self.bounds)
+        starts = np.flatnonzero(np.diff(passage, prepend=-1))
+        ends = np.append(starts[1:], len(pairs))
+        found: dict[tuple[int, int], tuple[float, float, float]] = {}
+        for at in range(0, len(starts), 4096):  # bounds of so many passages at once
+            cut = starts[at : at + 4096]
+            stop = ends[min(at + 4096, len(ends)) - 1]
+            reach = np.add.reduceat(self.bounds[term[cut[0] : stop]], cut - cut[0], axis=0)
+            for k in np.flatnonzero((reach >= 1 - 1e-9).any(axis=1)).tolist():
+                a, b = int(cut[k]), int(ends[at + k])
+                p = int(passage[a])
+                t = int(np.searchsorted(base, p, side="right")) - 1
+                first_word = (p - int(base[t])) * s.stride
+                for item, score in self.retrieve(term[a:b], reach[k] >= 1 - 1e-9):
+                    near = words[t][max(0, first_word - self.longest) : first_word + 2 * s.stride + self.longest]
+                    q, answer = self.overlaps(item, near)
+                    if q >= s.overlap and answer >= s.overlap and score > found.get((t, item), (0.0,))[0]:
+                        found[t, item] = (score, q, answer)
         for (t, item), (score, q, answer) in found.items():
             yield t, self.ids[item], score, q, answer
 
