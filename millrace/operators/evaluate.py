@@ -95,7 +95,7 @@ def paired(references: DataFrame, hypotheses: DataFrame, key: str) -> DataFrame:
 
 def checkpoint_step(path: Column) -> Column:
     """The number after checkpoint- at a path's end; a final adapter sorts last."""
-    return F.coalesce(F.nullif(F.regexp_extract(path, r"checkpoint-(\d+)\z", 1), F.lit("")).cast("long"), F.lit(1_000_000_000))
+    return F.coalesce(F.regexp_extract(path, r"checkpoint-(\d+)\z", 1).try_cast("long"), F.lit(1_000_000_000))
 
 
 def sweep_table(results: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def sweep_table(results: DataFrame) -> DataFrame:
 
 def sweep_points(results: DataFrame, ticks: bool = False) -> DataFrame:
     """The checkpoints of a sweep; with ticks, only steps that label an axis: multiples of 100, and of 50 but for the last."""
-    named = results.filter(F.col("label").startswith("checkpoint-")).withColumn("step", F.split_part("label", F.lit("-"), F.lit(2)).cast("long"))
+    named = results.filter(F.col("label").startswith("checkpoint-")).withColumn("step", F.split_part("label", F.lit("-"), F.lit(2)).try_cast("long"))
     if ticks:
         last = F.max("step").over(Window.partitionBy())
         named = named.withColumn("_last", last).filter((F.col("step") % 100 == 0) | ((F.col("step") % 50 == 0) & (F.col("step") != F.col("_last")))).drop("_last")

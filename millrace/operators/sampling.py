@@ -56,8 +56,8 @@ def renormalize(sources: DataFrame) -> DataFrame:
     alive = F.sum(F.when(F.col("n") > 0, F.col("proportion")).otherwise(F.lit(0.0))).over(whole)
     dead = F.sum(F.when(F.col("n") > 0, 0).otherwise(1)).over(whole)
     rescaled = sources.withColumn("_alive", alive).withColumn("_dead", dead)
-    checked = F.when(F.col("_alive") > 0, F.col("proportion") / F.col("_alive")).otherwise(F.raise_error(F.lit("every source is empty; fetch the data first")))
-    return rescaled.filter("n > 0").withColumn("proportion", F.when(F.col("_dead") > 0, checked).otherwise(F.col("proportion"))).drop("_alive", "_dead")
+    living = F.when(F.col("_alive") > 0, F.col("n") > 0).otherwise(F.raise_error(F.lit("every source is empty; fetch the data first")).cast("boolean"))
+    return rescaled.filter(living).withColumn("proportion", F.when(F.col("_dead") > 0, F.col("proportion") / F.col("_alive")).otherwise(F.col("proportion"))).drop("_alive", "_dead")
 
 
 def mix_ceiling(sources: DataFrame) -> DataFrame:
