@@ -101,7 +101,7 @@ def test_quality_counts(spark):
 
 
 def test_quality_removes_lines_and_rejects(spark):
-    good = "\n".join("The quick brown fox number %d jumps over the lazy dog near river %d." % (k, k * 7) for k in range(12))
+    good = "\n".join(" ".join(f"term{k}{chr(97 + j)}" for j in range(12)) + "." for k in range(12))
     menu = "\n".join("Home | News %d | Sports %d | About | Contact %d |" % (k, k, k) for k in range(20))
     shout = "\n".join("BUY!! THIS!! THING!! NUMBER!! %d!! NOW!! PLEASE!!" % k for k in range(20))
     texts = [good, good + "\nRead more >\nAll rights reserved.", menu, shout, good + "\n" + menu]
