@@ -180,6 +180,11 @@ def _least(n: Column, s: Settings) -> Column:
     return F.ceil(n * s.percent / F.lit(100)).cast("int")
 
 
+def _pair_least(a: Column, b: Column, s: Settings) -> Column:
+    """The least intersection of two sets of these sizes that link."""
+    return F.ceil((a + b) * s.percent / F.lit(100 + s.percent)).cast("int")
+
+
 def _alike_sizes(a: Column, b: Column, s: Settings) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * s.percent)
 
@@ -205,8 +210,9 @@ def _match(rows: DataFrame, sizes: DataFrame, frequent: DataFrame, level: int, s
     for k in ("a", "b"):
         own = sizes.join(missing.select("node", "skipped"), "node", "left").select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.coalesce("skipped", F.lit(0)).alias(f"skipped_{k}"))
         pairs = pairs.join(own, k)
-    # Both skipped at most so many of the tokens that a linked pair must share; the rest it shares here.
-    least = F.least(F.lit(level), _least(F.col("na"), s), _least(F.col("nb"), s)) - F.least("skipped_a", "skipped_b")
+    # A linked pair shares so many tokens; what lies beyond one of the prefixes, or was skipped by both, isn't seen here.
+    beyond = lambda n: _least(n, s) - F.least(F.lit(level), _least(n, s))
+    least = _pair_least(F.col("na"), F.col("nb"), s) - F.greatest(beyond(F.col("na")), beyond(F.col("nb"))) - F.least("skipped_a", "skipped_b")
     pairs = staged(pairs.filter((F.col("shared") >= least) & _alike_sizes(F.col("na"), F.col("nb"), s)).select("a", "b"), "ngram-pairs")
     discard(shared)
     return pairs, lacking
@@ -231,14 +237,18 @@ def _remainder(lacking: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     near copies). Their prefixes go by exact frequency, rare tokens first. For every token a leader is compared with all
     others, round after round, which joins a group in as many comparisons as it has nodes; then every two nodes that still
     lie in different components and share a prefix token are compared, so no link between components is missed."""
-    own = sets.join(lacking.select("node", "skipped"), "node")
+    own = staged(sets.join(lacking.select("node", "skipped"), "node"), "ngram-sets")
+    sets = own
     rows = own.select("node", F.explode("tokens").alias("token"))
     df = rows.groupBy("token").agg(F.count("*").alias("df"))
     ranked = rows.join(df.filter("df > 1"), "token").groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("t"))
     width = F.col("n") - _least(F.col("n"), s) + 1
     alone = F.col("n") - F.size("t")  # tokens of this node only come first and meet nothing
     prefix = own.select("node", "n", (F.col("skipped") / F.col("n")).alias("weight")).join(ranked, "node").filter(width > alone)
-    prefix = staged(prefix.select("node", "n", "weight", F.explode(F.slice(F.sort_array("t"), 1, (width - alone).cast("int"))).alias("t")).select("t.token", "node", "n", "weight"), "ngram-ranked")
+    first = F.slice(F.sort_array("t"), 1, (width - alone).cast("int"))
+    prefix = staged(prefix.select("node", "n", "weight", alone.alias("alone"), F.posexplode(first).alias("k", "t")).select("t.token", "node", "n", "weight", (F.col("alone") + F.col("k") + 1).alias("rank")), "ngram-ranked")
+    # At the first token that two sets share, what is left of each bounds their intersection.
+    within = lambda n, rank, other: n - rank + 1 >= _pair_least(n, other, s)
     found, comps = None, prefix.select("node").distinct().withColumn("component", F.col("node"))
     while True:
         now = prefix.join(comps, "node")
@@ -251,11 +261,11 @@ def _remainder(lacking: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
         mixed = now.join(spread, "token")
         if open_pairs <= 8 * open_rows or found is not None and merged == 0:  # noqa: F821
             a, b = mixed.alias("a"), mixed.alias("b")
-            pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _alike_sizes(F.col("a.n"), F.col("b.n"), s)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+            pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _alike_sizes(F.col("a.n"), F.col("b.n"), s) & within(F.col("a.n"), F.col("a.rank"), F.col("b.n")) & within(F.col("b.n"), F.col("b.rank"), F.col("a.n"))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
             last = staged(_verified(pairs, sets, s), "ngram-links")
             found = last if found is None else found.unionByName(last)
             break
-        star = mixed.filter((F.col("component") != F.col("lead_component")) & _alike_sizes(F.col("n"), F.col("leader_n"), s)).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+        star = mixed.filter((F.col("component") != F.col("lead_component")) & _alike_sizes(F.col("n"), F.col("leader_n"), s) & within(F.col("n"), F.col("rank"), F.col("leader_n"))).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
         links = staged(_verified(star, sets, s), "ngram-links")
         merged = links.count()
         found = links if found is None else found.unionByName(links)
@@ -293,17 +303,19 @@ def cluster(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id
     if not members.groupBy("key").count().filter("count > 1").isEmpty():  # repeated rows
         own = own.dropDuplicates(["node", "text"])
     sets = staged(_sets(own, s), "ngram-sets")
+    here = sets  # of the documents that are still to be matched, fewer each round
     for level in s.levels[1:]:
         if lacking.isEmpty():
             break
         width = F.col("n") - _least(F.col("n"), s) + F.least(F.lit(level), _least(F.col("n"), s))
-        rows = staged(sets.join(lacking.select("node"), "node").select(F.explode(F.slice("tokens", 1, width.cast("int"))).alias("token"), "node"), "ngram-prefix")
-        more, lacking = _match(rows, sets.select("node", "n"), _frequent(rows, s), level, s)
+        here = staged(here.join(lacking.select("node"), "node"), "ngram-sets")
+        rows = staged(here.select(F.explode(F.slice("tokens", 1, width.cast("int"))).alias("token"), "node"), "ngram-prefix")
+        more, lacking = _match(rows, here.select("node", "n"), _frequent(rows, s), level, s)
         discard(rows)
         pairs = pairs.unionByName(more)
     links = staged(_verified(pairs.distinct(), sets, s), "ngram-links")
     if not lacking.isEmpty():
-        links = links.unionByName(_remainder(lacking, sets, s))
+        links = links.unionByName(_remainder(lacking, here, s))
     label = components(links)
     by_node = members.filter("node is not null").groupBy("node").agg(F.min("key").alias("least"))
     named = by_node.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
