@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
@@ -36,6 +37,7 @@ class WordEncoder:
         return {"path": self.path, "eos": self.eos, "cache_size": self.cache_size, "_ready": False}
 
     def _load(self) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; a thread pool would only add overhead
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(self.path)
