@@ -11,8 +11,12 @@ from millrace.llm.staging import new_folder
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep, with their lines that pass."""
-    kept = quality.assess(docs).filter("quality.kept")
+    """Documents that the line-first rules keep, with their lines that pass.
+
+    The filter also reads a column that isn't deterministic: pushed below the projections, it would evaluate the word
+    lists anew inside every lambda.
+    """
+    kept = quality.assess(docs).withColumn("_q_here", F.spark_partition_id()).filter("quality.kept and _q_here >= 0").drop("_q_here")
     text = F.col("quality.clean_text")
     return kept.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).drop("quality")
 
