@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import math
+import operator
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,11 +28,14 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - {"body", "caption", "html", "legend", "optgroup", "option", "select", "tbody", "td", "tfoot", "th", "thead", "tr"}
-SKIPPED = frozenset(
-    "nav footer aside form button select option label input menu dialog noscript template svg math object canvas audio video iframe head script style title textarea datalist".split()
-)
-SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-SKIPPED_WORDS = frozenset(
+HIDDEN = frozenset("select option noscript template svg canvas audio video iframe head script style title textarea datalist".split())
+APART = frozenset("nav footer aside button menu dialog".split())
+DOUBTFUL = frozenset("form header".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+RUNNING = HEADINGS | {"p", "blockquote", "pre", "dd", "figcaption"}  # an inline element in them is part of their sentence
+GROUPS = frozenset("article body center div fieldset form html main section td".split()) | APART | {"header", ""}
+APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+DOUBTFUL_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter "
     "subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing social related recommended "
     "recommendations comment comments disqus respond reply replies footer masthead widget popup modal overlay toolbar login signin signup skip".split()
@@ -44,11 +48,16 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 @dataclass(frozen=True)
 class Settings:
     """width: of the Gaussian over neighbouring blocks. cut: share of the fused score's standard deviation that a path
-    must reach. share: part of the selected text that the content element must hold."""
+    must reach. share: part of the selected text that the content element must hold. bonus: factor on the score of text in
+    an article or main. doubt: factor on the score of text in a marked subtree. most: part of the page's scored text from
+    which a marked subtree isn't marked any more."""
 
     width: float = 1.0
     cut: float = 0.8
     share: float = 0.8
+    bonus: float = 2.0
+    doubt: float = 0.05
+    most: float = 0.5
 
 
 @dataclass
@@ -57,7 +66,8 @@ class _Element:
     path: str
     number: int
     parent: "_Element | None"
-    skipped: bool
+    skipped: bool  # never shown
+    mark: int  # of this element alone: 0 none, 1 doubtful by its words or as a form or header, 2 apart by its tag or role
     container: int  # number of the outermost article or main around it, -1 without
 
 
@@ -67,26 +77,28 @@ class _Block:
     text: str
 
 
-def _marks(attrs: str) -> tuple[str, bool]:
-    """The class's words for the path, and whether attributes tell that this isn't the article."""
-    found, skipped = "", False
+def _marks(attrs: str) -> tuple[str, int, bool]:
+    """The class's words for the path; whether attributes tell that this isn't the article (as _Element.mark); whether it
+    is hidden. An id is often made from a heading, so all its words must be marked ones."""
+    found, mark, hidden = "", 0, False
     for name, a, b, c, bare in _ATTR.findall(attrs):
         key, value = (name or bare).lower(), html.unescape(a or b or c).lower() if "&" in (a or b or c) else (a or b or c).lower()
         if key in ("class", "id"):
             words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", a or b or c).lower()) if w]
-            skipped |= not SKIPPED_WORDS.isdisjoint(words) or "header" in words
+            known = [w in DOUBTFUL_WORDS or w == "header" for w in words]
+            mark = max(mark, int(any(known) if key == "class" else bool(known) and all(known)))
             if key == "class":
                 found = ".".join(words)
         elif key == "role":
-            skipped |= value in SKIPPED_ROLES
+            mark = 2 if value in APART_ROLES else mark
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            skipped = True
-    return found, skipped
+            hidden = True
+    return found, mark, hidden
 
 
 def blocks_of(page: str) -> list[_Block]:
     """The page's text blocks in order, each with the element that holds it. White space inside is one space."""
-    root = _Element("", "", 0, None, False, -1)
+    root = _Element("", "", 0, None, False, 0, -1)
     stack, out, held, at, count = [root], [], [], 0, 0
 
     def flush() -> None:
@@ -111,7 +123,7 @@ def blocks_of(page: str) -> list[_Block]:
         if close := m["close"]:
             tag = close.lower()
             k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if tag in BLOCK or k and stack[k].skipped != stack[k - 1].skipped:
+            if tag in BLOCK or k and (stack[k].mark or stack[k].skipped != stack[k - 1].skipped):
                 if k:
                     pop_to(k)
                 else:
@@ -145,78 +157,138 @@ def blocks_of(page: str) -> list[_Block]:
                     break
                 if stack[k].tag in ends:
                     break
-        words, marked = _marks(attrs) if attrs.strip(" /\n\t") else ("", False)
+        words, mark, hidden = _marks(attrs) if attrs.strip(" /\n\t") else ("", 0, False)
         parent = stack[-1]
         inside = parent.container >= 0
-        skipped = parent.skipped or tag in SKIPPED or marked and tag not in ("body", "html", "article", "main") and not (inside and "header" in words.split(".") and SKIPPED_WORDS.isdisjoint(words.split("."))) or marked and tag == "article" and not SKIPPED_WORDS.isdisjoint(words.split(".")) or tag == "header" and not inside
-        if tag in BLOCK or skipped and not parent.skipped:
+        skipped = parent.skipped or tag in HIDDEN or hidden and tag not in ("body", "html")
+        if tag in APART:
+            mark = 2
+        elif tag in DOUBTFUL:
+            mark = max(mark, 1)
+        if tag in HEADINGS or tag in ("body", "html", "main") or mark == 1 and tag not in BLOCK and next((e.tag for e in reversed(stack) if e.tag in BLOCK), "") in RUNNING:
+            mark = 0
+        if inside and mark == 1 and (tag == "header" or "header" in words.split(".")) and DOUBTFUL_WORDS.isdisjoint(words.split(".")):
+            mark = 0
+        skipped = skipped or mark > 0
+        if tag in BLOCK or skipped and not parent.skipped or mark:
             flush()
         count += 1
         container = parent.container if inside else count if tag in ("article", "main") and not skipped else -1
         if attrs.rstrip().endswith("/") and tag not in BLOCK:
             continue
-        stack.append(_Element(tag, f"{parent.path}/{tag}" + (f".{words}" if words else ""), count, parent, skipped, container))
+        stack.append(_Element(tag, f"{parent.path}/{tag}" + (f".{words}" if words else ""), count, parent, skipped, mark, container))
     flush()
     return out
 
 
-def path_scores(blocks: list[_Block], settings: Settings) -> list[float]:
-    """Each block's smoothed path score: mean text length times mean punctuation (plus one) of the blocks on its path,
-    fused and smoothed by a Gaussian over its neighbours in the page."""
+def raw_scores(blocks: list[_Block]) -> list[float]:
+    """Each block's path score: mean text length times mean punctuation (plus one) of the blocks on its path."""
     total: dict[str, list[float]] = {}
     for b in blocks:
         own = total.setdefault(b.element.path, [0, 0, 0])
         own[0] += len(b.text)
         own[1] += len(PUNCTUATION.findall(b.text))
         own[2] += 1
-    raw = [(n / k) * (p / k + 1) for n, p, k in (total[b.element.path] for b in blocks)]
+    return [(n / k) * (p / k + 1) for n, p, k in (total[b.element.path] for b in blocks)]
+
+
+def smoothed(raw: list[float], settings: Settings) -> list[float]:
+    """Scores smoothed by a Gaussian over their neighbours in the page."""
     reach = math.ceil(3 * settings.width)
     weight = [math.exp(-(d**2) / (2 * settings.width**2)) for d in range(-reach, reach + 1)]
-    return [sum(w * raw[j] for d, w in zip(range(-reach, reach + 1), weight) if 0 <= (j := k + d) < len(raw)) / sum(w for d, w in zip(range(-reach, reach + 1), weight) if 0 <= k + d < len(raw)) for k in range(len(raw))]
+    whole, n = sum(weight), len(raw)
+    out = []
+    for k in range(n):
+        if reach <= k < n - reach:
+            out.append(sum(map(operator.mul, weight, raw[k - reach : k + reach + 1])) / whole)
+        else:
+            own = weight[max(0, reach - k) : reach + n - k]
+            out.append(sum(map(operator.mul, own, raw[max(0, k - reach) : k + reach + 1])) / sum(own))
+    return out
+
+
+class _Tree:
+    """The elements above a page's blocks. Numbers grow downwards, so sums go up by descending numbers."""
+
+    def __init__(self, blocks: list[_Block]) -> None:
+        self.own: dict[int, _Element] = {}
+        for b in blocks:
+            e = b.element
+            while e is not None and e.number not in self.own:
+                self.own[e.number] = e
+                e = e.parent
+        self.down = sorted(self.own)
+
+    def sums(self, blocks: list[_Block], values: list[float]) -> dict[int, float]:
+        """The values of all blocks under each element, summed."""
+        out = dict.fromkeys(self.down, 0.0)
+        for b, v in zip(blocks, values):
+            out[b.element.number] += v
+        for number in reversed(self.down):
+            if (e := self.own[number].parent) is not None:
+                out[e.number] += out[number]
+        return out
+
+    def under(self, tops: set[int], stops: set[int] = frozenset()) -> set[int]:
+        """Numbers of the elements under tops, without the subtrees of stops below them."""
+        out: set[int] = set()
+        for number in self.down:
+            parent = self.own[number].parent
+            if number in tops or parent is not None and parent.number in out and number not in stops:
+                out.add(number)
+        return out
 
 
 def main_text(page: str | None, settings: Settings = Settings()) -> str:
     """The article of a page, its blocks joined by newlines; empty if there is none.
 
-    Blocks under elements that are no article by tag, role or class are out. Paths whose smoothed score reaches the
-    threshold select the content element: the best-scoring article or main, else the deepest element with most of the
-    selected text. All its remaining blocks are the text, so short paragraphs between long ones stay.
+    Text that is never shown is out. Scores are raised in an article or main and lowered in subtrees that tag, role, class
+    or id mark as no article, unless such a subtree even so holds most of the page's scored text. Paths whose smoothed
+    score reaches the threshold select the content element: the deepest grouping element with most of the selected text,
+    and with it the article or main around it and sibling articles that hold selected text. All its blocks are the text,
+    so short paragraphs between long ones stay, but marked subtrees whose paths fall under the threshold are left out.
     """
     blocks = [b for b in blocks_of(page or "") if not b.element.skipped]
     if not blocks:
         return ""
-    scores = path_scores(blocks, settings)
+    tree, raw, sizes = _Tree(blocks), raw_scores(blocks), [len(b.text) for b in blocks]
+    plain = smoothed(raw, settings)
+    marked = {n for n, e in tree.own.items() if e.mark}
+
+    def lowered() -> list[float]:
+        doubted = tree.under(marked)
+        return [x * (settings.bonus if b.element.container >= 0 else 1) * (settings.doubt if b.element.number in doubted else 1) for b, x in zip(blocks, plain)]
+
+    scores = lowered()
+    held = tree.sums(blocks, [x * n for x, n in zip(scores, sizes)])
+    if most := {n for n in marked if held[n] >= settings.most * held[0]}:
+        marked -= most
+        scores = lowered()
     mean = sum(scores) / len(scores)
     cut = settings.cut * math.sqrt(sum((x - mean) ** 2 for x in scores) / len(scores))
-    chosen = [(b, s) for b, s in zip(blocks, scores) if s >= cut] or list(zip(blocks, scores))
-    held: dict[int, float] = {}
-    for b, s in zip(blocks, scores):
-        if b.element.container >= 0:
-            held[b.element.container] = held.get(b.element.container, 0) + s * len(b.text)
-    if held:
-        best = max(held, key=lambda k: (held[k], -k))
-        return "\n".join(b.text for b in blocks if b.element.container == best)
-    weight: dict[int, int] = {}
+    chosen = [x >= cut for x in scores]
+    if not any(chosen):
+        chosen = [True] * len(blocks)
+    weight = tree.sums(blocks, [n * c for n, c in zip(sizes, chosen)])
     depth: dict[int, int] = {}
-    for b, _ in chosen:
-        line, e = [], b.element
-        while e is not None:
-            line.append(e.number)
-            e = e.parent
-        for d, number in enumerate(reversed(line)):
-            weight[number] = weight.get(number, 0) + len(b.text)
-            depth[number] = d
-    need = settings.share * weight[0]
-    best = max((n for n in weight if weight[n] >= need), key=lambda n: (depth[n], -n))
-
-    def under(e: _Element | None) -> bool:
-        while e is not None:
-            if e.number == best:
-                return True
-            e = e.parent
-        return False
-
-    return "\n".join(b.text for b in blocks if under(b.element))
+    for n in tree.down:
+        e = tree.own[n].parent
+        depth[n] = 0 if e is None else depth[e.number] + 1
+    best = max((n for n in tree.down if weight[n] >= settings.share * weight[0] and tree.own[n].tag in GROUPS), key=lambda n: (depth[n], -n))
+    if tree.own[best].container >= 0:
+        best = tree.own[best].container
+    top = tree.own[best]
+    tops = {best}
+    if top.tag == "article":
+        near = {id(top.parent), id(top.parent.parent or top.parent)}
+        tops |= {n for n, e in tree.own.items() if e.container == n and e.tag == "article" and weight[n] and near & {id(e.parent), id(e.parent.parent or e.parent)}}
+    own = tree.sums(blocks, [x * n for x, n in zip(raw, sizes)])
+    length = tree.sums(blocks, sizes)
+    low = {n for n in marked if own[n] / length[n] * (settings.doubt if tree.own[n].mark == 2 else 1) < cut}
+    if top.tag not in ("body", "html", ""):
+        low = {n for n in low if tree.own[n].tag != "header"}
+    inside = tree.under(tops, low)
+    return "\n".join(b.text for b in blocks if b.element.number in inside)
 
 
 def extract(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:

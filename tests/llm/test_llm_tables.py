@@ -75,6 +75,19 @@ def test_whole_article_of_many_short_paragraphs():
     assert html_extract.main_text(PAGE % ("<article>" + "".join(f"<p>{p}</p>" for p in parts) + "</article>", "")) == "\n".join(parts)
 
 
+SENTENCES = ["The first paragraph, which is long, says a lot; it has commas, and a stop.", "The second paragraph, as long as that, goes on; it has commas too, and a stop.", "The third paragraph, no shorter, comes to an end; it has commas, and a stop."]
+TEXT = "".join(f"<p>{x}</p>" for x in SENTENCES)
+
+
+@pytest.mark.parametrize("body, expected", [
+    (f"<div class='content'><h2>Head</h2>{TEXT}</div><div class='list'><article><p>A teaser.</p></article></div>", ["Head", *SENTENCES]),
+    ("<div class='list'>" + "".join(f"<article><h2>Part</h2><p>{x}</p></article>" for x in SENTENCES) + "</div>", [y for x in SENTENCES for y in ("Part", x)]),
+    (f"<main><h1>Head</h1><div><p>Short</p>{TEXT}</div></main>", ["Head", "Short", *SENTENCES]),
+])
+def test_paths_choose_the_content_element(body, expected):
+    assert html_extract.main_text(PAGE % (body, "")) == "\n".join(expected)
+
+
 def test_html_odd_rows(spark):
     rows = [(None, None, None), (1, "u", ""), (1, "u", ""), (2, "u", "plain text & more"), (3, "u", "<" * 20_000), (4, "u", "<p a='" * 3000), (5, "u", "<script>never closed"), (6, "u", "<article>" + "<div>" * 3000 + "deep"), (7, "u", "</p></div>x</b><![CDATA[ <y> ]]>")]
     df = spark.createDataFrame(rows, PAGES).withColumn("text", F.lit("x")).withColumn("n_chars", F.lit("x"))
