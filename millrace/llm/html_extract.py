@@ -169,7 +169,6 @@ def blocks_of(page: str) -> list[_Block]:
             mark = 0
         if inside and mark == 1 and (tag == "header" or "header" in words.split(".")) and DOUBTFUL_WORDS.isdisjoint(words.split(".")):
             mark = 0
-        skipped = skipped or mark > 0
         if tag in BLOCK or skipped and not parent.skipped or mark:
             flush()
         count += 1

@@ -88,6 +88,17 @@ def test_paths_choose_the_content_element(body, expected):
     assert html_extract.main_text(PAGE % (body, "")) == "\n".join(expected)
 
 
+@pytest.mark.parametrize("body, expected", [
+    (f"<article><h1>Head</h1>{TEXT}<section id='related-work'><h2 id='comment-on-x'>Work</h2><p>{SENTENCES[0]}</p></section></article>", ["Head", *SENTENCES, "Work", SENTENCES[0]]),
+    (f"<article class='post category-social has-comments'><h1>Head</h1>{TEXT}</article>", ["Head", *SENTENCES]),
+    (f"<div class='has-sidebar'><article><h1>Head</h1>{TEXT}</article></div>", ["Head", *SENTENCES]),
+    (f"<form id='aspnet'><div class='page'><h1>Head</h1>{TEXT}</div></form>", ["Head", *SENTENCES]),
+    (f"<article><div class='social'>{TEXT}<p>So <math><mi>x</mi></math> and <label>this</label>.</p></div><div class='share'>Tweet</div></article>", [*SENTENCES, "So x and this."]),
+])
+def test_marked_subtrees_with_the_text_stay(body, expected):
+    assert html_extract.main_text(PAGE % (body, "")) == "\n".join(expected)
+
+
 def test_html_odd_rows(spark):
     rows = [(None, None, None), (1, "u", ""), (1, "u", ""), (2, "u", "plain text & more"), (3, "u", "<" * 20_000), (4, "u", "<p a='" * 3000), (5, "u", "<script>never closed"), (6, "u", "<article>" + "<div>" * 3000 + "deep"), (7, "u", "</p></div>x</b><![CDATA[ <y> ]]>")]
     df = spark.createDataFrame(rows, PAGES).withColumn("text", F.lit("x")).withColumn("n_chars", F.lit("x"))
