@@ -51,7 +51,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labels:
     A rule decides where one fits. The labels (url, good 0/1; by default the decided urls, good where allowed) are counted
     in a tree of templates: per host, level by level, a segment becomes * if its branch has many distinct segments or it
     has a digit; sibling branches with alike smoothed purities are merged into one; a template's purity is smoothed by the
-    same template over all hosts, and that by the whole. Templates under settings.reject are blocked, others allowed.
+    same template over all hosts (a merged one by its members' labels over all hosts), and that by the whole. Templates under settings.reject are blocked, others allowed.
     Null urls and urls without :// have an empty host and path and go by the empty template; repeated rows are judged
     each; an empty table gives no rows; other columns are ignored. Every count is a partial aggregate before its shuffle,
     so a host that holds a third of all rows costs one row a task; verdicts come back by joins on the template.
@@ -72,12 +72,15 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labels:
         tree = _generalise(tree, depth, s)
     tree = staged(tree, "url-tree")
     tree = staged(_merge_alike(tree, deepest, s), "url-tree")
-    per_host = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("goods").alias("goods"))
-    over_all = per_host.groupBy("template").agg(F.sum("labelled").alias("all_labelled"), F.sum("goods").alias("all_goods"))
-    goods, labelled = per_host.agg(F.coalesce(F.sum("goods"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0))).first()
-    wide = over_all.select("template", ((F.col("all_goods") + s.prior * (goods + 1) / (labelled + 2)) / (F.col("all_labelled") + s.prior)).alias("wide"))
-    purity = per_host.join(wide, "template").select("host", "template", ((F.col("goods") + s.prior * F.col("wide")) / (F.col("labelled") + s.prior)).alias("purity"))
-    of_path = tree.select("host", "path", "template").join(purity, ["host", "template"])
+    # The pool over all hosts is of unmerged templates, so labels of merged branches stay in it; a merged template goes by
+    # the pools of its members.
+    members = tree.groupBy("host", "merged", "template").agg(F.sum("labelled").alias("labelled"), F.sum("goods").alias("goods"))
+    goods, labelled = members.agg(F.coalesce(F.sum("goods"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0))).first()
+    over_all = members.groupBy("template").agg(F.sum("labelled").alias("all_labelled"), F.sum("goods").alias("all_goods"))
+    per_host = members.join(over_all, "template").groupBy("host", "merged").agg(*[F.sum(c).alias(c) for c in ("labelled", "goods", "all_labelled", "all_goods")])
+    wide = (F.col("all_goods") + s.prior * (goods + 1) / (labelled + 2)) / (F.col("all_labelled") + s.prior)
+    purity = per_host.select("host", F.col("merged").alias("template"), ((F.col("goods") + s.prior * wide) / (F.col("labelled") + s.prior)).alias("purity"))
+    of_path = tree.select("host", "path", F.col("merged").alias("template")).join(purity, ["host", "template"])
     joined = base.join(of_path, ["host", "path"], "left")
     return joined.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.verdict"), F.when(F.col("purity") < s.reject, "block").otherwise("allow")).alias("verdict"), "template", "purity")
 
@@ -101,7 +104,8 @@ def _generalise(tree: DataFrame, depth: int, s: Settings) -> DataFrame:
 
 def _merge_alike(tree: DataFrame, depth: int, s: Settings) -> DataFrame:
     """Merges sibling templates of a host, which differ in one literal segment only, if their smoothed purities fall into
-    the same interval of width merge_gap: they then share a class in that place. From the deepest place to the first."""
+    the same interval of width merge_gap: they then share a class in that place of the new column merged. From the deepest
+    place to the first."""
     nodes = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("goods").alias("g")).withColumn("merged", F.col("template"))
     for place in reversed(range(depth)):
         parts = F.split("merged", "/", -1)  # the first part is empty
@@ -113,4 +117,4 @@ def _merge_alike(tree: DataFrame, depth: int, s: Settings) -> DataFrame:
         moved = now.join(alike, ["host", "before", "after", "class"]).select("host", "before", "after", "own", F.concat(F.lit("{"), F.col("class").cast("string"), F.lit("}")).alias("shared"))
         joined = here.join(moved, ["host", "before", "after", "own"], "left")
         nodes = staged(joined.select("host", "template", "l", "g", F.when(F.col("shared").isNotNull(), F.array_join(F.concat("before", F.array("shared"), "after"), "/")).otherwise(F.col("merged")).alias("merged")), "url-nodes")
-    return tree.drop("segments").join(nodes.select("host", "template", "merged"), ["host", "template"]).withColumn("template", F.col("merged")).drop("merged")
+    return tree.drop("segments").join(nodes.select("host", "template", "merged"), ["host", "template"])

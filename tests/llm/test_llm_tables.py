@@ -44,6 +44,16 @@ def test_variable_segments_and_alike_siblings(spark):
     assert got["http://b.net/useraa/x"] == "/*/x"
 
 
+def test_labels_of_merged_branches_judge_other_hosts(spark):
+    labels = spark.createDataFrame([(f"http://a.net/{name}/x", 1) for name in "pq" for _ in range(20)] + [("http://b.net/p/x", 0)] * 12, "url string, good int")
+    pages = spark.createDataFrame([(1, "http://a.net/p/x"), (2, "http://b.net/p/x"), (3, "http://c.net/p/x")], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge(pages, rules=(), labels=labels).collect()}
+    assert [got[k]["verdict"] for k in (1, 2, 3)] == ["allow", "block", "allow"] and got[1]["template"] != got[3]["template"] == "/p/x"
+    whole = 41 / 54
+    assert got[3]["purity"] == pytest.approx((20 + 5 * whole) / (32 + 5))  # all 32 labels of /p/x, smoothed by the whole
+    assert got[1]["purity"] == pytest.approx((40 + 5 * (40 + 5 * whole) / (52 + 5)) / (40 + 5))
+
+
 def test_url_odd_rows(spark):
     rows = [(None, "http://a/b", "x"), (1, None, None), (1, None, None), (2, "http://h/" + "a/" * 5000, "x"), (3, "http://h/%", None)]
     df = spark.createDataFrame(rows, PAGES)
