@@ -11,36 +11,45 @@ from pyspark.sql import functions as F
 
 
 def shuffle_key(seed: int, stage: str, key: Column) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:{stage}:"), key.cast("string")))
+    """The salted digest of a key. Null keys come last, behind all hexadecimal digits, as in SQL."""
+    return F.coalesce(F.md5(F.concat(F.lit(f"{seed}:{stage}:"), key.cast("string"))), F.lit("null"))
 
 
-def _exact_top(rows: DataFrame, group: str, quota: str, seed: int, stage: str, key: Column) -> DataFrame:
-    """For each group its first quota rows in shuffled order, exactly.
+def _marked(rows: DataFrame, seed: int, stage: str, key: Column) -> DataFrame:
+    """rows with _digest, _bucket (its first 16 bits) and _key."""
+    return rows.withColumn("_digest", shuffle_key(seed, stage, key)).withColumn("_bucket", F.substring("_digest", 1, 4)).withColumn("_key", key)
 
-    rows carries the group's size in n_group. Rows whose digest lies beyond the quota's share, with a margin of ten standard
-    deviations, can't be among them and are dropped before the sort, so that a group of a third of all rows sorts only what
-    it keeps. If the margin failed for a group (its chance is below 1e-20), its whole is ranked.
-    """
-    spread = F.conv(F.substring("_digest", 1, 13), 16, 10).cast("double") / float(16**13)
-    share = F.col(quota) / F.col("n_group")
-    margin = share + 10 * F.sqrt(share / F.col("n_group")) + 50.0 / F.col("n_group")
-    near = rows.withColumn("_digest", shuffle_key(seed, stage, key)).withColumn("_key", key).filter(spread <= margin)
-    order = Window.partitionBy(group).orderBy("_digest", "_key")
-    return near.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= F.col(quota)).drop("_digest", "_key", "_rank")
+
+def _bucket_counts(marked: DataFrame, group: str) -> DataFrame:
+    """(_group, _bucket, c): at most 65,537 rows a group."""
+    return marked.groupBy(F.col(group).alias("_group"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("c")).withColumnRenamed("_b", "_bucket")
 
 
-def _by_group(rows: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
-    """Adds columns of sizes, which has a row for each class or source; their number is bounded by the closed domain, and
-    the optimiser broadcasts them if they are small."""
-    return rows.join(sizes, rows[group].eqNullSafe(sizes["_group"])).drop("_group")
+def _exact_top(marked: DataFrame, counts: DataFrame, quotas: DataFrame, group: str) -> DataFrame:
+    """For each group its first quota rows in shuffled order, exactly, whatever the keys: repeated ones or null.
+
+    quotas (_group, quota) has a row for each class or source; their number is bounded by the closed domain. counts are those
+    of the digests' buckets; they tell the bucket that holds a group's cut. Buckets before it are kept whole, those behind it
+    are dropped before the sort, and ranks are taken within a bucket, so a group of a third of all rows is many partitions.
+    """
+    upto = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    places = counts.withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0))).withColumnRenamed("_group", "_g")
+    found = places.join(F.broadcast(quotas), F.col("_g").eqNullSafe(F.col("_group"))).filter((F.col("before") < F.col("quota")) & (F.col("before") + F.col("c") >= F.col("quota")))
+    cut = found.select("_group", F.col("_bucket").alias("_cut"), (F.col("quota") - F.col("before")).alias("_left"))
+    near = marked.join(F.broadcast(cut), marked[group].eqNullSafe(cut["_group"])).filter(F.col("_bucket") <= F.col("_cut"))
+    order = Window.partitionBy(group, "_bucket").orderBy("_digest", "_key")
+    kept = near.withColumn("_rank", F.row_number().over(order)).filter((F.col("_bucket") < F.col("_cut")) | (F.col("_rank") <= F.col("_left")))
+    return kept.drop("_digest", "_bucket", "_key", "_group", "_cut", "_left", "_rank")
 
 
 def downsample_to_balance(rows: DataFrame, group: str, key: Column, seed: int = 42) -> DataFrame:
     """As many rows of each class as the smallest has; all rows if there are fewer than two classes."""
-    counts = rows.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("n_group"))
+    marked = _marked(rows, seed, "balance", key)
+    buckets = _bucket_counts(marked, group)
+    counts = buckets.groupBy("_group").agg(F.sum("c").alias("n_group"))
     least = counts.agg(F.min("n_group").alias("quota"), F.count("*").alias("classes"))
-    few = counts.join(F.broadcast(least.withColumn("classes", F.col("classes"))), F.lit(True)).select("_group", "n_group", F.when(F.col("classes") < 2, F.col("n_group")).otherwise(F.col("quota")).alias("quota"))
-    return _exact_top(_by_group(rows, few, group), group, "quota", seed, "balance", key).drop("n_group", "quota")
+    few = counts.join(F.broadcast(least), F.lit(True)).select("_group", F.when(F.col("classes") < 2, F.col("n_group")).otherwise(F.col("quota")).alias("quota"))
+    return _exact_top(marked, buckets, few, group)
 
 
 def balanced_count(counts: DataFrame, class_column: str, count_column: str) -> DataFrame:
@@ -79,11 +88,13 @@ def mix_plan(sources: DataFrame, target: int | None) -> DataFrame:
 
 def build_mix(rows: DataFrame, shares: dict[str, float], key: Column, target: int | None = None, seed: int = 42, source: str = "source") -> DataFrame:
     """The largest mix of rows (tagged by source) in the given shares, at most target rows, no row twice."""
-    counts = rows.groupBy(source).agg(F.count("*").alias("n"))
+    marked = _marked(rows, seed, "mix", key)
+    buckets = _bucket_counts(marked, source)
+    counts = buckets.groupBy(F.col("_group").alias(source)).agg(F.sum("c").alias("n"))
     listed = rows.sparkSession.createDataFrame([(k, name, float(p)) for k, (name, p) in enumerate(shares.items())], "ord int, name string, proportion double")
     sized = listed.join(counts, listed["name"] == counts[source], "left").select("ord", "name", "proportion", F.coalesce("n", F.lit(0)).alias("n"))
-    plan = mix_plan(renormalize(sized), target).select(F.col("name").alias("_group"), F.col("n").alias("n_group"), F.col("taken").alias("quota"))
-    return _exact_top(_by_group(rows, plan, source), source, "quota", seed, "mix", key).drop("n_group", "quota")
+    plan = mix_plan(renormalize(sized), target).select(F.col("name").alias("_group"), F.col("taken").alias("quota"))
+    return _exact_top(marked, buckets, plan, source)
 
 
 def train_val_split(rows: DataFrame, ratio: float, key: Column, seed: int = 42) -> DataFrame:
@@ -94,8 +105,8 @@ def train_val_split(rows: DataFrame, ratio: float, key: Column, seed: int = 42)
     """
     if not 0 < ratio < 1:
         raise ValueError(f"val ratio {ratio} is not between 0 and 1")
-    marked = rows.withColumn("_digest", shuffle_key(seed, "split", key)).withColumn("_bucket", F.substring("_digest", 1, 4)).withColumn("_key", key)
-    counts = marked.groupBy("_bucket").agg(F.count("*").alias("c"))  # at most 65,536 rows
+    marked = _marked(rows, seed, "split", key)
+    counts = marked.groupBy("_bucket").agg(F.count("*").alias("c"))  # at most 65,537 rows
     upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     places = counts.withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0))).withColumn("n", F.sum("c").over(Window.partitionBy()))
     cut = F.greatest(F.lit(1), F.floor(F.col("n") * ratio))

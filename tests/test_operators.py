@@ -1,6 +1,7 @@
 """Sampling, rewards, metrics, converters, sources and streams on literal rows."""
 
 import datetime as dt
+import hashlib
 import json
 
 import pytest
@@ -53,6 +54,18 @@ def test_renormalize(spark):
         sampling.renormalize(s.withColumn("n", F.col("ord") * 0)).collect()
 
 
+def test_repeated_and_null_keys_are_counted(spark):
+    often = max((f"b{k}" for k in range(50)), key=lambda x: hashlib.md5(f"42:mix:{x}".encode()).hexdigest())
+    rows = rows_of(spark, a=6000, b=8000).unionByName(spark.createDataFrame([("b", often)] * 4000, "source string, id string"))
+    assert sizes(sampling.build_mix(rows, {"a": 0.5, "b": 0.5}, F.col("id"), target=20_000)) == {"a": 6000, "b": 6000}
+    most = rows.filter("source = 'b'").withColumn("source", F.lit("a")).unionByName(rows.filter("source = 'b'"))
+    assert sizes(sampling.build_mix(most, {"a": 0.5, "b": 0.5}, F.col("id"), target=20_000)) == {"a": 10_000, "b": 10_000}
+    null = rows_of(spark, a=10).unionByName(spark.range(30).select(F.lit("b").alias("source"), F.lit(None).cast("string").alias("id")))
+    assert sizes(sampling.build_mix(null, {"a": 0.25, "b": 0.75}, F.col("id"))) == {"a": 10, "b": 30}
+    assert sizes(sampling.downsample_to_balance(null, "source", F.col("id"))) == {"a": 10, "b": 10}
+    assert sizes(sampling.train_val_split(null, 0.5, F.col("id")), "part") == {"train": 20, "val": 20}
+
+
 def test_balance(spark):
     rows = spark.createDataFrame([("WAIT" if k < 100 else "ACT", k) for k in range(120)], "c string, id long")
     assert sizes(sampling.downsample_to_balance(rows, "c", F.col("id")), "c") == {"WAIT": 20, "ACT": 20}
