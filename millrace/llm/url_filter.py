@@ -16,12 +16,13 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 @dataclass(frozen=True)
 class Settings:
     """max_depth: path segments with a level of their own, the rest is one tail. variable_kinds: from so many distinct
-    children a branch's segments are variable. merge_gap: sibling templates whose smoothed purities differ by less are
-    merged. prior: pseudo-counts that a parent lends its children. reject: a template of a lower purity is blocked."""
+    children a branch's segments are variable. merge_gap, merge_z: sibling templates whose purities differ by less
+    than the gap, or by fewer standard errors of their counts, are merged. prior: pseudo-counts that a parent lends its children. reject: a template of a lower purity is blocked."""
 
     max_depth: int = 8
     variable_kinds: int = 20
     merge_gap: float = 0.1
+    merge_z: float = 2.0
     prior: float = 5.0
     reject: float = 0.5
 
@@ -102,19 +103,38 @@ def _generalise(tree: DataFrame, depth: int, s: Settings) -> DataFrame:
     return out.withColumn("template", step).drop("own", "wide")
 
 
+def _classes(siblings: Column, s: Settings) -> Column:
+    """Siblings (p, l, g, own), in order of purity, as classes (l, g, owns): each joins the class before it if its purity is
+    nearer than the gap to the class's, or nearer than merge_z standard errors of both counts. Classes are at least a
+    gap apart, so their intervals of that width differ and name them."""
+    kind = "array<struct<l:bigint,g:bigint,owns:array<string>>>"
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        both = (last["g"] + x["g"]) / (last["l"] + x["l"])
+        apart = x["p"] - last["g"] / last["l"]
+        alike = (apart < s.merge_gap) | (apart < s.merge_z * F.sqrt(both * (1 - both) * (1 / last["l"] + 1 / x["l"])))
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct((last["l"] + x["l"]).alias("l"), (last["g"] + x["g"]).alias("g"), F.concat(last["owns"], F.array(x["own"])).alias("owns"))))
+        fresh = F.concat(done, F.array(F.struct(x["l"].alias("l"), x["g"].alias("g"), F.array(x["own"]).alias("owns"))))
+        return F.when((F.size(done) > 0) & alike, joined).otherwise(fresh).cast(kind)
+
+    return F.aggregate(siblings, F.array().cast(kind), add)
+
+
 def _merge_alike(tree: DataFrame, depth: int, s: Settings) -> DataFrame:
-    """Merges sibling templates of a host, which differ in one literal segment only, if their smoothed purities fall into
-    the same interval of width merge_gap: they then share a class in that place of the new column merged. From the deepest
-    place to the first."""
+    """Merges sibling templates of a host, which differ in one literal segment only, if their purities are alike: they then
+    share a class in that place of the new column merged. From the deepest place to the first. A branch with more kinds
+    than settings.variable_kinds is *, so the siblings of a place are few."""
     nodes = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("goods").alias("g")).withColumn("merged", F.col("template"))
     for place in reversed(range(depth)):
         parts = F.split("merged", "/", -1)  # the first part is empty
         own = F.get(parts, F.lit(place + 1))
         here = nodes.withColumn("own", own).withColumn("before", F.slice(parts, 1, F.lit(place + 1))).withColumn("after", F.slice(parts, place + 3, F.lit(s.max_depth + 1)))
         now = here.filter((F.col("own") != "*") & (F.col("own") != "**")).groupBy("host", "before", "after", "own").agg(F.sum("l").alias("l"), F.sum("g").alias("g")).filter(F.col("l") >= s.prior)
-        now = now.withColumn("class", F.floor((F.col("g") + s.prior * 0.5) / (F.col("l") + s.prior) / s.merge_gap))
-        alike = now.groupBy("host", "before", "after", "class").agg(F.count("*").alias("k")).filter("k > 1")
-        moved = now.join(alike, ["host", "before", "after", "class"]).select("host", "before", "after", "own", F.concat(F.lit("{"), F.col("class").cast("string"), F.lit("}")).alias("shared"))
+        siblings = now.groupBy("host", "before", "after").agg(F.sort_array(F.collect_list(F.struct((F.col("g") / F.col("l")).alias("p"), "l", "g", "own"))).alias("siblings"))
+        classes = siblings.select("host", "before", "after", F.explode(_classes(F.col("siblings"), s)).alias("c")).filter(F.size("c.owns") > 1)
+        shared = F.concat(F.lit("{"), F.floor(F.col("c.g") / F.col("c.l") / s.merge_gap).cast("string"), F.lit("}"))
+        moved = classes.select("host", "before", "after", F.explode("c.owns").alias("own"), shared.alias("shared"))
         joined = here.join(moved, ["host", "before", "after", "own"], "left")
         nodes = staged(joined.select("host", "template", "l", "g", F.when(F.col("shared").isNotNull(), F.array_join(F.concat("before", F.array("shared"), "after"), "/")).otherwise(F.col("merged")).alias("merged")), "url-nodes")
     return tree.drop("segments").join(nodes.select("host", "template", "merged"), ["host", "template"])

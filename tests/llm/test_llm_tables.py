@@ -54,6 +54,14 @@ def test_labels_of_merged_branches_judge_other_hosts(spark):
     assert got[1]["purity"] == pytest.approx((40 + 5 * (40 + 5 * whole) / (52 + 5)) / (40 + 5))
 
 
+def test_siblings_merge_by_gap_and_counts(spark):
+    labels = {"e": (1000, 899), "f": (1000, 901), "g": (5, 5), "h": (500, 500), "i": (1000, 700), "j": (8, 3), "k": (1000, 40)}
+    rows = [(f"http://a.net/{host}/{name}/x", int(k < good)) for host, names in (("m", "ef"), ("n", "gh"), ("o", "ijk")) for name in names for n, good in [labels[name]] for k in range(n)]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(sorted({u for u, _ in rows}))], "page_id long, url string")
+    got = {r["path"].split("/")[2]: r["template"] for r in url_filter.judge(pages, rules=(), labels=spark.createDataFrame(rows, "url string, good int")).collect()}
+    assert got["e"] == got["f"] and got["g"] == got["h"] and got["i"] == got["j"] != got["k"]
+
+
 def test_url_odd_rows(spark):
     rows = [(None, "http://a/b", "x"), (1, None, None), (1, None, None), (2, "http://h/" + "a/" * 5000, "x"), (3, "http://h/%", None)]
     df = spark.createDataFrame(rows, PAGES)
