@@ -44,9 +44,12 @@ _AGAINST = "version licen isbn doi build release http:// https:// chapter page f
 
 _SECRET = re.compile(r"""(?i)(?<![A-Za-z0-9])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)["']?[\x20\t]*[:=][\x20\t]*["']?([^\s"'<>]{6,})""")
 _BLOB = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/=_-])")
+_KNOWN = r"AKIA[0-9A-Z]{16}|gh[pousr]_\w{20,}+|sk-\w{20,}+|eyJ[\w.-]{20,}+"
+_KNOWN_SECRET = re.compile(rf"(?<![\w+/-])(?:{_KNOWN})(?![\w+/=-])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NAME = re.compile(rf"(?<!\w)(?:{'|'.join(_TITLES)})\.?\x20([A-ZÀ-Þ][a-zß-ÿ]+(?:\x20[A-ZÀ-Þ][a-zß-ÿ]+)?)")
+_FIRST_NAME = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(_FIRST_NAMES))})(?:\x20[A-ZÀ-Þ][a-zß-ÿ]+)?(?!\w)")
 
 LABELERS = 4
 
@@ -97,6 +100,8 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     out = []
     if "=" in text or ":" in text:
         out += [("secret", *m.span(1)) for m in _SECRET.finditer(text)]
+    if any(t in text for t in ("AKIA", "gh", "sk-", "eyJ")):
+        out += [("secret", *m.span()) for m in _KNOWN_SECRET.finditer(text)]
     if _DIGIT.search(text):
         out += [("secret", *m.span()) for m in _BLOB.finditer(text)]
         if "-" in text:
@@ -104,6 +109,8 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         out += [("iban", *m.span()) for m in _IBAN.finditer(text)]
     if any(t in text for t in _TITLES):
         out += [("name", *m.span(1)) for m in _NAME.finditer(text)]
+    if any(t in text for t in _FIRST_NAMES):
+        out += [("name", *m.span()) for m in _FIRST_NAME.finditer(text)]
     return out
 
 
@@ -140,7 +147,7 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     elif kind == "card":
         known = 1 if value[0] in "23456" else 0
     elif kind == "secret":
-        known = 1 if re.fullmatch(r"(?:[0-9a-f]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_\w{20,}|sk-\w{20,}|eyJ[\w.-]{20,})", value) else 0
+        known = 1 if re.fullmatch(rf"(?:[0-9a-f]{{32,}}|{_KNOWN})", value) else 0
     else:
         known = 0
     cues = 1 if any(c in before for c in _CUES[kind]) else 0
