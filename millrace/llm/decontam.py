@@ -23,7 +23,8 @@ class Settings:
     """stride: words between passages, each two strides long. share: part of an item's own score that a passage must reach
     to be retrieved. k1, b: of BM25. block: items that share one bound, at least (more where the table of
     bounds would exceed bound_cells numbers). gram, overlap: share of the
-    question's and of the answer's word n-grams that a retrieved passage must hold. index_chars: of the items that are
+    question's and of the answer's word n-grams that a retrieved passage must hold. whole: share of the n-grams of question
+    and answer together that is enough if the answer is no longer than one n-gram. index_chars: of the items that are
     indexed and broadcast at once; more items take more passes."""
 
     stride: int = 64
@@ -34,6 +35,7 @@ class Settings:
     bound_cells: int = 4_000_000
     gram: int = 3
     overlap: float = 0.5
+    whole: float = 0.75
     index_chars: int = 16_000_000
 
 
@@ -89,6 +91,17 @@ class Index:
         there = _grams(words, n)
         return tuple(len(g & (there if len(next(iter(g))) == n else _grams(words, len(next(iter(g)))))) / len(g) if (g := _grams(p, n)) else 1.0 for p in (q, a))
 
+    def held(self, item: int, words: list[str], q: float, answer: float) -> bool:
+        """Whether words hold the item. A short answer is one gram, which a changed word or a cut breaks: there the share of
+        the whole item's grams is enough."""
+        s, own = self.settings, self.parts[item]
+        if q < s.overlap or answer >= s.overlap:
+            return q >= s.overlap
+        if len(own[1]) > s.gram:
+            return False
+        grams = _grams(own[0] + own[1], s.gram)
+        return len(grams & _grams(words, s.gram)) >= s.whole * len(grams)
+
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, float, float, float]]:
         """(text's place, item's id, best score, question and answer overlap) of every verified pair."""
         s, get = self.settings, self.terms.get
@@ -121,7 +134,7 @@ class Index:
                 for item, score in self.retrieve(term[a:b], reach[k] >= 1 - 1e-9):
                     near = words[t][max(0, first_word - self.longest) : first_word + 2 * s.stride + self.longest]
                     q, answer = self.overlaps(item, near)
-                    if q >= s.overlap and answer >= s.overlap and score > found.get((t, item), (0.0,))[0]:
+                    if self.held(item, near, q, answer) and score > found.get((t, item), (0.0,))[0]:
                         found[t, item] = (score, q, answer)
         for (t, item), (score, q, answer) in found.items():
             yield t, self.ids[item], score, q, answer

@@ -210,6 +210,16 @@ def test_decontamination_finds_what_was_planted(spark):
     assert {(r["doc_id"], r["item_id"]) for r in blocks} == planted
 
 
+def test_changed_or_cut_short_answers_are_found(spark):
+    rng = random.Random(10)
+    said = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n))
+    asked = [said(20) for _ in range(3)]
+    items = [(0, f"{asked[0]}. Yes."), (1, f"{asked[1]}. {said(3)}."), (2, f"{asked[2]}. {said(6)}.")]
+    docs = [(0, f"{said(50)} {asked[0]}. No. {said(50)}"), (1, f"{said(50)} {asked[1]}"), (2, f"{said(50)} {asked[2]}"), (3, f"{said(50)} {' '.join(asked[0].split()[:12])} {said(50)}")]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 0), (1, 1)}
+
+
 def test_bounds_lose_nothing():
     """Every item above the threshold by full scoring of every passage is retrieved."""
     rng = random.Random(9)
