@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import decontam, ngram_join, packing, pii, quality
 from millrace.llm.queries import encoder
-from millrace.llm.staging import new_folder
+from millrace.llm.staging import new_folder, staged
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,12 +22,17 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id. Documents with a null id stay."""
-    found = ngram_join.cluster(docs)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    own = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        own = own.dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates: that with the smallest id. Documents with a null id stay. Where ids
+    repeat, equal rows of an id and text are one, and rows of one id with other texts are judged as documents of their own."""
+    named = docs.filter("doc_id is not null")
+    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        found = ngram_join.cluster(docs)
+        own = named.join(found.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    else:
+        rows = docs.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()))
+        rows = staged(rows, "pipeline-rows")
+        found = ngram_join.cluster(rows, key="_row")
+        own = rows.join(found.filter("_row = component_id").select("_row"), "_row", "left_semi")
     return own.select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 

@@ -52,6 +52,14 @@ def test_run_packs_what_the_stages_keep(spark, folder):
         assert b"".join(r["ids"] for r in own) == expected and len(expected) == 4 * own[0]["doc_tokens"]
 
 
+def test_repeated_ids_with_other_texts_stay(spark):
+    said = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(1, said(1)), (1, said(2)), (1, said(2)), (2, said(1) + " end"), (3, said(3)), (3, said(3) + " end"), (None, said(4)), (None, said(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.deduplicate(spark, docs, "").collect())
+    assert got == [(0, said(4)), (0, said(4)), (1, said(1)), (1, said(2)), (3, said(3))]
+
+
 def test_empty_tables(spark, folder, tmp_path):
     root, _ = folder
     spark.read.parquet(f"{root}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
