@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -117,6 +118,139 @@ def test_marked_subtrees_with_the_text_stay(body, expected):
     assert html_extract.main_text(PAGE % (body, "")) == "\n".join(expected)
 
 
+@pytest.mark.parametrize("body, expected", [
+    (f"<article><h1>One</h1>{TEXT}</article><article><h1>Two</h1>{TEXT}</article>", ["One", *SENTENCES, "Two", *SENTENCES]),
+    (f"<article><h1>Head</h1>{TEXT}<div class='notice-period'><p>Two months.</p></div><section id='social-history'><p>Short.</p></section></article>", ["Head", *SENTENCES, "Two months.", "Short."]),
+    (f"<article><h1>Head</h1>{TEXT}<div class='notice'><p>Closed today.</p></div><section class='post-comments'><p>{SENTENCES[0]}</p></section></article>", ["Head", *SENTENCES]),
+    (f"<h1>Head</h1>{TEXT}<ul><li>a</li></ul><div>Home</div>", ["Head", *SENTENCES, "a"]),
+    ("<p>" + "</p><p>".join(SENTENCES) + "</p><article><h2>Card</h2></article>", SENTENCES),
+])
+def test_paths_select_whole_articles(body, expected):
+    assert html_extract.main_text(PAGE % (body, "")) == "\n".join(expected)
+
+
+def plain_text_of(page, s):
+    """main_text() restated on closed markup: strings for paths, a list of ancestors for every block, every sum anew."""
+    import html.parser
+    import math
+
+    class Reader(html.parser.HTMLParser):
+        open, blocks, count = [("", "", 0)], [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.count += 1
+            words = dict(attrs).get("class") or ""
+            mark = 2 if tag in ("nav", "footer", "aside") else int(tag == "header" and not any(t == "article" for t, _, _ in self.open) or words in ("ad", "side-bar sidebar", "comments"))
+            self.open = [*self.open, (tag, f"{tag} {words} {mark}", self.count)]
+
+        def handle_endtag(self, tag):
+            self.open = self.open[:-1]
+
+        def handle_data(self, data):
+            if data.strip():
+                self.blocks = [*self.blocks, (self.open, " ".join(data.split()))]
+
+    reader = Reader()
+    reader.feed(page)
+    rows = [{"up": up, "path": "/".join(x for _, x, _ in up), "text": text, "ids": [i for _, _, i in up]} for up, text in reader.blocks]
+    if all(any(x.endswith(" 2") for _, x, _ in r["up"]) for r in rows):
+        return ""
+    for r in rows:
+        same = [q["text"] for q in rows if q["path"] == r["path"]]
+        r["t"], r["p"] = sum(map(len, same)) / len(same), sum(sum(c in ".,;:!?" for c in x) for x in same) / len(same)
+
+    def near(k, name):
+        around = [(q[name], math.exp(-((k - j) ** 2) / (2 * s.width**2))) for j, q in enumerate(rows) if abs(k - j) <= math.ceil(3 * s.width)]
+        return sum(x * w for x, w in around) / sum(w for _, w in around)
+
+    for k, r in enumerate(rows):
+        r["plain"] = near(k, "t") * (near(k, "p") + 1)
+        r["marks"] = {i for _, x, i in r["up"] if x and x[-1] in "12"}
+        r["inside"] = any(t == "article" for t, _, _ in r["up"])
+
+    def factor(r):
+        return (s.bonus if r["inside"] else 1) * (s.doubt if r["marks"] - lifted else 1)
+
+    lifted = set()
+    whole = sum(r["plain"] * factor(r) * len(r["text"]) for r in rows)
+    lifted = {i for r in rows for _, x, i in r["up"] if x.endswith(" 1") and sum(q["plain"] * factor(q) * len(q["text"]) for q in rows if i in q["ids"]) >= s.most * whole}
+    for r in rows:
+        own = [q["plain"] * factor(q) for q in rows if q["path"] == r["path"]]
+        r["score"] = sum(own) / len(own)
+    mean = sum(r["plain"] for r in rows) / len(rows)
+    deviation = math.sqrt(sum((r["plain"] - mean) ** 2 for r in rows) / len(rows))
+    cut = max(s.cut * deviation, s.faint * max(r["score"] for r in rows)) if deviation > 1e-9 * mean else 0
+    for r in rows:
+        r["on"] = r["score"] >= cut
+    groups = ("article", "body", "div", "html", "section", "", "nav", "footer", "aside", "header")
+    selected = {i: sum(len(q["text"]) for q in rows if q["on"] and i in q["ids"]) for r in rows for i in r["ids"]}
+    length = {i: sum(len(q["text"]) for q in rows if factor(q) >= 1 and i in q["ids"]) for i in selected}
+    places = {i: (depth, t, r["up"]) for r in rows for depth, (t, _, i) in enumerate(r["up"])}
+    best = max((i for i, (_, t, _) in places.items() if t in groups and selected[i] >= s.share * selected[0]), key=lambda i: (places[i][0], -i))
+    around = [i for t, _, i in places[best][2][: places[best][0] + 1] if t == "article"]
+    best = around[0] if around else best
+    tag, own_group = places[best][1], {k: [i for t, _, i in r["up"] if t in groups][-1] for k, r in enumerate(rows)}
+    tops = {best}
+    if tag == "article":
+        above = {i for _, _, i in places[best][2][max(0, places[best][0] - 2) : places[best][0]]}
+        tops |= {i for i, (d, t, up) in places.items() if t == "article" and selected[i] and not any(x == "article" for x, _, _ in up[:d]) and above & {x for _, _, x in up[max(0, d - 2) : d]}}
+    elif tag in ("body", "html", ""):
+        tops = {own_group[k] for k, r in enumerate(rows) if r["on"] and r["t"] * (r["p"] + 1) * factor(r) >= cut}
+    headers = {i for i, (_, t, _) in places.items() if t == "header"} if tag not in ("body", "html", "", "article") else set()
+    bare = {i for i in tops if places[i][1] in ("body", "html", "")}
+    tops = {i for i in tops - bare if selected[i] >= s.hold * length[i]}
+    out = []
+    for k, r in enumerate(rows):
+        if own_group[k] in bare or tops & set(r["ids"]):
+            keep = r["on"] or not r["marks"] - lifted - headers
+        else:
+            keep = r["on"] and r["t"] * (r["p"] + 1) * factor(r) >= cut
+        out += [r["text"]] if keep else []
+    return "\n".join(out)
+
+
+def random_page(rng):
+    def words(n):
+        return " ".join(rng.choice(["lorem", "ipsum", "dolor,", "sit.", "amet", "elit;"]) for _ in range(n))
+
+    def part(depth):
+        kind = rng.choice(["p", "p", "p", "h2", "li", "group", "group"] if depth else ["group"])
+        if kind == "group" and depth < 5:
+            tag = rng.choice(["div", "div", "section", "article", "nav", "footer", "aside", "header"])
+            own = rng.choice(["", "", "", " class='ad'", " class='content'", " class='comments'", " class='notice-period'", " class='side-bar sidebar'"])
+            return f"<{tag}{own}>" + "".join(part(depth + 1) for _ in range(rng.randint(1, 5))) + f"</{tag}>"
+        if kind == "li":
+            return "<ul>" + "".join(f"<li>{words(rng.randint(1, 4))}</li>" for _ in range(rng.randint(1, 5))) + "</ul>"
+        return f"<h2>{words(rng.randint(1, 5))}</h2>" if kind == "h2" else f"<p>{words(rng.choice([2, 10, 40]))}</p>"
+
+    return "<html><body>" + "".join(part(rng.randint(0, 1)) for _ in range(rng.randint(1, 6))) + "</body></html>"
+
+
+def test_extraction_equals_brute_force():
+    rng, kinds = random.Random(8), set()
+    for _ in range(400):
+        page = random_page(rng)
+        got, expected = html_extract.main_text(page), plain_text_of(page, html_extract.Settings())
+        assert got == expected, page
+        every = "\n".join(b.text for b in html_extract.blocks_of(page))
+        kinds.add((got == "", got == every))
+    assert kinds == {(True, False), (False, True), (False, False)}
+
+
+def test_ratios_decide(monkeypatch):
+    pages = [p for _, p in zip(range(200), iter(lambda rng=random.Random(9): random_page(rng), None))]
+    before = [html_extract.main_text(p) for p in pages]
+    monkeypatch.setattr(html_extract, "path_ratios", lambda blocks: [(50.0, 1.0)] * len(blocks))
+    assert sum(html_extract.main_text(p) != x for p, x in zip(pages, before)) > 120
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<a x='" * 170_000, "<!" * 500_000, "<div>" * 200_000 + "deep", '<a ">"' * 170_000, "<b>" + "<div>" * 100_000 + "</b>" * 100_000, "<div>" * 100_000 + "</span>" * 100_000, "&" * 1_000_000, "<" * 1_000_000])
+def test_long_markup_takes_linear_time(page):
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 10  # about 2 s at most; quadratic work would take minutes
+
+
 def test_html_odd_rows(spark):
     rows = [(None, None, None), (1, "u", ""), (1, "u", ""), (2, "u", "plain text & more"), (3, "u", "<" * 20_000), (4, "u", "<p a='" * 3000), (5, "u", "<script>never closed"), (6, "u", "<article>" + "<div>" * 3000 + "deep"), (7, "u", "</p></div>x</b><![CDATA[ <y> ]]>")]
     df = spark.createDataFrame(rows, PAGES).withColumn("text", F.lit("x")).withColumn("n_chars", F.lit("x"))
