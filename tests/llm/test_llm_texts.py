@@ -1,5 +1,6 @@
 """Packing, quality rules, personal data and decontamination against plain Python, and their edge cases."""
 
+import functools
 import hashlib
 import random
 import re
@@ -32,10 +33,15 @@ def encoder():
     return packing.WordEncoder(P.path("word_bpe_49k.json"), 2, cache_size=500)
 
 
-def whole_ids(encoder, text):
+@functools.cache
+def tokenizer(path):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(encoder.path).encode(text, add_special_tokens=False).ids + [2]
+    return Tokenizer.from_file(path)
+
+
+def whole_ids(encoder, text):
+    return tokenizer(encoder.path).encode(text, add_special_tokens=False).ids + [2]
 
 
 def test_encoder_equals_the_tokenizer(encoder):
@@ -46,6 +52,24 @@ def test_encoder_equals_the_tokenizer(encoder):
         assert np.frombuffer(got, "<u4").tolist() == whole_ids(encoder, t), repr(t)
 
 
+def test_encoder_is_bounded_and_cuts_long_texts(encoder, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcdefghij ", k=6000)) for _ in range(6)] + ["", " \x0b ", "x" * 500]
+    expected = [whole_ids(encoder, t) for t in texts]
+    monkeypatch.setattr(packing, "_SLICE_BYTES", 300)
+    for _ in range(2):  # the second time some words are known
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder([*texts, None])] == [*expected, [2]]
+    assert len(encoder._known.place) <= 500 + 300
+
+
+def test_windows_emit_the_fullest():
+    windows = packing._Windows(100, 3, 2, 0)
+    made = [r for doc, n in enumerate([60, 70, 80, 25, 35, 15, 19, 50]) for r in windows.add(doc, 0, b"abcd" * n, n)]
+    placed = {r[0]: (r[5], r[6]) for r in made + list(windows.leftovers())}
+    assert made and all(sum(r[2] for r in made if r[5] == s) >= 98 for s in {r[5] for r in made})
+    assert placed[3][0] == placed[1][0] and placed[4][0] == placed[0][0] and placed[5][0] == placed[2][0]  # best fit
+
+
 def check_packed(rows, expected, window):
     by_doc, by_sequence = {}, {}
     for r in rows:
@@ -62,7 +86,7 @@ def check_packed(rows, expected, window):
         own.sort(key=lambda r: r["offset"])
         assert [r["offset"] for r in own] == list(np.cumsum([0] + [r["length"] for r in own[:-1]]))
     used = [sum(r["length"] for r in own) for own in by_sequence.values()]
-    assert max(used) <= window and sum(u < window for u in used) <= 1
+    assert max(used) <= window and sum(u < window - window // 100 for u in used) <= 1
     return by_doc
 
 
