@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.jsontext import json_object, number_text, spaced
 from millrace.schemas import DECISIONS, GESTURES, PAN_MAX, PAN_MIN, TILT_MAX, TILT_MIN
 
 # Fixed value: the system message of every example; rows are told by it, so it must be the same to the letter.
@@ -33,33 +34,47 @@ SYSTEM_PROMPT = f"""Ты — управляющий контур социаль
 
 
 def situation_json(observations: Column, silence: Column, memory: Column | None = None) -> Column:
-    """A situation of observations only: keys in order, null members left out, the silent audio an empty object."""
-    empty = F.array().cast("array<string>")
-    body = F.struct(F.coalesce(memory, empty).alias("memory") if memory is not None else empty.alias("memory"), F.coalesce(observations, empty).alias("observations"), silence.cast("double").alias("silence_sec"))
-    return F.concat(F.lit('{"audio":{},'), F.substring(F.to_json(body), 2, 1 << 30))
+    """A situation of observations only: members in order, nulls left out, the silent audio an empty object."""
+    none = F.array().cast("array<string>")
+    lists = {"memory": F.coalesce(memory, none) if memory is not None else none, "observations": F.coalesce(observations, none)}
+    return json_object({"audio": F.lit("{}"), **{k: spaced(F.to_json(v)) for k, v in lists.items()}, "silence_sec": number_text(silence)})
 
 
 def full_situation_json(situation: Column) -> Column:
-    """Any situation struct, its members in the order of their names and nulls left out at every depth."""
-    part = lambda parent, *names: F.when(parent.isNotNull(), F.struct(*[parent[n].alias(n) for n in sorted(names)]))
-    s = situation
-    return F.to_json(
-        F.struct(
-            part(s["audio"], "speech", "lang", "addressed_to_robot").alias("audio"), s["last_robot_action"].alias("last_robot_action"), F.coalesce(s["memory"], F.array().cast("array<string>")).alias("memory"),
-            F.coalesce(s["observations"], F.array().cast("array<string>")).alias("observations"), part(s["person"], "id", "name", "known", "last_seen").alias("person"),
-            F.coalesce(s["silence_sec"], F.lit(0.0)).alias("silence_sec"), s["time"].alias("time"), part(s["visual"], "faces", "distance", "looking_at_robot", "emotion").alias("visual"),
-        )
-    )
+    """Any situation struct (schemas.SITUATION): members in the order of their names at every depth, missing flags, counts
+    and lists by their defaults, other nulls left out; a member struct without anything is an empty object."""
+    s, none = situation, F.array().cast("array<string>")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+
+    def part(parent: Column, **members: Column) -> Column:
+        return F.when(parent.isNotNull(), spaced(F.to_json(F.struct(*[c.alias(k) for k, c in sorted(members.items())]))))
+
+    audio, person, visual = s["audio"], s["person"], s["visual"]
+    text = lambda c: F.when(c.isNotNull(), spaced(_quoted(c)))
+    return json_object({
+        "audio": part(audio, speech=audio["speech"], lang=audio["lang"], addressed_to_robot=audio["addressed_to_robot"]),
+        "last_robot_action": text(s["last_robot_action"]),
+        "memory": spaced(F.to_json(F.coalesce(s["memory"], none))),
+        "observations": spaced(F.to_json(F.coalesce(s["observations"], none))),
+        "person": part(person, id=person["id"], name=person["name"], known=flag(person["known"]), last_seen=person["last_seen"]),
+        "silence_sec": number_text(F.coalesce(s["silence_sec"], F.lit(0.0))),
+        "time": text(s["time"]),
+        "visual": part(visual, faces=F.coalesce(visual["faces"], F.lit(0)), distance=visual["distance"], looking_at_robot=flag(visual["looking_at_robot"]), emotion=F.coalesce(visual["emotion"], F.lit("unknown"))),
+    })
 
 
-def decision_struct(decision: Column, confidence: Column, text: Column | None = None, lang: str = "ru") -> Column:
+def decision_json(decision: Column, confidence: Column, text: Column | None = None, lang: str = "ru") -> Column:
     """A decision whose speech is there only if it is to act; a rejected action's text thus never leaks."""
-    speech = F.when((decision == "ACT") & text.isNotNull(), F.struct(F.lit(lang).alias("lang"), text.alias("text"))) if text is not None else F.lit(None).cast("struct<lang:string,text:string>")
-    return F.struct(confidence.cast("double").alias("confidence"), decision.alias("decision"), speech.alias("speech"))
+    members = {"confidence": number_text(confidence), "decision": F.concat(F.lit('"'), decision, F.lit('"'))}
+    if text is not None:
+        speech = F.struct(F.lit(lang).alias("lang"), text.alias("text"))
+        members["speech"] = F.when((decision == "ACT") & text.isNotNull(), spaced(F.to_json(speech)))
+    return json_object(members)
 
 
-def decision_json(decision: Column, confidence: Column, text: Column | None = None, lang: str = "ru") -> Column:
-    return F.to_json(decision_struct(decision, confidence, text, lang))
+def _quoted(text: Column) -> Column:
+    whole = F.to_json(F.array(text))
+    return F.substring(whole, F.lit(2), F.length(whole) - 2)
 
 
 def example_messages(user: Column, assistant: Column | None = None) -> Column:
@@ -68,24 +83,46 @@ def example_messages(user: Column, assistant: Column | None = None) -> Column:
     return F.array(*[F.struct(F.lit(who).alias("role"), text.alias("content")) for who, text in said])
 
 
-_PARSED = "decision string, confidence double, speech struct<text:string,lang:string>, motion struct<pan:double,tilt:double,gesture:string>, memory_write string"
+_NUMBER = r"^[\x20\t\n\r]*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?[\x20\t\n\r]*$"
+_WHOLE = r"^[\x20\t\n\r]*[+-]?[0-9]+(\.0+)?[\x20\t\n\r]*$"
 
 
 def decision_valid(text: Column) -> Column:
     """Whether a JSON text is a decision: known names, ranges, whole servo steps, no speech or motion without acting, one of
-    them when acting. Broken JSON and missing fields are invalid; extra fields are ignored."""
-    d = F.from_json(text, _PARSED)
-    raw = F.from_json(text, "speech string, motion string")  # null where missing or null, else whatever stands there
-    speech, motion = raw["speech"].isNotNull(), raw["motion"].isNotNull()
-    step = lambda x, low, high: x.isNull() | (x.between(low, high) & (x == F.floor(x)))
-    fits = (
-        d["decision"].isin(*DECISIONS)
-        & d["confidence"].between(0.0, 1.0)
-        & (~speech | d["speech"]["text"].isNotNull())
-        & (~motion | (step(d["motion"]["pan"], PAN_MIN, PAN_MAX) & step(d["motion"]["tilt"], TILT_MIN, TILT_MAX) & (d["motion"]["gesture"].isNull() | d["motion"]["gesture"].isin(*GESTURES))))
-        & (speech | motion).eqNullSafe(d["decision"] == "ACT")
-    )
-    return F.coalesce(fits, F.lit(False))
+    them when acting. Numbers may be written as strings or as true and false; texts and names must be strings; a member
+    that isn't null by its kind, as a gesture or a step, must not be null. Broken JSON, text behind the object and missing
+    fields are invalid; extra fields are ignored."""
+    # Text behind the object makes the list longer, or no JSON. The lambda's variable holds what was parsed, once.
+    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.coalesce(F.get(F.transform(F.array(parsed), _valid_alone), F.lit(0)), F.lit(False))
+
+
+def _valid_alone(parsed: Column) -> Column:
+    """Whether a parsed list holds one valid decision and nothing else."""
+    get = lambda path, kind: F.try_variant_get(parsed, f"$[0]{path}", kind)
+    kind = lambda path: F.coalesce(F.schema_of_variant(get(path, "variant")), F.lit("MISSING"))
+    there = lambda path: ~kind(path).isin("MISSING", "VOID")
+
+    def number(path: str, form: str) -> Column:
+        said, own = get(path, "string"), kind(path)
+        return F.when(own == "STRING", F.when(said.rlike(form), F.btrim(said, F.lit(" \t\n\r")).try_cast("double"))).when(own == "BOOLEAN", get(path, "boolean").cast("double")).when(own.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), get(path, "double"))
+
+    def step(path: str, low: int, high: int) -> Column:
+        x = number(path, _WHOLE)
+        return (kind(path) == "MISSING") | F.coalesce(x.between(low, high) & (x == F.floor(x)), F.lit(False))
+
+    name = lambda path, names: (kind(path) == "STRING") & get(path, "string").isin(*names)
+    string_or = lambda path, *others: kind(path).isin("STRING", *others)
+    is_object = lambda path: kind(path).startswith("OBJECT")
+    speech, motion = there(".speech"), there(".motion")
+    return (
+        F.try_variant_get(parsed, "$[1]", "variant").isNull() & is_object("") & name(".decision", DECISIONS)
+        & F.coalesce(number(".confidence", _NUMBER).between(0.0, 1.0), F.lit(False))
+        & (~speech | (is_object(".speech") & string_or(".speech.text") & string_or(".speech.lang", "MISSING")))
+        & (~motion | (is_object(".motion") & step(".motion.pan", PAN_MIN, PAN_MAX) & step(".motion.tilt", TILT_MIN, TILT_MAX) & ((kind(".motion.gesture") == "MISSING") | name(".motion.gesture", GESTURES))))
+        & string_or(".memory_write", "VOID", "MISSING")
+        & ((speech | motion) == (get(".decision", "string") == "ACT"))
+    )
 
 
 def apply_temperature(probability: Column, temperature: float) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.jsontext import respelt
 from millrace.functions.labels import role, strip
 
 # The transcript format's markers, their roles and its end token.
@@ -25,9 +26,13 @@ def clean(text: Column) -> Column:
     return strip(F.replace(text, F.lit(END_TOKEN), F.lit("")))
 
 
-def content_text(value: Column) -> Column:
-    """A message's content of any JSON type: strings as they are, everything else (null too) as JSON."""
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.coalesce(F.to_json(value), F.lit("null")))
+def content_text(raw: Column) -> Column:
+    """A message's content, given as JSON text of any type: strings as they are, everything else (null too) as JSON, members
+    in their order. A missing content is null's text."""
+    value = F.coalesce(raw, F.lit("null"))
+    is_string = F.ltrim(value).startswith('"')
+    string = F.get(F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>"), F.lit(0))
+    return F.when(is_string, string).otherwise(respelt(F.when(~is_string, value)))
 
 
 def parse_transcript(chat: Column) -> Column:

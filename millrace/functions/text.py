@@ -34,7 +34,8 @@ def observation_lines(text: Column, limit: int = 12) -> Column:
 
 def timed_observations(raw: Column, limit: int = 12) -> Column:
     """'[time] event' of (time, event) structs, without blank events; null lists are empty."""
-    known = F.filter(F.coalesce(raw, F.array().cast("array<struct<time:string,event:string>>")), lambda x: x.isNotNull() & (F.coalesce(strip(x["event"]), F.lit("")) != ""))
+    struct = F.transform(raw, lambda x: F.when(x.isNotNull(), F.struct(x["time"].cast("string").alias("time"), x["event"].cast("string").alias("event"))))
+    known = F.filter(F.coalesce(struct, F.array().cast("array<struct<time:string,event:string>>")), lambda x: x.isNotNull() & (F.coalesce(strip(x["event"]), F.lit("")) != ""))
     shown = F.transform(known, lambda x: F.when(F.coalesce(x["time"], F.lit("")) != "", F.concat(F.lit("["), x["time"], F.lit("] "), strip(x["event"]))).otherwise(strip(x["event"])))
     return tail(shown, limit)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,24 +12,40 @@ def exact_overlap(train: DataFrame, held_out: DataFrame, text: str = "text") ->
     return held_out.join(train.select(digest(train).alias("_digest")).distinct(), digest(held_out) == F.col("_digest"), "left_semi")
 
 
-def contained(train: DataFrame, held_out: DataFrame, key: str, item: str, text: str = "text") -> DataFrame:
+def _runs(words: Column, n: int) -> Column:
+    """Hashes of the distinct runs of n words."""
+    run = lambda k: F.xxhash64(*[F.get(words, k + j) for j in range(n)])
+    return F.when(F.size(words) < n, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - n), run)))
+
+
+def contained(train: DataFrame, held_out: DataFrame, key: str, item: str, text: str = "text", small: int = 100_000) -> DataFrame:
     """(key, item): the items whose whole text occurs in a row's.
 
-    An item's text occurs only where its words do, so candidates come from an equi-join on one run of words of each item
-    (of its inner words, as the first and last may be cut), then the text is looked for. The run is that of the smallest
-    digest. Items of fewer words are looked for in every text.
+    An item's text occurs only where its words do, so candidates come from an equi-join on one run of four of its inner words
+    (the first and last may be cut), that of the smallest hash, or, with fewer inner words, on one of them; then the text is
+    looked for. Up to small items are broadcast, so texts aren't shuffled to be probed. Items of one or two words have no
+    inner one and are looked for in every text, small at a time. Null and blank items occur nowhere.
     """
-    n = 4
     words = lambda t: F.filter(F.split(t, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
-    runs = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda k: F.concat_ws(" ", F.slice(w, k + 1, F.lit(n)))))
     items = held_out.select(F.col(item), F.col(text).alias("_item"), words(F.col(text)).alias("_w")).filter(F.trim(F.col("_item")) != "")
-    inner = items.withColumn("_w", F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0)))).withColumn("_runs", runs(F.col("_w")))
-    long, short = inner.filter(F.size("_runs") > 0), inner.filter(F.coalesce(F.size("_runs") <= 0, F.lit(True)))
-    probe = long.select(item, "_item", F.array_min(F.transform("_runs", F.md5)).alias("_run"))
+    inner = items.select(item, "_item", F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))).alias("_w"))
+    by_size = {r["n"]: r["count"] for r in inner.groupBy(F.least(F.size("_w"), F.lit(4)).alias("n")).count().collect()}  # at most five rows
     source = train.select(key, text)
     # A column of its own for the words: inside a lambda an expression is evaluated for every element.
     split = source.select(key, words(F.col(text)).alias("_w"))
-    met = split.select(key, F.explode(F.array_distinct(F.transform(runs(F.col("_w")), F.md5))).alias("_run")).join(probe, "_run").select(key, item, "_item").distinct()
-    found = met.join(source, key).filter(F.contains(text, F.col("_item"))).select(key, item)
-    few = source.join(short.select(item, "_item"), F.contains(text, F.col("_item"))).select(key, item)
-    return found.unionByName(few).distinct()
+    found = source.join(inner.select(item).limit(0), F.lit(True)).select(key, item)
+    for n, sizes in ((4, [4]), (1, [1, 2, 3])):
+        count = sum(by_size.get(k, 0) for k in sizes)
+        if count:
+            own = inner.filter(F.least(F.size("_w"), F.lit(4)).isin(sizes))
+            probe = own.select(item, "_item", F.array_min(_runs(F.col("_w"), n)).alias("_run"))
+            runs = split.select(key, F.explode(_runs(F.col("_w"), n)).alias("_run"))
+            met = runs.join(F.broadcast(probe) if count <= small else probe, "_run").select(key, item, "_item").distinct()
+            found = found.unionByName(met.join(source, key).filter(F.contains(text, F.col("_item"))).select(key, item))
+    if by_size.get(0):
+        bare = inner.filter(F.size("_w") == 0).select(item, "_item")
+        blocks = -(-by_size[0] // small)
+        for k in range(blocks):
+            part = bare.filter(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == k)
+            found = found.unionByName(source.join(F.broadcast(part), F.contains(text, F.col("_item"))).select(key, item))
+    return found.distinct()

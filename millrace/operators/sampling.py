@@ -30,16 +30,32 @@ def _exact_top(marked: DataFrame, counts: DataFrame, quotas: DataFrame, group: s
 
     quotas (_group, quota) has a row for each class or source; their number is bounded by the closed domain. counts are those
     of the digests' buckets; they tell the bucket that holds a group's cut. Buckets before it are kept whole, those behind it
-    are dropped before the sort, and ranks are taken within a bucket, so a group of a third of all rows is many partitions.
+    are dropped; only the bucket that holds it is looked into (see _first_of), so no task holds or sorts a group.
     """
     upto = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     places = counts.withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0))).withColumnRenamed("_group", "_g")
     found = places.join(F.broadcast(quotas), F.col("_g").eqNullSafe(F.col("_group"))).filter((F.col("before") < F.col("quota")) & (F.col("before") + F.col("c") >= F.col("quota")))
     cut = found.select("_group", F.col("_bucket").alias("_cut"), (F.col("quota") - F.col("before")).alias("_left"))
     near = marked.join(F.broadcast(cut), marked[group].eqNullSafe(cut["_group"])).filter(F.col("_bucket") <= F.col("_cut"))
-    order = Window.partitionBy(group, "_bucket").orderBy("_digest", "_key")
-    kept = near.withColumn("_rank", F.row_number().over(order)).filter((F.col("_bucket") < F.col("_cut")) | (F.col("_rank") <= F.col("_left")))
-    return kept.drop("_digest", "_bucket", "_key", "_group", "_cut", "_left", "_rank")
+    inside = _first_of(near.filter(F.col("_bucket") == F.col("_cut")), group)
+    kept = near.filter(F.col("_bucket") < F.col("_cut")).unionByName(inside)
+    return kept.drop("_digest", "_bucket", "_key", "_group", "_cut", "_left")
+
+
+def _first_of(rows: DataFrame, group: str) -> DataFrame:
+    """The first _left rows of each group in the order of _digest and the whole row's hash. Rows are counted by digest and the
+    hash's first 16 bits, so a key with very many rows is many places, at most 65,536; only the place that holds the cut is
+    ranked."""
+    own = [F.col(f"`{c}`") for c in rows.columns if not c.startswith("_")]
+    told = rows.withColumn("_row", F.lpad(F.hex(F.xxhash64(F.to_json(F.struct(*own)))), 16, "0")).withColumn("_place", F.concat_ws(":", "_digest", F.substring("_row", 1, 4)))
+    upto = Window.partitionBy("_group").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    counts = told.groupBy("_group", "_place").agg(F.count("*").alias("c"), F.first("_left").alias("_n"))
+    cut = counts.withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0))).filter((F.col("before") < F.col("_n")) & (F.col("before") + F.col("c") >= F.col("_n")))
+    cut = cut.select(F.col("_group").alias("_g"), F.col("_place").alias("_last"), (F.col("_n") - F.col("before")).alias("_more"))
+    placed = told.join(F.broadcast(cut), F.col("_group").eqNullSafe(F.col("_g"))).filter(F.col("_place") <= F.col("_last"))
+    rank = F.row_number().over(Window.partitionBy("_group").orderBy("_row", "_key"))
+    last = placed.filter(F.col("_place") == F.col("_last")).withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_more")).drop("_rank")
+    return placed.filter(F.col("_place") < F.col("_last")).unionByName(last).drop("_row", "_place", "_g", "_last", "_more")
 
 
 def downsample_to_balance(rows: DataFrame, group: str, key: Column, seed: int = 42) -> DataFrame:
@@ -117,9 +133,3 @@ def train_val_split(rows: DataFrame, ratio: float, key: Column, seed: int = 42)
     outside = placed.filter(~split_here).withColumn("part", F.when(F.col("before") < F.col("cut"), "val").otherwise("train"))
     return outside.unionByName(inside.drop("_rank")).select(*[F.col(f"`{c}`") for c in rows.columns if c != "part"], "part")
 
-
-def describe_mix(total: int, by_source: dict[str, int], limiting: str, shortfall: dict[str, int]) -> str:
-    """A mix's report as text."""
-    lines = [f"mix: {total} examples"] + [f"  {name}: {n} ({n / total:.1%})" if total else f"  {name}: {n}" for name, n in by_source.items()]
-    lines += [f"  limited by {limiting}"] if limiting else []
-    return "\n".join(lines + [f"  {name} lacks {n}" for name, n in shortfall.items() if n > 0])

@@ -35,13 +35,48 @@ def scan_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_jsonl(spark, path, "conv_id long, turn long, role string, text string")
 
 
-@register("sink_jsonl", """select '{"conv_id":' || conv_id || ',"turn":' || turn || ',"role":' || to_json(role) || '}' as line from conversations""")
+@register("sink_jsonl", """select '{"conv_id":' || conv_id || ',"turn":' || turn || ',"role":' || to_json(role) || ',"text":' || to_json(text) || '}' as line from conversations""")
 def sink_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "sink")
-    files.write_jsonl(table(spark, sf, "conversations").select("conv_id", "turn", "role"), path)
+    files.write_jsonl(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
+@register("json_document", "select conv_id, turn, length(text)::bigint as data from conversations union all select conv_id, turn, 0 from conversations")
+def json_document(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of a list whose rows have a member data, and of an object with a list under data: one a dialogue."""
+    rows = table(spark, sf, "conversations")
+    one = lambda size: F.collect_list(F.struct("conv_id", "turn", size.cast("long").alias("data")))
+    out = None
+    for label, document in (("list", F.to_json(one(F.length("text")))), ("object", F.concat(F.lit('{"more": [1], "data": '), F.to_json(one(F.lit(0))), F.lit("}")))):
+        path = scratch(spark, f"json-{label}")
+        rows.groupBy("conv_id").agg(document.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+        read = files.read_json_document(spark, path).select("conv_id", "turn", "data")
+        out = read if out is None else out.unionByName(read)
+    return out
+
+
+@register("line_count", "select count(*) as examples from conversations")
+def line_count(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "lines")
+    rows = table(spark, sf, "conversations").select(F.explode(F.array(F.lit("  "), F.concat(F.lit("turn "), F.col("turn").cast("string")))).alias("value"))
+    rows.write.text(path)
+    return files.line_count(spark, path)
+
+
+@register("fetch_concat", "select conv_id, turn from conversations where role in (select role from conversations where role <> 'system' group by role having count(*) >= 50)")
+def fetch_concat(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of a crawl's usable files, as one corpus."""
+    rows = _crawl(spark, sf).withColumn("file", F.col("role"))
+    kept = rows.join(files.usable_files(rows, F.get_json_object("raw", "$.turn").isNotNull()), "file", "left_semi")
+    return kept.select(F.get_json_object("raw", "$.conv_id").cast("long").alias("conv_id"), F.get_json_object("raw", "$.turn").cast("long").alias("turn"))
+
+
+@register("reference_texts", "select text from conversations order by conv_id, turn limit 200")
+def reference_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return files.reference_texts(table(spark, sf, "conversations"), "text", ["conv_id", "turn"], 200)
+
+
 def _crawl(spark: SparkSession, sf: str) -> DataFrame:
     """conversations as a crawl of one folder a role, the system's with a malformed line in each file."""
     path = scratch(spark, "crawl")

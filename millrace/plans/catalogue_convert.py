@@ -60,8 +60,8 @@ _CONVERTED = f"""(select o_orderkey, seen, target, case when seen is null then '
 
 
 @register("proactive_convert", f"""select o_orderkey, status, case when status = 'kept' then target end as decision,
-  case when status = 'kept' then '{{"audio":{{}},"memory":[],"observations":[' || array_to_string(list_transform(seen[-12:], lambda x: '"' || x || '"'), ',') || '],"silence_sec":0.0}}' end as situation,
-  case when status = 'kept' then '{{"confidence":0.85,"decision":"' || target || '"' || case when target = 'ACT' then ',"speech":{{"lang":"ru","text":"Offer \\"help\\" ' || o_orderkey || '"}}' else '' end || '}}' end as answer from {_CONVERTED}""")
+  case when status = 'kept' then '{{"audio": {{}}, "memory": [], "observations": [' || array_to_string(list_transform(seen[-12:], lambda x: '"' || x || '"'), ', ') || '], "silence_sec": 0.0}}' end as situation,
+  case when status = 'kept' then '{{"confidence": 0.85, "decision": "' || target || '"' || case when target = 'ACT' then ', "speech": {{"lang": "ru", "text": "Offer \\"help\\" ' || o_orderkey || '"}}' else '' end || '}}' end as answer from {_CONVERTED}""")
 def proactive_convert(spark: SparkSession, sf: str) -> DataFrame:
     said = lambda k: F.get("messages", F.lit(k))["content"]
     return _proactive(spark, sf).select("o_orderkey", "status", "decision", said(1).alias("situation"), said(2).alias("answer"))
@@ -115,10 +115,11 @@ def role_norm(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", given.alias("given")).withColumn("role", labels.role(F.col("given")))
 
 
-@register("content_text", """select event_id, case event_id % 3 when 0 then event_type when 1 then props else 'null' end as content from (select event_id, event_type, replace(props, ': ', ':') as props from events)""")
+@register("content_text", """select event_id, case event_id % 4 when 0 then event_type when 1 then props when 2 then '{"z": [1, "a,b: c"], "a": ' || props || ', "x": null, "n": 1.50}' else 'null' end as content from (select event_id, event_type, props from events)""".replace("1.50", "1.5"))
 def content_text(spark: SparkSession, sf: str) -> DataFrame:
-    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(F.col("event_id") % 3 == 1, F.col("props")).otherwise(F.lit("null"))
-    return table(spark, sf, "events").select("event_id", dialogue.content_text(F.parse_json(raw)).alias("content"))
+    kind = F.col("event_id") % 4
+    raw = F.when(kind == 0, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(kind == 1, F.regexp_replace("props", " ", "")).when(kind == 2, F.concat(F.lit('{"z":[1,"a,b: c"],  "a":'), "props", F.lit(',"x":null,"n":1.50}'))).otherwise(F.lit("null"))
+    return table(spark, sf, "events").select("event_id", dialogue.content_text(raw).alias("content"))
 
 
 @register("as_text", """select event_id, event_type || chr(10) || 'k: ' || (props->>'k') as nested, 'k: ' || (props->>'k') as flat from events""")
@@ -176,15 +177,15 @@ def chat_render(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- situations and decisions ------------------------------------------------------------------------------------------
 
-_SITUATION = """'{"audio":{},"memory":[],"observations":["' || event_type || '"],"silence_sec":' || value || '}'"""
+_SITUATION = """'{"audio": {}, "memory": [], "observations": ["' || event_type || '", "a,b: \\"c\\""], "silence_sec": ' || value || '}'"""
 
 
 @register("situation_json", f"select event_id, {_SITUATION} as situation from events")
 def situation_json(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", decisions.situation_json(F.array("event_type"), F.col("value")).alias("situation"))
+    return table(spark, sf, "events").select("event_id", decisions.situation_json(F.array(F.col("event_type"), F.lit('a,b: "c"')), F.col("value")).alias("situation"))
 
 
-_ANSWER = """'{"confidence":0.85,"decision":"' || case when quality = 1 then 'ACT","speech":{"lang":"ru","text":"doc ' || doc_id || '"}}' else 'WAIT"}' end"""
+_ANSWER = """'{"confidence": 0.85, "decision": "' || case when quality = 1 then 'ACT", "speech": {"lang": "ru", "text": "doc ' || doc_id || '"}}' else 'WAIT"}' end"""
 
 
 def _answers(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,7 +198,7 @@ def decision_json(spark: SparkSession, sf: str) -> DataFrame:
     return _answers(spark, sf).select("doc_id", "answer")
 
 
-@register("build_example", f"""select doc_id, 3 as messages, '{{"audio":{{}},"memory":[],"observations":["seen"],"silence_sec":1.5}}' as situation, {_ANSWER} as answer from labels""")
+@register("build_example", f"""select doc_id, 3 as messages, '{{"audio": {{}}, "memory": [], "observations": ["seen"], "silence_sec": 1.5}}' as situation, {_ANSWER} as answer from labels""")
 def build_example(spark: SparkSession, sf: str) -> DataFrame:
     m = decisions.example_messages(decisions.situation_json(F.array(F.lit("seen")), F.lit(1.5)), F.col("answer"))
     rows = _answers(spark, sf).select("doc_id", m.alias("m"))
@@ -227,6 +228,46 @@ def decision_validity(spark: SparkSession, sf: str) -> DataFrame:
     return _generated(spark, sf).select("event_id", decisions.decision_valid(F.col("answer")).alias("valid"))
 
 
+# (decision text, whether it is one)
+_CASES = (
+    ('{"decision":"ACT","confidence":0.5,"speech":{"text":"hi"}}', True),
+    ('{"decision":"ACT","confidence":"0.5","speech":{"text":"hi"}}', True),
+    ('{"decision":"ACT","confidence":" 1e-1 ","speech":{"text":"hi"}}', True),
+    ('{"decision":"ACT","confidence":true,"speech":{"text":"hi"}}', True),
+    ('{"decision":"WAIT","confidence":0,"speech":null,"motion":null,"memory_write":null,"more":[1]}', True),
+    ('{"decision":"ACT","confidence":1,"motion":{}}', True),
+    ('{"decision":"ACT","confidence":1,"motion":{"pan":"10","tilt":-30.0,"gesture":"scan"}}', True),
+    ('{"decision":"ACT","confidence":1,"motion":{"pan":true}}', True),
+    (' {"decision":"OBSERVE","confidence":0.25,"memory_write":"x"} ', True),
+    ('{"decision":"ACT","confidence":0.5,"speech":{"text":5}}', False),
+    ('{"decision":"ACT","confidence":0.5,"speech":{"text":"hi","lang":null}}', False),
+    ('{"decision":"ACT","confidence":0.5,"speech":{}}', False),
+    ('{"decision":"ACT","confidence":0.5,"speech":"hi"}', False),
+    ('{"decision":"ACT","confidence":0.5,"speech":{"text":"hi"},"memory_write":7}', False),
+    ('{"decision":"ACT","confidence":0.5,"motion":{"gesture":null}}', False),
+    ('{"decision":"ACT","confidence":0.5,"motion":{"pan":null}}', False),
+    ('{"decision":"ACT","confidence":0.5,"motion":{"pan":10.5}}', False),
+    ('{"decision":"ACT","confidence":0.5,"motion":{"pan":91}}', False),
+    ('{"decision":"ACT","confidence":0.5,"motion":[]}', False),
+    ('{"decision":"ACT","confidence":"high","speech":{"text":"hi"}}', False),
+    ('{"decision":"ACT","confidence":null,"speech":{"text":"hi"}}', False),
+    ('{"decision":"act","confidence":0.5,"speech":{"text":"hi"}}', False),
+    ('{"decision":"WAIT","confidence":0.5,"speech":{"text":"hi"}}', False),
+    ('{"decision":"ACT","confidence":0.5}', False),
+    ('{"decision":"WAIT","confidence":0.5} and more', False),
+    ('{"decision":"WAIT","confidence":0.5},{"decision":"WAIT","confidence":0.5}', False),
+    ('{"decision":"WAIT","confidence":0.5', False),
+    ('["WAIT"]', False),
+    ("", False),
+)
+
+
+@register("decision_cases", "select * from (values " + ", ".join(f"({k}, '{t}', {v})" for k, (t, v) in enumerate(_CASES)) + ") t(k, answer, valid)")
+def decision_cases(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(_CASES)], "k int, answer string")
+    return rows.select("k", "answer", decisions.decision_valid(F.col("answer")).alias("valid"))
+
+
 @register("decision_rows", f"select event_id from {_VALID} where valid and event_id % 2 = 0")
 def decision_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = _generated(spark, sf)

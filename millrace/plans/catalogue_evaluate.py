@@ -184,10 +184,36 @@ def _aligned(spark: SparkSession, sf: str, unit: str) -> DataFrame:
     return rows.select("conv_id", "turn", "role", F.size("reference").cast("long").alias("reference_length"), text.align("reference", "hypothesis").alias("a")).select("*", "a.*")
 
 
-@register("align_counts")
+def _alignment_sql(unit: str) -> str:
+    """Every pair's (reference_length, substitutions, deletions, insertions) by a recursion over the diagonals of its distance
+    table. A cell is one number: cost * 2**42 + order of equal costs * 2**40 + substitutions * 2**20 + deletions."""
+    units = "case when {0} = '' then [] else string_split({0}, ' ') end" if unit == "words" else "list_filter(string_split(replace({0}, ' ', ''), ''), lambda c: c <> '')"
+    cost, order, substitution, deletion = 2**42, 2**40, 2**20, 1
+    zeros = "list_transform(range(len(r) + 1), lambda i: 0::bigint)"
+    return f"""with recursive t as (select conv_id, turn, role, {_NORMAL} as n from conversations),
+u as (select *, lead(n) over (partition by conv_id order by turn) as m from t),
+p as (select conv_id, turn, role, {units.format("n")} as r, {units.format("m")} as h from u where m is not null),
+a as (select conv_id, turn, 0 as k, {zeros} as before, {zeros} as last from p
+  union all
+  select conv_id, turn, k + 1, last, list_transform(range(len(r) + 1), lambda i: case when i > k + 1 or k + 1 - i > len(h) then 0
+    when i = 0 then (k + 1) * {cost} when i = k + 1 then (k + 1) * {cost + deletion}
+    when r[i] = h[k + 1 - i] then before[i]
+    else least(before[i] + {cost + substitution}, last[i] + {cost + order + deletion}, last[i + 1] + {cost + 2 * order}) & ~{3 * order} end)
+  from a join p using (conv_id, turn) where len(r) > 0 and len(h) > 0 and k < len(r) + len(h)),
+c as (select p.*, case when len(r) = 0 or len(h) = 0 then (len(r) + len(h)) * {cost} + len(r) else last[len(r) + 1] end as cell
+  from a join p using (conv_id, turn) where k = case when len(r) = 0 or len(h) = 0 then 0 else len(r) + len(h) end)
+select conv_id, turn, role, len(r)::bigint as reference_length, ((cell >> 20) & {2**20 - 1})::bigint as substitutions, (cell & {2**20 - 1})::bigint as deletions,
+  ((cell >> 42) - ((cell >> 20) & {2**20 - 1}) - (cell & {2**20 - 1}))::bigint as insertions from c"""
+
+
+def _rates_sql(unit: str) -> str:
+    return f"select role, sum(substitutions + deletions + insertions)::bigint as errors, sum(reference_length)::bigint as reference_length, round(coalesce(sum(substitutions + deletions + insertions) / nullif(sum(reference_length), 0)::double, 0), 9) as rate from ({_alignment_sql(unit)}) group by role"
+
+
+@register("align_counts", f"select conv_id, turn, reference_length, substitutions, deletions, insertions from ({_alignment_sql('words')})")
 def align_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Substitutions, deletions and insertions of each pair; the split between them is tested against a plain table."""
-    return _aligned(spark, sf, "words").select("conv_id", "turn", "reference_length", "substitutions", "deletions", "insertions")
+    """Substitutions, deletions and insertions of each pair."""
+    return _aligned(spark, sf, "words").select("conv_id", "turn", "reference_length", *[F.col(c).cast("long").alias(c) for c in ("substitutions", "deletions", "insertions")])
 
 
 def _rates(spark: SparkSession, sf: str, unit: str) -> DataFrame:
@@ -195,17 +221,17 @@ def _rates(spark: SparkSession, sf: str, unit: str) -> DataFrame:
     return got.select("role", "errors", "reference_length", F.round("rate", 9).alias("rate"))
 
 
-@register("corpus_wer")
+@register("corpus_wer", _rates_sql("words"))
 def corpus_wer(spark: SparkSession, sf: str) -> DataFrame:
     return _rates(spark, sf, "words")
 
 
-@register("corpus_cer")
+@register("corpus_cer", _rates_sql("characters"))
 def corpus_cer(spark: SparkSession, sf: str) -> DataFrame:
     return _rates(spark, sf, "characters")
 
 
-@register("asr_leaderboard")
+@register("asr_leaderboard", f"select role as name, rate as wer from ({_rates_sql('words')}) order by wer, name")
 def asr_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     """Roles as models, by their word error rate."""
     return _rates(spark, sf, "words").select(F.col("role").alias("name"), F.col("rate").alias("wer")).orderBy("wer", "name")

@@ -26,11 +26,94 @@ class SpeechSpec:
     streaming: bool = True
 
 
+@dataclass(frozen=True)
+class BuildSpec:
+    """A corpus build: sources by role, shares of the mix, and how it is cut."""
+
+    proportions: dict
+    proactivity: list = field(default_factory=list)
+    function_calling: list = field(default_factory=list)
+    replay: list = field(default_factory=list)
+    seed: int = 42
+    val_ratio: float = 0.05
+    target_size: int | None = None
+    proactivity_balance: bool = True
+
+
+# The defaults of both training stages, which the memory estimate and the runs read.
+ENGINES = ("unsloth", "hf")
+LINEAR_LAYERS = ("q_proj", "k_proj", "v_proj", "o_proj", "gate_proj", "up_proj", "down_proj")
+
+
+@dataclass(frozen=True)
+class AdapterSpec:
+    r: int = 32
+    alpha: int = 64
+    dropout: float = 0.0
+    target_modules: tuple = LINEAR_LAYERS
+
+
+@dataclass(frozen=True)
+class _TrainingSpec:
+    base_model: str = "Qwen/Qwen3-8B"
+    engine: str = "unsloth"
+    max_length: int = 4096
+    logging_steps: int = 10
+    seed: int = 42
+    bf16: bool = True
+    gradient_checkpointing: bool = True
+    load_in_4bit: bool = False
+    lora: AdapterSpec = AdapterSpec()
+
+    def __post_init__(self) -> None:
+        if self.engine not in ENGINES:
+            raise ValueError(f"engine {self.engine!r} is none of {', '.join(ENGINES)}")
+
+
+@dataclass(frozen=True)
+class TuningSpec(_TrainingSpec):
+    """Supervised tuning."""
+
+    train_file: str = "data/processed/train.jsonl"
+    val_file: str = "data/processed/val.jsonl"
+    output_dir: str = "outputs/adapter-decisions"
+    learning_rate: float = 1e-4
+    num_epochs: float = 3.0
+    per_device_batch_size: int = 4
+    gradient_accumulation_steps: int = 4
+    warmup_ratio: float = 0.03
+    eval_steps: int = 100
+    save_steps: int = 200
+    save_total_limit: int = 3
+
+
+@dataclass(frozen=True)
+class PreferenceSpec(_TrainingSpec):
+    """Preference tuning of an adapter."""
+
+    adapter_path: str = "outputs/adapter-decisions"
+    pairs_file: str = "data/processed/preference_pairs.jsonl"
+    output_dir: str = "outputs/adapter-decisions-dpo"
+    learning_rate: float = 5e-6
+    beta: float = 0.1
+    num_epochs: float = 1.0
+    per_device_batch_size: int = 2
+    gradient_accumulation_steps: int = 8
+    max_prompt_length: int = 3072
+
+
+def is_hub_id(path: str) -> bool:
+    """Whether a model's path names one on a hub: it has a slash and isn't absolute."""
+    return "/" in path and not path.startswith("/")
+
+
 def load(kind: type, values: dict):
     """A settings record of a mapping."""
     if unknown := sorted(set(values) - {f.name for f in fields(kind)}):
         raise TypeError(f"{kind.__name__} has no settings {', '.join(unknown)}")
-    return kind(**values)
+    nested = {"lora": AdapterSpec, **dict.fromkeys(("proactivity", "function_calling", "replay"), DatasetSpec)}
+    made = {k: v if k not in nested or v is None else [load(nested[k], x) for x in v] if isinstance(v, list) else load(nested[k], v) for k, v in values.items()}
+    return kind(**{k: v for k, v in made.items() if v is not None or k not in nested})
 
 
 def load_yaml(kind: type, path: str):
@@ -41,3 +124,7 @@ def load_yaml(kind: type, path: str):
         raise RuntimeError("reading YAML settings needs the yaml package; pass a mapping to load() instead") from e
     with open(path, encoding="utf-8") as f:
         return load(kind, yaml.safe_load(f) or {})
+
+
+def load_build(path: str) -> BuildSpec:
+    return load_yaml(BuildSpec, path)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 # Members of a JSON document's root that may hold its rows, in the order in which they are tried.
 ROOT_KEYS = ("data", "examples", "events", "instances")
@@ -31,12 +34,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 
 def read_json_document(spark: SparkSession, path: str, key: str = "data") -> DataFrame:
-    """Rows of a JSON document: its top-level list, or the list under key, or none."""
-    whole = spark.read.option("multiLine", True).json(require(spark, path))
-    if key in whole.columns and dict(whole.dtypes)[key].startswith("array"):
-        rows = whole.select(F.explode(key).alias("row"))
-        return rows.select("row.*") if "struct" in rows.dtypes[0][1] else rows
-    return whole if key not in whole.columns else whole.limit(0)
+    """Rows of a JSON document: those of its top-level list; else, its root being an object, of the list under key; else none.
+    What the root is decides, not what its rows hold."""
+    first = F.substring(F.btrim("value", F.lit(" \t\r\n\ufeff")), 1, 1)
+    roots = {r[0] for r in spark.read.text(require(spark, path), wholetext=True).select(first).distinct().collect()}  # one sign a kind of root
+    whole = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
+    if roots == {"["}:
+        return whole
+    if roots != {"{"}:
+        raise ValueError(f"{path} holds no JSON document, or documents of several kinds")
+    if not dict(whole.dtypes).get(key, "").startswith("array"):
+        return whole.limit(0)
+    rows = whole.select(F.explode(key).alias("row"))
+    return rows.select("row.*") if rows.dtypes[0][1].startswith("struct") else rows
 
 
 def read_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -58,7 +68,7 @@ def tolerant_rows(spark: SparkSession, folder: str, pattern: str = "*.jsonl") ->
 def tolerant_documents(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
     """(file, raw) of the rows of JSON documents: a top-level list, or the first member of ROOT_KEYS that is one. Files that
     can't be parsed give none."""
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     root = F.try_parse_json("value")
     lists = F.coalesce(F.try_variant_get(root, "$", "array<variant>"), *[F.try_variant_get(root, f"$.{k}", "array<variant>") for k in ROOT_KEYS])
     return whole.select("file", F.explode(lists).alias("item")).select("file", F.to_json("item").alias("raw"))
@@ -87,7 +97,8 @@ def sft_input(rows: DataFrame) -> DataFrame:
 
 
 def dpo_input(pairs: DataFrame) -> DataFrame:
-    """Pairs without their margin; none at all is an error."""
+    """Pairs without their margin; none at all is an error. The look at the first pair reads no more than that needs where
+    pairs are a table; made pairs should be written first."""
     out = pairs.drop("margin")
     if out.isEmpty():
         raise ValueError("no preference pairs; build them from an interaction log first")
@@ -138,14 +149,41 @@ def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(require(spark, path))
 
 
-def metrics_json(row: dict) -> str:
-    return json.dumps(row, ensure_ascii=False, indent=2, default=str)
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A short text as one file, in any store that Spark can write."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
-def markdown_table(rows: list[dict]) -> str:
-    """Rows as a Markdown table; numbers with four decimals."""
-    if not rows:
-        return ""
-    show = lambda v: f"{v:.4f}" if isinstance(v, float) else str(v)
-    lines = ["| " + " | ".join(rows[0]) + " |", "|" + " --- |" * len(rows[0])]
-    return "\n".join(lines + ["| " + " | ".join(show(v) for v in r.values()) + " |" for r in rows])
+def first_rows(spark: SparkSession, path: str, limit: int | None, schema: str | None = None) -> DataFrame:
+    """The first limit rows of JSON lines, blank ones not counted; all of them without a limit."""
+    rows = read_jsonl(spark, path, schema)
+    return rows if limit is None else rows.limit(limit)
+
+
+def reference_texts(rows: DataFrame, text: str, order: list[str], limit: int | None = None) -> DataFrame:
+    """The first transcripts in an order, missing ones as empty."""
+    ordered = rows.orderBy(*order).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def line_count(spark: SparkSession, path: str) -> DataFrame:
+    """(examples): lines that aren't blank."""
+    return spark.read.text(require(spark, path)).agg(F.count_if(F.trim("value") != "").alias("examples"))
+
+
+def prepared(rows: DataFrame, prepare: Callable[[dict], dict], schema: str) -> DataFrame:
+    """Every row through a callback, from a dictionary to one of the schema's columns, in Arrow batches of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if made := [prepare(r) for r in batch.to_pylist()]:
+                yield pa.RecordBatch.from_pylist([{k: r.get(k) for k in order} for r in made], schema=target)
+
+    target = to_arrow_schema(_parse_datatype_string(schema))
+    order = target.names
+    return rows.mapInArrow(run, schema)

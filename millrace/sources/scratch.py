@@ -11,9 +11,12 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the session's shared folder (spark.checkpoint.dir); in local tests, where that is unset, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", "")
+    """A new path in the session's shared folder (spark.checkpoint.dir). Where that is unset, a temporary one if the master is
+    local; a cluster's executors wouldn't share it, so there it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)

@@ -197,6 +197,7 @@ def test_json_documents(spark, tmp_path):
     (tmp_path / "e.json").write_text('[{"a": 3}]')
     assert sorted(r["a"] for r in files.read_json_document(spark, str(tmp_path / "d.json")).collect()) == [1, 2]
     assert files.read_json_document(spark, str(tmp_path / "e.json")).first()["a"] == 3
+    (tmp_path / "e.json").write_text('[\n {"a":\n 3}\n]')  # over several lines
     (tmp_path / "f.json").write_text("{broken")
     assert files.tolerant_documents(spark, str(tmp_path)).count() == 3
 
