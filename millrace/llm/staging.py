@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Only where it is unset (local tests), a temporary folder of the driver."""
+    """spark.checkpoint.dir of the session. Only where it is unset and the master is local, a temporary folder; a cluster's
+    executors wouldn't share one, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -24,6 +27,9 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/millrace/{label}-{uuid.uuid4().hex}"
 
 
+_TABLES: list[str] = []  # folders of staged tables that haven't been removed
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df, written once as Parquet and read back: a lost executor costs a re-read, not a recomputation.
 
@@ -31,14 +37,31 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark, path = df.sparkSession, new_folder(df.sparkSession, label)
     df.write.parquet(path)
+    _TABLES.append(path)
     spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Removes a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(df.sparkSession, df.staged_at)
+    if df.staged_at in _TABLES:
+        _TABLES.remove(df.staged_at)
+
+
+def staged_so_far() -> int:
+    return len(_TABLES)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Removes the tables staged since then; for when what was made of them is written."""
+    for path in _TABLES[since:]:
+        remove(spark, path)
+    del _TABLES[since:]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.staging import new_folder
+from millrace.llm.staging import discard, new_folder, staged
 
 # The header fields of the two ARC versions, as their version blocks spell them.
 ARC_FIELDS = {
@@ -131,7 +132,11 @@ def parse_arc(path: str, content: bytes) -> Iterator[tuple]:
 
 
 def convert(archives: DataFrame) -> DataFrame:
-    """ARC files (path, content) to WARC records: identifiers from place and URL, ISO dates, types, payload digests."""
+    """ARC files (path, content) to WARC records: identifiers from place and URL, ISO dates, types, payload digests.
+
+    A file that isn't ARC raises, as does a null content; an empty table gives no rows; other columns are ignored. Files of
+    equal path and content give equal identifiers.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,8 +150,9 @@ def mark_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Makes every record but one of each payload of at least least_bytes a revisit of that one.
 
     The one kept is that with the smallest key (null last), then the smallest record_id, so repeated rows are one
-    response and revisits. Digest groups are reduced to one row each before the join; a digest that a third of the records
-    share is split by the join's skew handling.
+    response and revisits. records must give the same identifiers each time it is evaluated (a staged table does): it is
+    read once for the digests' firsts, without payloads, and once to be marked. Digest groups are reduced to one row each
+    before the join; a digest that a third of the records share is split by the join's skew handling.
     """
     first = records.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min(F.struct(F.col("key").isNull().alias("n"), "key", "record_id", "uri", "date")).alias("first"))
     joined = records.join(first, "payload_digest", "left").withColumn("again", (F.col("payload_bytes") >= least_bytes) & F.coalesce(F.col("first.record_id") != F.col("record_id"), F.lit(False)))
@@ -175,40 +181,49 @@ def _warc_bytes(r: dict) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items() if v is not None).encode() + b"\r\n" + block
 
 
-def write(records: DataFrame, folder: str, per_file: int = 20_000) -> None:
+def write(records: DataFrame, folder: str, file_bytes: int = 64 << 20) -> None:
     """Writes marked records as gzipped WARC files by Spark's committing text writer, whose line separator is a record's end.
 
-    Each task's first file opens with a warcinfo record. A task that is lost is run again; only committed files appear.
+    Files hold about file_bytes of payload: as many records as that makes at the records' mean length, by a count over their
+    lengths only. Each task's first file opens with a warcinfo record. A task that is lost is run again; only committed
+    files appear. The writer makes one gzip stream a file, so records can't be reached without what precedes them; read()
+    passes over a file once and keeps one record at a time. Null keys have no key field; no records give an empty folder.
     """
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, first = pa.schema([("value", pa.binary())]), True
         for batch in batches:
-            rows = batch.to_pylist()
-            made = [_warc_bytes(r) for r in rows]
-            if first and made:
-                body = b"software: millrace\r\nformat: WARC File Format 1.1\r\n"
-                made.insert(0, f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'info ' + rows[0]['record_id'])}>\r\nWARC-Date: {rows[0]['date']}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body)
-                first = False
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], schema=schema)
-
+            for start in range(0, batch.num_rows, 64):
+                rows = batch.slice(start, 64).to_pylist()
+                made = [_warc_bytes(r) for r in rows]
+                if first and made:
+                    body = b"software: millrace\r\nformat: WARC File Format 1.1\r\n"
+                    made.insert(0, f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'info ' + rows[0]['record_id'])}>\r\nWARC-Date: {rows[0]['date']}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body)
+                    first = False
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], schema=schema)
+
+    mean = records.agg(F.avg(F.col("payload_bytes") + 1000)).first()[0] or file_bytes
+    per_file = max(1, int(file_bytes / mean))
     records.mapInArrow(form, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(folder)
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict, bytes]]:
-    """(header, block) of each record, by declared lengths."""
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines[1:])
+    """(header, block) of each record, by declared lengths; a gzipped file is decompressed record by record, whether it is
+    one stream or has one a record. A cut-off record raises."""
+    raw = io.BytesIO(content)
+    file = gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw
+    while line := file.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record before byte {file.tell()}")
+        head = {}
+        while (line := file.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode().removesuffix("\r\n").partition(": ")
+            head[name] = value
         size = int(head["Content-Length"])
-        yield head, content[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        block = file.read(size)
+        if len(block) < size or file.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record {head.get('WARC-Record-ID')} is cut off")
+        yield head, block
 
 
 READ = "key long, type string, uri string, payload_bytes long, payload_digest string, refers_key long, payload binary"
@@ -216,7 +231,8 @@ READ = "key long, type string, uri string, payload_bytes long, payload_digest st
 
 def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """Response, resource and revisit records of WARC files (rows of the binaryFile source). Lengths and digests of
-    responses are of the payload found, checked against the header; those of revisits are the header's."""
+    responses are of the payload found, checked against the header; those of revisits are the header's. Memory is a file's
+    compressed bytes and one batch of records; an empty table gives no rows."""
     schema = pa.schema([("key", pa.int64()), ("type", pa.string()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_key", pa.int64()), ("payload", pa.binary())])
 
     def rows(content: bytes) -> Iterator[tuple]:
@@ -247,5 +263,7 @@ def archive(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
-    write(mark_revisits(convert(to_arc(pages)), least_bytes), folder)
+    records = staged(convert(to_arc(pages)), "warc-records")  # converted once, so identifiers can't differ between its readers
+    write(mark_revisits(records, least_bytes), folder)
+    discard(records)
     return read(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder), payloads=False)
