@@ -17,7 +17,9 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 class Settings:
     """max_depth: path segments with a level of their own, the rest is one tail. variable_kinds: from so many distinct
     children a branch's segments are variable. merge_gap, merge_z: sibling templates whose purities differ by less
-    than the gap, or by fewer standard errors of their counts, are merged. prior: pseudo-counts that a parent lends its children. reject: a template of a lower purity is blocked."""
+    than the gap, or by fewer standard errors of their counts, are merged. prior: pseudo-counts that a parent lends its
+    children. reject: a template of a lower purity is blocked. broadcast: characters of the branches or verdicts that are
+    known everywhere at most."""
 
     max_depth: int = 8
     variable_kinds: int = 20
@@ -25,6 +27,7 @@ class Settings:
     merge_z: float = 2.0
     prior: float = 5.0
     reject: float = 0.5
+    broadcast: int = 16_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -50,57 +53,72 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labels:
     """page_id, host, path, rule, verdict, template and purity of every row of pages (page_id, url).
 
     A rule decides where one fits. The labels (url, good 0/1; by default the decided urls, good where allowed) are counted
-    in a tree of templates: per host, level by level, a segment becomes * if its branch has many distinct segments or it
-    has a digit; sibling branches with alike smoothed purities are merged into one; a template's purity is smoothed by the
-    same template over all hosts (a merged one by its members' labels over all hosts), and that by the whole. Templates under settings.reject are blocked, others allowed.
+    in a tree of templates: a segment with a digit is *; per host, level by level, the segments of a branch with many
+    distinct ones become * too; sibling branches with alike smoothed purities are merged into one; a template's purity is
+    smoothed by the same template over all hosts (a merged one by its members' labels over all hosts), and that by the
+    whole. Templates under settings.reject are blocked, others allowed.
+
     Null urls and urls without :// have an empty host and path and go by the empty template; repeated rows are judged
-    each; an empty table gives no rows; other columns are ignored. Every count is a partial aggregate before its shuffle,
-    so a host that holds a third of all rows costs one row a task; verdicts come back by joins on the template.
+    each; an empty table gives no rows; other columns are ignored. The tree is grown on one row a host and shape (path
+    with its digits as *), each level read once; urls meet it only in the end, by their shape. Every count is a partial
+    aggregate before its shuffle. Branches and verdicts are broadcast up to settings.broadcast characters; beyond that they are
+    joined by shuffle, with hot hosts split by the join's skew handling.
     """
     s = settings
     url = F.col("url").cast("string")
     base = pages.select(F.col("page_id"), url.alias("url")).select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
-    base = base.withColumn("hit", matched_rule(F.col("host"), F.col("path"), rules))
-    seen = base.select("host", "path", F.when(F.col("hit").isNotNull(), (F.col("hit.verdict") == "allow").cast("int")).alias("good"))
+    base = base.withColumn("hit", matched_rule(F.col("host"), F.col("path"), rules)).withColumn("shape", shape_of(F.col("path"), s.max_depth))
+    seen = base.select("host", "shape", F.when(F.col("hit").isNotNull(), (F.col("hit.verdict") == "allow").cast("int")).alias("good"))
     if labels is not None:
         lab = F.col("url").cast("string")
-        seen = seen.select("host", "path", F.lit(None).cast("int").alias("good")).unionByName(labels.select(host_of(lab).alias("host"), path_of(lab).alias("path"), F.col("good").cast("int").alias("good")))
-    # One row a path: the tree is grown on these counts, not on urls.
-    paths = staged(seen.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("goods")), "url-paths")
-    tree = paths.withColumn("segments", _segments(F.col("path"), s.max_depth)).withColumn("template", F.lit(""))
-    deepest = tree.agg(F.max(F.size("segments"))).first()[0] or 0
-    for depth in range(deepest):
+        told = labels.select(host_of(lab).alias("host"), shape_of(path_of(lab), s.max_depth).alias("shape"), F.col("good").cast("int").alias("good"))
+        seen = seen.withColumn("good", F.lit(None).cast("int")).unionByName(told)
+    shapes = staged(seen.groupBy("host", "shape").agg(F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("goods")), "url-shapes")
+    deepest, goods, labelled = shapes.agg(F.max(F.size(_segments(F.col("shape")))), F.coalesce(F.sum("goods"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0))).first()
+    tree = shapes.withColumn("template", F.lit(""))
+    for depth in range(deepest or 0):
         tree = _generalise(tree, depth, s)
-    tree = staged(tree, "url-tree")
-    tree = staged(_merge_alike(tree, deepest, s), "url-tree")
+    merged = _merge_alike(tree, deepest or 0, s)
     # The pool over all hosts is of unmerged templates, so labels of merged branches stay in it; a merged template goes by
     # the pools of its members.
-    members = tree.groupBy("host", "merged", "template").agg(F.sum("labelled").alias("labelled"), F.sum("goods").alias("goods"))
-    goods, labelled = members.agg(F.coalesce(F.sum("goods"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0))).first()
-    over_all = members.groupBy("template").agg(F.sum("labelled").alias("all_labelled"), F.sum("goods").alias("all_goods"))
-    per_host = members.join(over_all, "template").groupBy("host", "merged").agg(*[F.sum(c).alias(c) for c in ("labelled", "goods", "all_labelled", "all_goods")])
-    wide = (F.col("all_goods") + s.prior * (goods + 1) / (labelled + 2)) / (F.col("all_labelled") + s.prior)
-    purity = per_host.select("host", F.col("merged").alias("template"), ((F.col("goods") + s.prior * wide) / (F.col("labelled") + s.prior)).alias("purity"))
-    of_path = tree.select("host", "path", F.col("merged").alias("template")).join(purity, ["host", "template"])
-    joined = base.join(of_path, ["host", "path"], "left")
+    over_all = merged.groupBy("template").agg(F.sum("l").alias("all_l"), F.sum("g").alias("all_g"))
+    per_host = merged.join(over_all, "template").groupBy("host", "merged").agg(*[F.sum(c).alias(c) for c in ("l", "g", "all_l", "all_g")])
+    wide = (F.col("all_g") + s.prior * (goods + 1) / (labelled + 2)) / (F.col("all_l") + s.prior)
+    purity = per_host.select("host", "merged", ((F.col("g") + s.prior * wide) / (F.col("l") + s.prior)).alias("purity"))
+    verdicts = staged(tree.select("host", "shape", "template").join(merged.select("host", "template", "merged"), ["host", "template"]).join(purity, ["host", "merged"]).select("host", "shape", F.col("merged").alias("template"), "purity"), "url-verdicts")
+    joined = base.join(_small(verdicts, s), ["host", "shape"], "left")
     return joined.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.verdict"), F.when(F.col("purity") < s.reject, "block").otherwise("allow")).alias("verdict"), "template", "purity")
 
 
-def _segments(path: Column, most: int) -> Column:
-    """Path segments without the file extension's variants; beyond the depth, one tail."""
-    bare = F.filter(F.split(F.regexp_replace(path, r"\.[A-Za-z0-9]{1,5}$", ""), "/", -1), lambda x: x != "")
-    return F.when(F.size(bare) <= most, bare).otherwise(F.concat(F.slice(bare, 1, most - 1), F.array(F.lit("**"))))
+def _small(df: DataFrame, s: Settings) -> DataFrame:
+    """df, marked for broadcast if its strings have at most so many characters."""
+    size = sum((F.coalesce(F.length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"), F.lit(64))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= s.broadcast else df
+
+
+def shape_of(path: Column, most: int) -> Column:
+    """A path's segments without the file extension's variants, those with a digit as *, joined by /; beyond the depth, one
+    tail **."""
+    whole = F.filter(F.split(F.regexp_replace(path, r"\.[A-Za-z0-9]{1,5}$", ""), "/", -1), lambda x: x != "")
+    cut = F.when(F.size(whole) <= most, whole).otherwise(F.concat(F.slice(whole, 1, most - 1), F.array(F.lit("**"))))
+    return F.array_join(F.transform(cut, lambda x: F.when(x.rlike("[0-9]"), F.lit("*")).otherwise(x)), "/")
+
+
+def _segments(shape: Column) -> Column:
+    return F.when(shape == "", F.array().cast("array<string>")).otherwise(F.split(shape, "/", -1))
 
 
 def _generalise(tree: DataFrame, depth: int, s: Settings) -> DataFrame:
-    """Extends every template by one level; segments of branches with many kinds, or with digits, become *."""
-    own = F.get("segments", F.lit(depth))
-    marked = tree.withColumn("own", F.when(own.rlike("[0-9]"), F.lit("*")).otherwise(own))
-    kinds = marked.filter("own is not null").groupBy("host", "template").agg(F.count_distinct("own").alias("kinds"))
-    wide = kinds.filter(F.col("kinds") >= s.variable_kinds).select("host", "template", F.lit(True).alias("wide"))
-    out = marked.join(wide, ["host", "template"], "left")
-    step = F.when(F.col("own").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("wide"), F.lit("*")).otherwise(F.col("own"))))
-    return out.withColumn("template", step).drop("own", "wide")
+    """Extends every template by one level; the segments of branches with many kinds become *."""
+    here = tree.withColumn("own", F.get(_segments(F.col("shape")), F.lit(depth)))
+    literal = here.filter((F.col("own") != "*") & (F.col("own") != "**"))
+    kinds = literal.select("host", "template", "own").distinct().groupBy("host", "template").agg(F.count("*").alias("kinds"))
+    wide = staged(kinds.filter(F.col("kinds") >= s.variable_kinds).select("host", "template", F.lit(True).alias("wide")), "url-wide")
+    step = lambda own: F.when(F.col("own").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), own))
+    if wide.isEmpty():
+        return here.withColumn("template", step(F.col("own"))).drop("own")
+    out = here.join(_small(wide, s), ["host", "template"], "left")
+    return staged(out.withColumn("template", step(F.when(F.col("wide") & (F.col("own") != "**"), F.lit("*")).otherwise(F.col("own")))).drop("own", "wide"), "url-tree")
 
 
 def _classes(siblings: Column, s: Settings) -> Column:
@@ -122,19 +140,21 @@ def _classes(siblings: Column, s: Settings) -> Column:
 
 
 def _merge_alike(tree: DataFrame, depth: int, s: Settings) -> DataFrame:
-    """Merges sibling templates of a host, which differ in one literal segment only, if their purities are alike: they then
-    share a class in that place of the new column merged. From the deepest place to the first. A branch with more kinds
-    than settings.variable_kinds is *, so the siblings of a place are few."""
-    nodes = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("goods").alias("g")).withColumn("merged", F.col("template"))
+    """(host, template, l, g, merged): the tree's nodes with their labels. Sibling templates of a host, which differ in one
+    literal segment only, share a class in that place of merged if their purities are alike. From the deepest place to the
+    first. A branch with more kinds than settings.variable_kinds is *, so the siblings of a place are few."""
+    nodes = staged(tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("goods").alias("g")).withColumn("merged", F.col("template")), "url-nodes")
     for place in reversed(range(depth)):
         parts = F.split("merged", "/", -1)  # the first part is empty
         own = F.get(parts, F.lit(place + 1))
         here = nodes.withColumn("own", own).withColumn("before", F.slice(parts, 1, F.lit(place + 1))).withColumn("after", F.slice(parts, place + 3, F.lit(s.max_depth + 1)))
         now = here.filter((F.col("own") != "*") & (F.col("own") != "**")).groupBy("host", "before", "after", "own").agg(F.sum("l").alias("l"), F.sum("g").alias("g")).filter(F.col("l") >= s.prior)
-        siblings = now.groupBy("host", "before", "after").agg(F.sort_array(F.collect_list(F.struct((F.col("g") / F.col("l")).alias("p"), "l", "g", "own"))).alias("siblings"))
+        siblings = now.groupBy("host", "before", "after").agg(F.sort_array(F.collect_list(F.struct((F.col("g") / F.col("l")).alias("p"), "l", "g", "own"))).alias("siblings")).filter(F.size("siblings") > 1)
         classes = siblings.select("host", "before", "after", F.explode(_classes(F.col("siblings"), s)).alias("c")).filter(F.size("c.owns") > 1)
         shared = F.concat(F.lit("{"), F.floor(F.col("c.g") / F.col("c.l") / s.merge_gap).cast("string"), F.lit("}"))
-        moved = classes.select("host", "before", "after", F.explode("c.owns").alias("own"), shared.alias("shared"))
-        joined = here.join(moved, ["host", "before", "after", "own"], "left")
+        moved = staged(classes.select("host", "before", "after", F.explode("c.owns").alias("own"), shared.alias("shared")), "url-moved")
+        if moved.isEmpty():
+            continue
+        joined = here.join(_small(moved, s), ["host", "before", "after", "own"], "left")
         nodes = staged(joined.select("host", "template", "l", "g", F.when(F.col("shared").isNotNull(), F.array_join(F.concat("before", F.array("shared"), "after"), "/")).otherwise(F.col("merged")).alias("merged")), "url-nodes")
-    return tree.drop("segments").join(nodes.select("host", "template", "merged"), ["host", "template"])
+    return nodes
