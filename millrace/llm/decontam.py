@@ -1,4 +1,4 @@
-"""Benchmark decontamination: a BM25 index of test items with block-max bounds, queried by every training passage."""
+"""Benchmark decontamination: a BM25 index of test items with block-max WAND, queried by every training passage."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.staging import staged
+
 _TERM = re.compile(r"\w+")
 _END = re.compile(r"(?<=[.?!])\s+|\n+")
 
@@ -21,9 +23,9 @@ _END = re.compile(r"(?<=[.?!])\s+|\n+")
 @dataclass(frozen=True)
 class Settings:
     """stride: words between passages, each two strides long. share: part of an item's own score that a passage must reach
-    to be retrieved. k1, b: of BM25. block: items that share one bound, at least (more where the table of
-    bounds would exceed bound_cells numbers). gram, overlap: share of the
-    question's and of the answer's word n-grams that a retrieved passage must hold. whole: share of the n-grams of question
+    to be retrieved. k1, b: of BM25. block: items that share one bound. rest: part of the
+    threshold that a passage's weakest terms may bring before a block is looked at for the others. gram, overlap: share of the question's and of the
+    answer's word n-grams that a retrieved passage must hold. whole: share of the n-grams of question
     and answer together that is enough if the answer is no longer than one n-gram. index_chars: of the items that are
     indexed and broadcast at once; more items take more passes."""
 
@@ -32,7 +34,7 @@ class Settings:
     k1: float = 1.2
     b: float = 0.75
     block: int = 4
-    bound_cells: int = 4_000_000
+    rest: float = 0.2
     gram: int = 3
     overlap: float = 0.5
     whole: float = 0.75
@@ -51,38 +53,82 @@ def _grams(words: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} or ({tuple(words)} if words else set())
 
 
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs start, start + 1, ...: which run each place belongs to, and the places."""
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    before = np.cumsum(lengths) - lengths
+    return owner, np.arange(len(owner)) - before[owner] + starts[owner]
+
+
 class Index:
-    """Posting lists (item, impact) by term, items in order, and a table of the largest impact of each term in each block
-    of items. Impacts are divided by the item's threshold, so that an item is retrieved from a sum of 1."""
+    """Postings (item, impact) sorted by term, then item, cut into blocks of items; for each term and block that it occurs in,
+    the place of its postings and their largest impact; for each term the largest of all. Impacts are divided by the item's
+    threshold, so that an item is retrieved from a sum of 1. Size follows the postings, not terms times blocks."""
 
     def __init__(self, items: list[tuple[int, str]], df: dict[str, int], total: int, mean: float, settings: Settings) -> None:
         s = self.settings = settings
         self.ids = [i for i, _ in items]
         self.parts = [split_item(t) for _, t in items]
         self.longest = max((len(q) + len(a) for q, a in self.parts), default=0)
-        lists: dict[str, list[tuple[int, float]]] = {}
+        self.n_blocks = max(1, -(-len(items) // s.block))
+        self.terms: dict[str, int] = {}
+        rows: list[tuple[int, int, float]] = []
         for k, (q, a) in enumerate(self.parts):
             n, tf = len(q) + len(a), Counter(q + a)
             impact = {t: math.log(1 + (total - df[t] + 0.5) / (df[t] + 0.5)) * c * (s.k1 + 1) / (c + s.k1 * (1 - s.b + s.b * n / mean)) for t, c in tf.items()}
             need = s.share * sum(impact.values()) * min(1.0, s.stride / max(n, 1))
-            for t, x in impact.items():
-                lists.setdefault(t, []).append((k, x / need))
-        self.terms = {t: j for j, t in enumerate(lists)}
-        self.items = [np.array([k for k, _ in own], np.int64) for own in lists.values()]
-        self.impacts = [np.array([x for _, x in own]) for own in lists.values()]
-        terms = max(1, len(lists))
-        self.block = max(s.block, -(-len(items) * terms // s.bound_cells))
-        self.bounds = np.zeros((terms, max(1, -(-len(items) // self.block))))
-        for j, (k, x) in enumerate(zip(self.items, self.impacts)):
-            np.maximum.at(self.bounds[j], k // self.block, x)
-
-    def retrieve(self, terms: np.ndarray, live: np.ndarray) -> list[tuple[int, float]]:
-        """(item, score) of all items in the live blocks whose sum over the distinct terms is 1 or more."""
-        k = np.concatenate([self.items[t] for t in terms])
-        x = np.concatenate([self.impacts[t] for t in terms])
-        on = live[k // self.block]
-        score = np.bincount(k[on], weights=x[on], minlength=len(self.ids))
-        return [(int(i), float(score[i])) for i in np.flatnonzero(score >= 1 - 1e-9)]
+            rows += [(self.terms.setdefault(t, len(self.terms)), k, x / need) for t, x in impact.items()]
+        rows.sort()
+        self.items = np.array([k for _, k, _ in rows], np.int64)
+        self.impacts = np.array([x for _, _, x in rows], float)
+        term = np.array([t for t, _, _ in rows], np.int64)
+        cell = term * self.n_blocks + self.items // s.block
+        self.post = np.flatnonzero(np.diff(cell, prepend=-1))  # where the postings of a term in a block begin
+        self.cells = cell[self.post]  # term * blocks + block, sorted
+        self.post_length = np.diff(np.append(self.post, len(cell)))
+        self.bounds = np.maximum.reduceat(self.impacts, self.post) if len(cell) else np.zeros(0)
+        first = np.searchsorted(self.cells // self.n_blocks, np.arange(len(self.terms) + 1))
+        self.term_cell, self.term_cells = first[:-1], np.diff(first)
+        self.term_bound = np.maximum.reduceat(self.bounds, first[:-1]) if len(cell) else np.zeros(0)
+        self.read = 0  # postings read so far
+
+    def retrieve(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, score) of all items whose impacts sum to 1 or more over a passage's distinct terms; passage is
+        sorted, its numbers begin at 0.
+
+        The terms of a passage go by their largest impact. Those whose impacts together stay below settings.rest leave the
+        others, the pivots, to bring what lacks to 1; most passages have none. Blocks in which the pivots' bounds bring that
+        are the candidates; only those in which the bounds of all the passage's terms reach 1 are read, and of them only the
+        postings of its terms. All passages are taken at once.
+        """
+        s, none = self.settings, np.zeros(0, np.int64)
+        if not len(term):
+            return none, none, np.zeros(0)
+        order = np.lexsort((self.term_bound[term], passage))
+        passage, term = passage[order], term[order]
+        running = np.cumsum(self.term_bound[term])
+        starts = np.flatnonzero(np.diff(passage, prepend=-1))
+        sizes = np.diff(np.append(starts, len(passage)))
+        before = np.repeat(np.where(starts > 0, running[starts - 1], 0.0), sizes)
+        pivot = running - before >= s.rest - 1e-6  # the running sum is long, its last digits are not exact
+        owner, place = _runs(self.term_cell[term[pivot]], self.term_cells[term[pivot]])
+        blocks, back = np.unique(passage[pivot][owner] * self.n_blocks + self.cells[place] % self.n_blocks, return_inverse=True)
+        blocks = blocks[np.bincount(back, weights=self.bounds[place], minlength=len(blocks)) >= 1 - s.rest - 1e-6]
+        # All terms of a candidate's passage, each with its postings in the block, if there are any.
+        at = np.searchsorted(passage[starts], blocks // self.n_blocks)
+        candidate, row = _runs(starts[at], sizes[at])
+        wanted = term[row] * self.n_blocks + blocks[candidate] % self.n_blocks
+        cell = np.minimum(np.searchsorted(self.cells, wanted), len(self.cells) - 1)
+        there = self.cells[cell] == wanted
+        candidate, cell = candidate[there], cell[there]
+        live = np.bincount(candidate, weights=self.bounds[cell], minlength=len(blocks)) >= 1 - 1e-9
+        cell, candidate = cell[live[candidate]], candidate[live[candidate]]
+        owner, place = _runs(self.post[cell], self.post_length[cell])
+        self.read += len(place)
+        pair, back = np.unique(blocks[candidate[owner]] // self.n_blocks * len(self.ids) + self.items[place], return_inverse=True)
+        score = np.bincount(back, weights=self.impacts[place], minlength=len(pair))
+        found = score >= 1 - 1e-9
+        return pair[found] // len(self.ids), pair[found] % len(self.ids), score[found]
 
     def overlaps(self, item: int, words: list[str]) -> tuple[float, float]:
         """Shares of the question's and of the answer's n-grams that words hold; an answer that isn't there counts as held."""
@@ -117,52 +163,56 @@ class Index:
         known = own >= 0
         here, term = half[known], own[known]
         again = here > base[text[known]]
-        pairs = np.unique(np.concatenate([here, here[again] - 1]) * len(self.bounds) + np.concatenate([term, term[again]]))
-        passage, term = pairs // len(self.bounds), pairs % len(self.bounds)
-        starts = np.flatnonzero(np.diff(passage, prepend=-1))
-        ends = np.append(starts[1:], len(pairs))
+        pairs = np.unique(np.concatenate([here, here[again] - 1]) * max(1, len(self.terms)) + np.concatenate([term, term[again]]))
+        passage, term = pairs // max(1, len(self.terms)), pairs % max(1, len(self.terms))
+        cuts = np.append(np.flatnonzero(np.diff(passage, prepend=-1))[::4096], len(passage))  # so many passages at once
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for at in range(0, len(starts), 4096):  # bounds of so many passages at once
-            cut = starts[at : at + 4096]
-            stop = ends[min(at + 4096, len(ends)) - 1]
-            reach = np.add.reduceat(self.bounds[term[cut[0] : stop]], cut - cut[0], axis=0)
-            for k in np.flatnonzero((reach >= 1 - 1e-9).any(axis=1)).tolist():
-                a, b = int(cut[k]), int(ends[at + k])
-                p = int(passage[a])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            names, number = np.unique(passage[a:b], return_inverse=True)
+            for k, item, score in zip(*(x.tolist() for x in self.retrieve(number, term[a:b]))):
+                p = int(names[k])
                 t = int(np.searchsorted(base, p, side="right")) - 1
+                if score <= found.get((t, item), (0.0,))[0]:
+                    continue
                 first_word = (p - int(base[t])) * s.stride
-                for item, score in self.retrieve(term[a:b], reach[k] >= 1 - 1e-9):
-                    near = words[t][max(0, first_word - self.longest) : first_word + 2 * s.stride + self.longest]
-                    q, answer = self.overlaps(item, near)
-                    if self.held(item, near, q, answer) and score > found.get((t, item), (0.0,))[0]:
-                        found[t, item] = (score, q, answer)
+                near = words[t][max(0, first_word - self.longest) : first_word + 2 * s.stride + self.longest]
+                q, answer = self.overlaps(item, near)
+                if self.held(item, near, q, answer):
+                    found[t, item] = (score, q, answer)
         for (t, item), (score, q, answer) in found.items():
             yield t, self.ids[item], score, q, answer
 
 
 def _indexes(items: DataFrame, settings: Settings) -> Iterator[Index]:
     """An index for each block of items. Document frequencies, sizes and the mean length are of all items."""
-    bare = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.col("text").rlike(r"(?U)\w"))
-    total, chars = bare.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    terms = "item_id long, text string, terms array<string>"
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words as search() sees them: Java's word characters are others."""
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([_TERM.findall(t.lower()) for t in texts], pa.list_(pa.string()))], ["item_id", "text", "terms"])
+
+    bare = staged(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(split, terms).filter(F.size("terms") > 0), "decontam-items")
+    total, chars, mean = bare.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0)), F.avg(F.size("terms"))).first()
     if not total:
         return
     blocks = -(-chars // settings.index_chars)
-    terms = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))
-    mean = bare.agg(F.avg(F.size(terms))).first()[0]
-    spread = bare.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block"))
-    df = bare.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    spread = bare.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    df = bare.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     for k in range(blocks):
-        part = [(r["item_id"], r["text"]) for r in spread.filter(F.col("block") == k).sort("item_id", "text").collect()]
-        own = {w for _, t in part for p in split_item(t) for w in p}
-        counts = Counter({r["term"]: r["n"] for r in (df if blocks == 1 else df.join(F.broadcast(spread.sparkSession.createDataFrame([(w,) for w in own], "term string")), "term")).collect()})
-        yield Index(part, {w: max(1, counts[w]) for w in own}, total, mean, settings)
+        here = spread.filter(F.col("block") == k)
+        part = [(r["item_id"], r["text"]) for r in here.select("item_id", "text").sort("item_id", "text").collect()]
+        own = here.select(F.explode("terms").alias("term")).distinct()
+        counts = {r["term"]: r["n"] for r in df.join(own, "term", "left_semi").collect()}  # at most index_chars of terms
+        yield Index(part, counts, total, mean, settings)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, item_id, score, question_overlap, answer_overlap): one row for each row of docs and item that it holds.
 
     Every text is cut into overlapping passages; each is a query on the index and gets all items above the threshold;
-    question and answer must then be there. The index is broadcast in blocks of about settings.index_chars characters of
+    question and answer must then be there (a null item text counts as empty). The index is broadcast in blocks of about settings.index_chars characters of
     items, one pass over docs for each, so its size doesn't follow the number of items or documents; docs are never
     shuffled. Null and empty texts hold nothing; null keys stay null; repeated rows are searched each; items without a
     word and empty tables give no rows; equal items are found each; other columns are ignored.

@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -201,6 +202,52 @@ def test_expectation_maximisation_finds_the_bad_labeler():
     assert abs(prior - 0.4) < 0.05 and right[0] > 0.9 and abs(right[3] - 0.5) < 0.1
 
 
+def test_reliabilities_beat_the_majority():
+    """Three labelers that copy one bad one against two good ones: the majority follows the three, EM doesn't."""
+    rng = np.random.default_rng(3)
+    truth = rng.random(6000) < 0.5
+    sign = np.where(truth, 1, -1)
+    good = [np.where(rng.random(6000) < 0.95, sign, -sign) for _ in range(3)]
+    bad = [np.where(rng.random(6000) < 0.55, sign, -sign) for _ in range(4)]
+    votes = np.stack(good + bad, axis=1)
+    patterns, back, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    _, _, posterior = pii.expectation_maximisation(patterns, counts.astype(float))
+    right = lambda said: float(((said > 0) == truth).mean())
+    assert right(posterior[back] - 0.5) > right(votes.sum(axis=1)) + 0.05 and right(posterior[back] - 0.5) > 0.97
+
+
+def iban(rng, country="DE"):
+    account = "".join(rng.choice("0123456789") for _ in range(18))
+    check = 98 - int(account + "".join(str(int(c, 36)) for c in country) + "00") % 97
+    return f"{country}{check:02d}{account}"
+
+
+def test_model_rejects_false_candidates_of_every_kind(spark):
+    rng = random.Random(11)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    token = lambda: hashlib.sha1(str(rng.random()).encode()).hexdigest()
+    ssn = lambda: f"{rng.randint(100, 599)}-{rng.randint(10, 99)}-{rng.randint(1000, 9998)}"
+    true = {
+        "secret": lambda: f'the token: "{token()}" was',
+        "iban": lambda: f"to my bank account {iban(rng)} today",
+        "ssn": lambda: f"her social security: {ssn()} is",
+        "name": lambda: f"dear Mr. {rng.choice(['Thomas', 'David', 'Paul'])} Keller came",
+    }
+    false = {
+        "secret": lambda: f"at commit {token()} we",
+        "iban": lambda: f"the part DE{number(20)} broke",
+        "ssn": lambda: f"the isbn {rng.choice(['000', '666', '900'])}-{number(2)}-{number(4)} is",
+        "name": lambda: f"over to {rng.choice(['Paul', 'David', 'Thomas'])} {rng.choice(['Street', 'Island', 'University'])} was",
+    }
+    rows = [(kind, good, make()) for kind in true for good, make in ((True, true[kind]), (False, false[kind])) for _ in range(25)]
+    assert all({k for k, *_ in pii.candidates(t)} == {kind} and not pii.base_spans(t) for kind, _, t in rows)  # every regex accepts every one
+    docs = spark.createDataFrame([(k, t) for k, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    model = pii.fit(docs)
+    got = {r["doc_id"]: [x["kind"] for x in r["spans"]] for r in pii.find(docs, model).collect()}
+    assert [got[k] for k in range(len(rows))] == [[kind] if good else [] for kind, good, _ in rows]
+    assert model.counts == {kind: (25, 25) for kind in ("iban", "name", "secret", "ssn")}
+
+
 def test_pii_odd_rows(spark):
     docs = clashing(spark.createDataFrame(ODD, DOCS))
     model = pii.fit(docs)
@@ -244,26 +291,46 @@ def test_changed_or_cut_short_answers_are_found(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 0), (1, 1)}
 
 
-def test_bounds_lose_nothing():
-    """Every item above the threshold by full scoring of every passage is retrieved."""
+def plain_bm25(items, query, s):
+    """{item: score by its threshold} of every item, by the textbook formula over plain lists."""
+    lists = [t.split() for _, t in items]
+    mean = sum(map(len, lists)) / len(lists)
+    score = lambda words, own: sum(math.log(1 + (len(lists) - n + 0.5) / (n + 0.5)) * own.count(w) * (s.k1 + 1) / (own.count(w) + s.k1 * (1 - s.b + s.b * len(own) / mean)) for w in set(words) if (n := sum(w in x for x in lists)) and w in own)
+    return {k: score(query, own) / (s.share * score(own, own) * min(1, s.stride / len(own))) for k, own in enumerate(lists)}
+
+
+@pytest.mark.parametrize("block", [1, 4, 1000])
+def test_bounds_lose_nothing(block):
+    """Every item above the threshold by full scoring of every passage is retrieved, with its score, and not all is read."""
     rng = random.Random(9)
-    words = [f"w{k}" for k in range(60)]
-    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(3, 20)))) for k in range(50)]
+    words = [f"w{k}" for k in range(120)]
+    common = lambda n: [rng.choice(words[:8] if rng.random() < 0.4 else words) for _ in range(n)]
+    items = [(k, " ".join(common(rng.randint(3, 20)))) for k in range(60)]
     lists = [t.split() for _, t in items]
     df, mean = Counter(w for ws in lists for w in set(ws)), sum(map(len, lists)) / len(lists)
-    index = decontam.Index(items, df, len(items), mean, decontam.Settings(stride=8, overlap=0.0))
-    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(40)]
-    expected = set()
+    s = decontam.Settings(stride=8, overlap=0.0, block=block)
+    index = decontam.Index(items, df, len(items), mean, s)
+    texts = [" ".join(common(rng.randint(0, 60))) for _ in range(30)] + ["", "nothing known"]
+    expected, possible = {}, 0
     for t, text in enumerate(texts):
         ws = text.split()
         for a in range(0, max(1, len(ws)), 8):
-            terms = {index.terms[w] for w in ws[a : a + 16] if w in index.terms}
-            score = Counter()
-            for x in terms:
-                for k, v in zip(index.items[x].tolist(), index.impacts[x].tolist()):
-                    score[k] += v
-            expected |= {(t, k) for k, v in score.items() if v >= 1 - 1e-9}
-    assert {(t, i) for t, i, *_ in index.search(texts)} == expected and expected
+            here = set(ws[a : a + 16])
+            possible += sum(len(here & set(x)) for x in lists)
+            for k, v in plain_bm25(items, here, s).items():
+                if v >= 1 - 1e-9:
+                    expected[t, k] = max(v, expected.get((t, k), 0))
+    got = {(t, i): score for t, i, score, *_ in index.search(texts)}
+    assert got.keys() == expected.keys() and expected
+    assert all(got[x] == pytest.approx(expected[x]) for x in got)
+    assert index.read < possible * (0.5 if block == 1 else 0.9 if block == 4 else 1.01)
+
+
+def test_equal_items_of_several_blocks_are_found_each(spark):
+    text = " ".join(f"word{k}" for k in range(30))
+    items = [(k, text if k % 5 == 0 else f"other{k} thing{k} item{k} text{k}") for k in range(40)]
+    got = decontam.contaminated(spark.createDataFrame([(1, f"a b c {text} d e")], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(r["item_id"] for r in got) == list(range(0, 40, 5))
 
 
 def test_decontamination_odd_rows(spark):
