@@ -65,3 +65,27 @@ def test_empty_tables(spark, folder, tmp_path):
     spark.read.parquet(f"{root}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{root}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null, blank and very long texts, clashing columns, empty tables: no stage fails, none loses a
+    document that it has no reason to drop."""
+    rng = random.Random(3)
+    text = lambda n: "\n".join(" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(12)) + "." for _ in range(n))
+    one, two, long = text(8), text(8), text(4000)
+    rows = [(None, one), (1, two), (1, two), (1, text(9)), (2, None), (3, " \n"), (4, long), (None, None)]
+    spark.createDataFrame([(1, "a question that nobody asked here at all. An answer that is long enough.")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("key", "node", "n", "tokens", "quality", "spans", "component_id", "_row", "item_id", "level"):
+        docs = docs.withColumn(c, F.lit("x"))
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        sizes.append(sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in docs.select("doc_id").distinct().collect()) if name == "packing" else docs.count())
+    assert sizes[:4] == [5, 4, 4, 4] and sizes[4] == [(False, 1), (False, 4), (True, 0)]
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        empty_out = stage(spark, empty, str(tmp_path))
+        assert empty_out.count() == 0
