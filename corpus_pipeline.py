@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm import decontam, ngram_join, packing, pii, quality
 from millrace.llm.queries import encoder
-from millrace.llm.staging import new_folder, staged
+from millrace.llm.staging import new_folder, release, remove, staged, staged_so_far
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep, with their lines that pass.
-
-    The filter also reads a column that isn't deterministic: pushed below the projections, it would evaluate the word
-    lists anew inside every lambda.
-    """
-    kept = quality.assess(docs).withColumn("_q_here", F.spark_partition_id()).filter("quality.kept and _q_here >= 0").drop("_q_here")
+    """Documents that the line-first rules keep, with their lines that pass. The verdicts are written first: a filter on them
+    would be pushed below the projections and evaluate the rules anew. Null and blank texts go; repeated rows are judged
+    each; null ids stay; a column named quality is dropped."""
+    kept = staged(quality.assess(docs), "pipeline-verdicts").filter("quality.kept")
     text = F.col("quality.clean_text")
     return kept.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).drop("quality")
 
@@ -43,13 +41,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind. Null and empty texts stay as they are; repeated rows are changed
+    each; every other column passes through."""
     clean = pii.redact(docs, pii.fit(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens."""
+    """Pieces of documents in sequences of 4096 tokens. Null texts count as empty; null ids stay null; repeated rows are packed
+    each; other columns are left out."""
     return packing.pack(docs, encoder())
 
 
@@ -60,10 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on the table documents, each written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages on the table documents, each written as Parquet and read again by the next. What a stage wrote for itself,
+    and the table it read, are removed when it is done."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        folder = new_folder(spark, f"pipeline-{name}")
+        folder, since = new_folder(spark, f"pipeline-{name}"), staged_so_far()
         stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
+        release(spark, since)
+        if read:
+            remove(spark, read)
+        docs, read = spark.read.parquet(folder), folder
     return docs
