@@ -92,11 +92,11 @@ def test_empty_value_falls_through(spark):
 def test_decision_json_never_leaks_a_rejected_text(spark):
     rows = spark.createDataFrame([("ACT", "say"), ("WAIT", "say")], "d string, t string")
     acted, waited = [r[0] for r in rows.select(decisions.decision_json(F.col("d"), F.lit(0.85), F.col("t"))).collect()]
-    assert acted == '{"confidence":0.85,"decision":"ACT","speech":{"lang":"ru","text":"say"}}' and waited == '{"confidence":0.85,"decision":"WAIT"}'
+    assert acted == '{"confidence": 0.85, "decision": "ACT", "speech": {"lang": "ru", "text": "say"}}' and waited == '{"confidence": 0.85, "decision": "WAIT"}'
 
 
 def test_situation_without_sight(spark):
-    assert column(spark, ["x"], lambda v: decisions.situation_json(F.array(v), F.lit(0.0))) == ['{"audio":{},"memory":[],"observations":["x"],"silence_sec":0.0}']
+    assert column(spark, ["x"], lambda v: decisions.situation_json(F.array(v), F.lit(0.0))) == ['{"audio": {}, "memory": [], "observations": ["x"], "silence_sec": 0.0}']
 
 
 def test_decision_validity(spark):
