@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,10 +92,21 @@ def to_messages(columns: dict[str, str]) -> Column:
     return F.coalesce(*ways) if ways else F.lit(None).cast(MESSAGES)
 
 
-def render(messages: Column, open_turn: bool = False) -> Column:
-    """Messages in the im_start template; open_turn adds the head of an answer to come."""
-    turns = F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>\n"))), "")
-    return F.concat(turns, F.lit("<|im_start|>assistant\n")) if open_turn else turns
+@dataclass(frozen=True)
+class Template:
+    """A chat template: what stands around a turn's role and content, and the head of an answer to come."""
+
+    before: str = "<|im_start|>"
+    between: str = "\n"
+    after: str = "<|im_end|>\n"
+    answer: str = "<|im_start|>assistant\n"
+
+
+def render(messages: Column, open_turn: bool = False, template: Template = Template()) -> Column:
+    """Messages in a template; open_turn adds the head of an answer to come."""
+    t = template
+    turns = F.array_join(F.transform(messages, lambda m: F.concat(F.lit(t.before), m["role"], F.lit(t.between), m["content"], F.lit(t.after))), "")
+    return F.concat(turns, F.lit(t.answer)) if open_turn else turns
 
 
 def prompt_of(messages: Column) -> Column:

@@ -185,6 +185,24 @@ def situation_json(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", decisions.situation_json(F.array(F.col("event_type"), F.lit('a,b: "c"')), F.col("value")).alias("situation"))
 
 
+@register("full_situation", """select user_id, '{"audio": ' || case when errors > 0 then '{"addressed_to_robot": true, "speech": "help"}' else '{}' end || ', "memory": [], "observations": ["' || latest || '"], "person": {"id": "' || user_id || '", "known": false}, "silence_sec": '
+  || case when errors > 0 then '0.00025' else '3.0' end || case when errors > 2 then ', "time": "noon"' else '' end || ', "visual": {"emotion": "unknown", "faces": ' || errors || ', "looking_at_robot": false}}' as situation
+  from (select user_id, count(*) filter (event_type = 'error') as errors, max_by(event_type, event_id) as latest from events group by user_id)""")
+def full_situation(spark: SparkSession, sf: str) -> DataFrame:
+    """Situations with a person, a view and maybe a voice: defaults stay, nulls go, members in order."""
+    own = table(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").cast("int").alias("errors"), F.max_by("event_type", "event_id").alias("latest"))
+    none = F.lit(None).cast("string")
+    loud = F.col("errors") > 0
+    s = F.struct(
+        F.when(F.col("errors") > 2, F.lit("noon")).alias("time"), F.when(loud, F.lit(0.00025)).otherwise(F.lit(3.0)).alias("silence_sec"),
+        F.struct(F.col("user_id").cast("string").alias("id"), none.alias("name"), F.lit(None).cast("boolean").alias("known"), none.alias("last_seen")).alias("person"),
+        F.struct(F.col("errors").alias("faces"), none.alias("distance"), F.lit(None).cast("boolean").alias("looking_at_robot"), none.alias("emotion")).alias("visual"),
+        F.struct(F.when(loud, F.lit("help")).alias("speech"), none.alias("lang"), F.when(loud, F.lit(True)).alias("addressed_to_robot")).alias("audio"),
+        F.array("latest").alias("observations"), F.lit(None).cast("array<string>").alias("memory"), none.alias("last_robot_action"),
+    )
+    return own.select("user_id", decisions.full_situation_json(s).alias("situation"))
+
+
 _ANSWER = """'{"confidence": 0.85, "decision": "' || case when quality = 1 then 'ACT", "speech": {"lang": "ru", "text": "doc ' || doc_id || '"}}' else 'WAIT"}' end"""
 
 

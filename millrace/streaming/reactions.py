@@ -24,17 +24,19 @@ def reaction_windows(actions: DataFrame, observations: DataFrame, person: str =
 
 
 def episodic_memory(notes: DataFrame, person: str = "user_id", keep: int = 20) -> DataFrame:
-    """A stream of (person, memories): the last notes (ts, note) of each person, kept as state."""
+    """A stream of (person, memories): the last notes (ts, note) of each person in the order of their times, kept as state.
+    A note that comes late takes its place among those kept. Persons of any atomic type."""
+    kind = notes.schema[person].dataType.simpleString()
 
     def remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        held = list(zip(*state.get)) if state.exists else []
         for batch in batches:
-            held += batch.sort_values("ts")["note"].tolist()
-        held = held[-keep:]
-        state.update((held,))
-        yield pd.DataFrame({person: [key[0]], "memories": [held]})
+            held += zip(batch["ts"].astype("int64").tolist(), batch["note"].tolist())
+        held = sorted(held, key=lambda x: x[0])[-keep:]
+        state.update(([t for t, _ in held], [n for _, n in held]))
+        yield pd.DataFrame({person: [key[0]], "memories": [[n for _, n in held]]})
 
-    return notes.groupBy(person).applyInPandasWithState(remember, f"{person} long, memories array<string>", "memories array<string>", "update", GroupStateTimeout.NoTimeout)
+    return notes.groupBy(person).applyInPandasWithState(remember, f"`{person}` {kind}, memories array<string>", "at array<long>, memories array<string>", "update", GroupStateTimeout.NoTimeout)
 
 
 def record_stream(spark, folder: str, schema: str, files: int = 1) -> DataFrame:

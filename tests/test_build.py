@@ -1,6 +1,8 @@
 """JSON spelling, the corpus build, reports and the command line."""
 
+import io
 import json
+import wave
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace import cli, reports, schemas
 from millrace.functions import decisions, dialogue, jsontext
 from millrace.operators import build, leakage, sampling
-from millrace.sources import configs, files
+from millrace.sources import audio, configs, files
 
 
 def test_json_is_spelled_like_the_standard_library(spark):
@@ -166,3 +168,33 @@ def test_leakage_of_short_items(spark):
     items = spark.createDataFrame([(0, "yes we can"), (1, "no way"), (2, "a"), (3, "yes you can"), (4, " ")], "item_id long, text string")
     got = {tuple(r) for r in leakage.contained(docs, items, "doc_id", "item_id").collect()}
     assert got == {(k, i) for k, t in enumerate(texts) for i, x in ((0, "yes we can"), (1, "no way"), (2, "a"), (3, "yes you can")) if t and x in t}
+
+
+def wav(samples, rate, width=2):
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(len(samples[0]))
+        f.setsampwidth(width)
+        f.setframerate(rate)
+        f.writeframes(b"".join(x.to_bytes(width, "little", signed=True) for row in samples for x in row))
+    return out.getvalue()
+
+
+def test_audio_examples(spark):
+    assert audio.decode({"array": [0.5], "sampling_rate": None})[1] == 16_000
+    with pytest.raises(ValueError, match="neither"):
+        audio.decode({"path": "x"})
+    for width in (2, 3, 4):
+        got, rate = audio.decode(wav([[1 << (8 * width - 2)], [-(1 << (8 * width - 1))]], 8000, width))
+        assert rate == 8000 and got.tolist() == [0.5, -1.0]
+    rows = [(k, {"bytes": wav([[16384, 0], [0, -16384]], 8000), "path": None}) for k in range(40)] + [(40, None)]
+    df = spark.createDataFrame(rows, "id long, audio struct<bytes:binary,path:string>")
+    got = audio.examples(df, resample=lambda x, a, b: x.repeat(b // a)).orderBy("id").collect()
+    assert len(got) == 41 and got[40]["audio"] is None and got[3]["audio"].asDict() == {"array": [0.25, 0.25, -0.25, -0.25], "sampling_rate": 16_000}
+    assert audio.examples(df, limit=7).count() == 7
+
+
+def test_other_templates(spark):
+    rows = spark.createDataFrame([([("user", "hi"), ("assistant", "yes")],)], "m array<struct<role:string,content:string>>")
+    own = dialogue.Template("[", ": ", "]", "[assistant: ")
+    assert rows.select(dialogue.render(F.col("m"), True, own)).first()[0] == "[user: hi][assistant: yes][assistant: "
