@@ -63,6 +63,101 @@ def test_siblings_merge_by_gap_and_counts(spark):
     assert got["e"] == got["f"] and got["g"] == got["h"] and got["i"] == got["j"] != got["k"]
 
 
+def plain_judge(urls, labels, s):
+    """{url: (template, purity)} by dicts and lists: one trie of all labels and urls, grown, merged and smoothed by the book."""
+    import math
+    import re
+
+    def shape(url):
+        host, _, path = url.partition("://")[2].partition("/")
+        parts = [x for x in re.sub(r"\.[A-Za-z0-9]{1,5}$", "", "/" + path).split("/") if x]
+        parts = parts if len(parts) <= s.max_depth else [*parts[: s.max_depth - 1], "**"]
+        return host, tuple("*" if re.search("[0-9]", x) else x for x in parts)
+
+    told = defaultdict(list)
+    for url, good in labels:
+        told[shape(url)].append(good)
+    shapes = {shape(u) for u in urls} | set(told)
+    template = dict.fromkeys(shapes, "")
+    for depth in range(max(len(x) for _, x in shapes)):
+        kinds = defaultdict(set)
+        for (host, x), t in template.items():
+            if len(x) > depth and x[depth] not in ("*", "**"):
+                kinds[host, t].add(x[depth])
+        template = {(host, x): t if len(x) <= depth else f"{t}/" + ("*" if len(kinds[host, t]) >= s.variable_kinds and x[depth] != "**" else x[depth]) for (host, x), t in template.items()}
+    nodes = defaultdict(lambda: [0, 0])
+    for key, t in template.items():
+        nodes[key[0], t][0] += len(told[key])
+        nodes[key[0], t][1] += sum(told[key])
+    merged = {key: key[1].split("/") for key in nodes}
+    for place in reversed(range(1, 1 + max(len(x) for _, x in shapes))):
+        siblings = defaultdict(lambda: defaultdict(lambda: [0, 0]))
+        for key, parts in merged.items():
+            if len(parts) > place and parts[place] not in ("*", "**"):
+                own = siblings[key[0], tuple(parts[:place]), tuple(parts[place + 1 :])][parts[place]]
+                own[0] += nodes[key][0]
+                own[1] += nodes[key][1]
+        for (host, before, after), found in siblings.items():
+            classes = []
+            for _, n, g, x in sorted((g / n, n, g, x) for x, (n, g) in found.items() if n >= s.prior):
+                if classes:
+                    last = classes[-1]
+                    both, apart = (last[1] + g) / (last[0] + n), g / n - last[1] / last[0]
+                    if apart < s.merge_gap or apart < s.merge_z * math.sqrt(both * (1 - both) * (1 / last[0] + 1 / n)):
+                        classes[-1] = [last[0] + n, last[1] + g, [*last[2], x]]
+                        continue
+                classes.append([n, g, [x]])
+            for n, g, names in classes:
+                for key, parts in merged.items() if len(names) > 1 else ():
+                    if key[0] == host and tuple(parts[:place]) == before and tuple(parts[place + 1 :]) == after and len(parts) > place and parts[place] in names:
+                        merged[key] = [*before, f"{{{math.floor(g / n / s.merge_gap)}}}", *after]
+    everything = [g for own in told.values() for g in own]
+    pool = defaultdict(lambda: [0, 0])
+    for (_, t), (n, g) in nodes.items():
+        pool[t][0] += n
+        pool[t][1] += g
+    total = defaultdict(lambda: [0, 0, 0, 0])
+    for key, (n, g) in nodes.items():
+        own = total[key[0], "/".join(merged[key])]
+        for k, v in enumerate((n, g, *pool[key[1]])):
+            own[k] += v
+    out = {}
+    for u in urls:
+        key = shape(u)
+        name = "/".join(merged[key[0], template[key]])
+        n, g, all_n, all_g = total[key[0], name]
+        wide = (all_g + s.prior * (sum(everything) + 1) / (len(everything) + 2)) / (all_n + s.prior)
+        out[u] = (name, (g + s.prior * wide) / (n + s.prior))
+    return out
+
+
+def test_template_tree_equals_brute_force(spark):
+    rng = random.Random(12)
+    s = url_filter.Settings(max_depth=4, variable_kinds=6)
+    chance = {"news": 0.9, "blog": 0.85, "shop": 0.1, "tag": 0.15, "wiki": 0.5}
+
+    def url():
+        first = rng.choice(list(chance))
+        rest = [rng.choice(list("abcdefgh") if first == "tag" else ["a", "b", "c1", "d", str(rng.randint(0, 99))]) for _ in range(rng.randint(0, 5))]
+        return f"http://{rng.choice(['h.net', 'h.net', 'i.org', 'j.com'])}/" + "/".join([first, *rest]) + rng.choice(["", "", "/", ".html"]), int(rng.random() < chance[first])
+
+    labels, urls = [url() for _ in range(600)], sorted({url()[0] for _ in range(200)} | {"http://new.net/", "http://h.net"})
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.judge(pages, rules=(), labels=spark.createDataFrame(labels, "url string, good int"), settings=s).collect()
+    expected = plain_judge(urls, labels, s)
+    assert len(got) == len(urls) and len({t for t, _ in expected.values()}) > 15 and any("{" in t for t, _ in expected.values()) and any("/*" in t for t, _ in expected.values())
+    for r in got:
+        template, purity = expected[urls[r["page_id"]]]
+        assert (r["template"], r["purity"]) == (template, pytest.approx(purity)), urls[r["page_id"]]
+        assert r["verdict"] == ("block" if purity < s.reject else "allow")
+
+
+def test_tree_grows_on_one_scan(spark):
+    pages = spark.createDataFrame([(k, f"http://h.net/{'abc'[k % 3]}/x/y/z/{k}") for k in range(30)], "page_id long, url string")
+    plan = url_filter.judge(pages, rules=())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") + plan.count("ExternalRDD") <= 1  # the urls; the tree is read from its table
+
+
 def test_url_odd_rows(spark):
     rows = [(None, "http://a/b", "x"), (1, None, None), (1, None, None), (2, "http://h/" + "a/" * 5000, "x"), (3, "http://h/%", None)]
     df = spark.createDataFrame(rows, PAGES)
