@@ -27,10 +27,13 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         found = ngram_join.cluster(docs)
         own = named.join(found.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
     else:
-        rows = docs.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()))
+        own_row = "_row"
+        while own_row in docs.columns:
+            own_row += "_"
+        rows = docs.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").withColumn(own_row, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()))
         rows = staged(rows, "pipeline-rows")
-        found = ngram_join.cluster(rows, key="_row")
-        own = rows.join(found.filter("_row = component_id").select("_row"), "_row", "left_semi")
+        found = ngram_join.cluster(rows, key=own_row)
+        own = rows.join(found.filter(F.col(own_row) == F.col("component_id")).select(own_row), own_row, "left_semi")
     return own.select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
