@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontam, html_extract, ngram_join, packing, pii, quality, sharding, url_filter, warc
+from millrace.llm import chat, decontam, html_extract, ngram_join, packing, periodic_runs, pii, quality, sharding, topk, url_filter, warc, whitening
 
 TOKENIZER, EOS = "word_bpe_49k.json", 2
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -93,6 +93,50 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_key").alias("refers_to"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the four leading components of the distinct ones."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def _looped(doc_id: str, text: str) -> F.Column:
+    """The text, for a tenth of the documents by the CRC of their id with the words from some word on said again and again."""
+    h = F.crc32(F.col(doc_id).cast("string"))
+    g = F.floor(h / 10)
+
+    def again(words: F.Column) -> F.Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " ")
+
+    said = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.when((h % 10 == 0) & F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.transform(F.array(said), again)[0]).otherwise(F.col(text))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, and a digest of what is left when they are collapsed."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", _looped("doc_id", "text").alias("text"))
+    found = periodic_runs.collapse(docs)
+    listed = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), periodic_runs.greatest("runs").alias("best"))
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli")
+    return best.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best embeddings of every fiftieth one."""
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+#: DuckDB's equivalent of the op13 query over the view embeddings.
+ORACLE_13 = """
+with v as (select row_number() over () own, vec_id, list_transform(embedding, lambda c: floor(256 * c::double)) x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (select q.own, q.vec_id query_id, c.vec_id, list_inner_product(q.x, c.x)::bigint score from v q, v c where q.vec_id % 50 = 0 and q.own <> c.own),
+r as (select *, row_number() over (partition by own order by score desc, vec_id)::int rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
 #: DuckDB's equivalent of the op10 query over the view pages, but for the digest's base32, which it builds from hex.
 ORACLE_10 = r"""
 with p as (select page_id, coalesce(html, '') h from pages),
@@ -106,9 +150,9 @@ select page_id, payload_bytes,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_packing, op2_quality, op3_url_filter, op4_pii, op5_html_extract, op6_sharding, op7_chat, op8_ngram_join, op9_decontam, op10_warc)
+    every = (op1_packing, op2_quality, op3_url_filter, op4_pii, op5_html_extract, op6_sharding, op7_chat, op8_ngram_join, op9_decontam, op10_warc, op11_whitening, op12_periodic_runs, op13_topk)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": quality.ORACLE, "op7_chat": chat.ORACLE, "op10_warc": ORACLE_10}
+    return {"op2_quality": quality.ORACLE, "op7_chat": chat.ORACLE, "op10_warc": ORACLE_10, "op13_topk": ORACLE_13}
