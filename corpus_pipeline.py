@@ -19,28 +19,38 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).drop("quality")
 
 
+def _by_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and a column of longs that names each row. That is doc_id if no row lacks it and none repeats it; else a copy of docs is
+    written with numbers, which a lost task can't change."""
+    ids = docs.groupBy("doc_id").count()
+    if ids.filter("doc_id is null or count > 1").isEmpty():
+        return docs, "doc_id"
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "pipeline-rows"), name
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id. Documents with a null id stay. Where ids
-    repeat, equal rows of an id and text are one, and rows of one id with other texts are judged as documents of their own."""
-    named = docs.filter("doc_id is not null")
-    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        found = ngram_join.cluster(docs)
-        own = named.join(found.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    """One row of each group of near duplicates: that with the smallest id, null last. Every row is judged by its own text, so
+    rows of one id with other texts are other documents, equal rows are copies, and a null id is compared like any other.
+    Rows without a word stay each."""
+    rows, name = _by_row(docs)
+    found = ngram_join.cluster(rows, key=name)
+    if name != "doc_id":
+        ids = rows.select(name, F.col("doc_id").isNull().alias("_null"), F.col("doc_id").alias("_id"))
+        found = found.join(ids, name).groupBy("component_id").agg(F.min(F.struct("_null", "_id", name))[name].alias(name))
     else:
-        own_row = "_row"
-        while own_row in docs.columns:
-            own_row += "_"
-        rows = docs.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").withColumn(own_row, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()))
-        rows = staged(rows, "pipeline-rows")
-        found = ngram_join.cluster(rows, key=own_row)
-        own = rows.join(found.filter(F.col(own_row) == F.col("component_id")).select(own_row), own_row, "left_semi")
-    return own.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+        found = found.filter("doc_id = component_id")
+    return rows.join(found.select(name), name, "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark. Documents with a null id can't be named and stay."""
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rows that hold no item of the benchmark. Every row is judged by its own text: of rows with one id only those that hold
+    an item go, and a null id doesn't save one."""
+    rows, name = _by_row(docs)
+    found = decontam.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=name)
+    return rows.join(found.select(name).distinct(), name, "left_anti").select(docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,7 +58,23 @@ def test_repeated_ids_with_other_texts_stay(spark):
     rows = [(1, said(1)), (1, said(2)), (1, said(2)), (2, said(1) + " end"), (3, said(3)), (3, said(3) + " end"), (None, said(4)), (None, said(4))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.deduplicate(spark, docs, "").collect())
-    assert got == [(0, said(4)), (0, said(4)), (1, said(1)), (1, said(2)), (3, said(3))]
+    assert got == [(0, said(4)), (1, said(1)), (1, said(2)), (3, said(3))]  # a null id is no reason to keep a copy
+
+
+def test_rows_are_decontaminated_each(spark, folder):
+    """Of rows with one id, and of rows without any, those that hold an item go and the others stay."""
+    root, _ = folder
+    rng = random.Random(12)
+    item = spark.read.parquet(f"{root}/benchmark.parquet").filter("item_id = 4").first()["text"]
+    clean = [f"{said(rng, 70)}." for _ in range(4)]
+    leaks = f"{said(rng, 50)}.\n{item}\n{said(rng, 50)}."
+    rows = [(1, leaks), (1, clean[0]), (1, clean[0]), (None, leaks), (None, clean[1]), (2, clean[2]), (3, leaks), (4, None), (None, None)]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, _row string")
+    got = corpus_pipeline.decontaminate(spark, docs, root)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in got.collect())) == sorted((k or 0, t or "") for k, t in rows if t != leaks)
+    unique = docs.filter("doc_id > 1")
+    assert {r["doc_id"] for r in corpus_pipeline.decontaminate(spark, unique, root).collect()} == {2, 4}
 
 
 def test_empty_tables(spark, folder, tmp_path):
