@@ -146,16 +146,19 @@ def convert(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInArrow(read, RECORD)
 
 
-def mark_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
+def mark_revisits(records: DataFrame, least_bytes: int = 0, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """Makes every record but one of each payload of at least least_bytes a revisit of that one.
 
     The one kept is that with the smallest key (null last), then the smallest record_id, so repeated rows are one
     response and revisits. records must give the same identifiers each time it is evaluated (a staged table does): it is
-    read once for the digests' firsts, without payloads, and once to be marked. Digest groups are reduced to one row each
-    before the join; a digest that a third of the records share is split by the join's skew handling.
+    read once for the digests' firsts, without payloads, and once to be marked. Only digests that occur more than once are
+    looked up. While these are at most broadcast_bytes they go to the records, and payloads aren't shuffled; beyond, records are shuffled by
+    digest, and a digest that a third of them share is split by the join's skew handling.
     """
-    first = records.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min(F.struct(F.col("key").isNull().alias("n"), "key", "record_id", "uri", "date")).alias("first"))
-    joined = records.join(first, "payload_digest", "left").withColumn("again", (F.col("payload_bytes") >= least_bytes) & F.coalesce(F.col("first.record_id") != F.col("record_id"), F.lit(False)))
+    first = records.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min(F.struct(F.col("key").isNull().alias("n"), "key", "record_id", "uri", "date")).alias("first"), F.count("*").alias("times"))
+    first = staged(first.filter("times > 1").select("payload_digest", "first"), "warc-repeated")
+    size = first.agg(F.sum(F.length("first.uri") + F.length("first.record_id") + 200)).first()[0] or 0
+    joined = records.join(F.broadcast(first) if size <= broadcast_bytes else first, "payload_digest", "left").withColumn("again", (F.col("payload_bytes") >= least_bytes) & F.coalesce(F.col("first.record_id") != F.col("record_id"), F.lit(False)))
     kept = [c for c in records.columns if c not in ("type", "payload")]
     return joined.select(
         *kept,
