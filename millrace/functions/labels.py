@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What counts as accepted and as rejected.
 TRUE_TOKENS = ("accept", "accepted", "yes", "true", "1", "positive", "good", "act", "call")
@@ -49,6 +50,17 @@ def label_from_variant(value: Column) -> Column:
     )
 
 
+def label_of(value: Column, kind: T.DataType) -> Column:
+    """A label by its column's type; dates, lists, maps and structs are no labels."""
+    if isinstance(kind, T.BooleanType):
+        return value
+    if isinstance(kind, T.StringType):
+        return label_from_text(value)
+    if isinstance(kind, T.VariantType):
+        return label_from_variant(value)
+    return label_from_number(value) if isinstance(kind, T.NumericType) else F.lit(None).cast("boolean")
+
+
 def category_code(category: Column) -> Column:
     """The first code, in the table's order, that stands in brackets in a category's text."""
     found = F.lit(None).cast("string")

@@ -19,15 +19,13 @@ def proactive(rows: DataFrame, limit: int = 12, confidence: float = 0.85, lang:
 
 
 def generic(rows: DataFrame, observation: str | None = None, action: str | None = None, label: str | None = None, limit: int = 12, confidence: float = 0.85, reject: str = "WAIT", lang: str = "ru") -> DataFrame:
-    """rows of any columns, found by name or given, with status (kept, no_label, no_observations, no_text), decision, messages."""
-    columns = rows.columns
-    seen = F.col(fields.find_field(columns, fields.OBSERVATION, "observation", observation))
-    said = F.col(fields.find_field(columns, fields.ACTION, "action", action)).cast("string")
-    name = fields.find_field(columns, fields.LABEL, "label", label)
-    kind = dict(rows.dtypes)[name]
-    value = F.col(name)
-    known = value if kind == "boolean" else labels.label_from_text(value) if kind == "string" else labels.label_from_variant(value) if kind == "variant" else labels.label_from_number(value)
-    out = rows.withColumn("_obs", text.observation_lines(seen.cast("string"), limit)).withColumn("_text", F.nullif(labels.strip(said), F.lit(""))).withColumn("_decision", F.when(known, F.lit("ACT")).when(~known, F.lit(reject)))
+    """rows of any columns, found by name or given, with status (kept, no_label, no_observations, no_text), decision, messages.
+
+    Observation and action may be of any type: lists and objects are spelt out as text. A label that is a list or an object is unknown."""
+    names = [fields.find_field(rows.columns, *role) for role in ((fields.OBSERVATION, "observation", observation), (fields.ACTION, "action", action), (fields.LABEL, "label", label))]
+    seen, said = (text.plain_text(F.col(f"`{name}`"), rows.schema[name].dataType) for name in names[:2])
+    known = labels.label_of(F.col(f"`{names[2]}`"), rows.schema[names[2]].dataType)
+    out = rows.withColumn("_obs", text.observation_lines(seen, limit)).withColumn("_text", F.nullif(said, F.lit(""))).withColumn("_decision", F.when(known, F.lit("ACT")).when(~known, F.lit(reject)))
     status = F.when(F.col("_decision").isNull(), "no_label").when(F.size("_obs") == 0, "no_observations").when((F.col("_decision") == "ACT") & F.col("_text").isNull(), "no_text").otherwise("kept")
     return _finished(out.withColumn("status", status), confidence, lang)
 

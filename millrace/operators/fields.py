@@ -1,13 +1,17 @@
-"""Which column of a foreign corpus plays which role; decided on names, before any job."""
+"""Which column of a foreign corpus plays which role; decided on names, before any job where a table has the same for all rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-# Candidate column names by role, and those of a transcript's text, in the order in which they are tried.
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Candidate column names by role, and those of a transcript's text, in the order in which they are tried; the names that tell a proactive corpus.
 OBSERVATION = ("events", "event", "observations", "observation", "context", "history", "activity", "user_activity", "scenario", "state", "input", "conversation")
 ACTION = ("task", "prediction", "proposed_task", "candidate_task", "task_description", "action", "response", "assistant", "output", "target")
 LABEL = ("label", "accepted", "is_accepted", "judgement", "judgment", "human_label", "annotation", "verdict", "preference")
+PROACTIVE = ("obs", "help_needed")
 TEXT = ("transcription", "sentence", "text", "raw_transcription", "normalized_text")
 
 
@@ -32,6 +36,12 @@ def find_field(columns: Sequence[str], candidates: Sequence[str], role: str, ove
     return None
 
 
+def field_of(names: Column, candidates: Sequence[str]) -> Column:
+    """find_field() where each row has names of its own (an array): the name, or null."""
+    first = lambda fits, c: F.get(F.filter(names, lambda n: fits(F.lower(n), F.lit(c))), 0)
+    return F.coalesce(*[first(fits, c) for fits in (lambda n, c: n == c, F.contains) for c in candidates])
+
+
 def text_column(columns: Sequence[str], override: str | None = None) -> str:
     """The transcript's column; names are taken to the letter."""
     for name in (override,) if override else TEXT:
@@ -44,4 +54,4 @@ def corpus_format(columns: Sequence[str], declared: str = "auto") -> str:
     """proactive, transcript or generic, by the columns, unless declared."""
     if declared != "auto":
         return declared
-    return "proactive" if {"obs", "help_needed"} <= set(columns) else "transcript" if {"system", "chat"} <= set(columns) else "generic"
+    return "proactive" if set(PROACTIVE) <= set(columns) else "transcript" if {"system", "chat"} <= set(columns) else "generic"

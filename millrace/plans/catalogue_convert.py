@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import decisions, dialogue, labels, text
 from millrace.operators import convert, evaluate
@@ -104,6 +105,34 @@ def generic_convert(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "status", "decision", F.size(seen).cast("long").alias("observations")).withColumn("observations", F.when(F.col("status") == "kept", F.col("observations")))
 
 
+@register("generic_lists", """select o_orderkey, status, case when status = 'kept' then case when accepted then 'ACT' else 'WAIT' end end as decision, case when status = 'kept' then array_to_string(string_split(seen, '|')[-12:], '|') end as observations, case when status = 'kept' and accepted then said end as said from (
+  select *, case when accepted is null then 'no_label' when seen is null then 'no_observations' else 'kept' end as status from (
+    select o_orderkey, case o_orderstatus when 'F' then true when 'O' then false end as accepted, 'offer: ' || o_orderpriority || chr(10) || 'parts: ' || n as said, seen
+    from orders join (select l_orderkey, count(*) as n, array_to_string((list('p' || l_partkey || case when l_returnflag = 'R' then '|back' else '' end order by l_linenumber, l_partkey, l_suppkey, l_returnflag) filter (l_linestatus = 'F' or l_returnflag = 'N')), '|') as seen from lineitem where l_linenumber > 1 group by l_orderkey) on l_orderkey = o_orderkey))""")
+def generic_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations as lists with nulls and lines inside items, actions as structs, labels as words."""
+    part = F.concat(F.lit(" p"), F.col("l_partkey").cast("string"), F.lit(" "))
+    mode = F.when(F.col("l_returnflag") == "R", F.concat(part, F.lit("\r\n\n back  "))).otherwise(part)
+    one = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.when((F.col("l_linestatus") == "F") | (F.col("l_returnflag") == "N"), mode).alias("mode"))
+    seen = table(spark, sf, "lineitem").filter("l_linenumber > 1").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["mode"]).alias("events"), F.count("*").alias("n"))
+    action = F.struct(F.concat("o_orderpriority", F.lit("  ")).alias("offer"), F.lit(None).cast("string").alias("why"), F.col("n").alias("parts"))
+    label = F.when(F.col("o_orderstatus") == "F", F.lit("Accepted ")).when(F.col("o_orderstatus") == "O", F.lit("no")).otherwise(F.lit("perhaps"))
+    orders = table(spark, sf, "orders").join(seen, F.col("l_orderkey") == F.col("o_orderkey"))
+    made = convert.generic(orders.select("o_orderkey", "events", action.alias("task"), label.alias("verdict")))
+    seen = F.array_join(F.from_json(F.get("messages", F.lit(1))["content"], "observations array<string>")["observations"], "|")
+    return made.select("o_orderkey", "status", "decision", seen.alias("observations"), F.get_json_object(F.get("messages", F.lit(2))["content"], "$.speech.text").alias("said"))
+
+
+@register("observation_spaced", """select user_id, array_to_string(list(case when event_id % 3 = 0 then event_type else '[' || strftime(ts, '%H:%M') || '] ' || event_type end order by ts, event_id)[-12:], '|') as tail from events where event_type <> 'signup' group by user_id
+  union all select user_id, '' from events group by user_id having count(*) filter (event_type <> 'signup') = 0""")
+def observation_spaced(spark: SparkSession, sf: str) -> DataFrame:
+    """Times with white space around them, and blank ones."""
+    time = F.when(F.col("event_id") % 3 == 0, F.lit(" \t ")).otherwise(F.concat(F.lit("  "), F.date_format("ts", "HH:mm"), F.lit(" \n")))
+    one = F.struct("ts", "event_id", time.alias("time"), F.when(F.col("event_type") == "signup", F.lit(" ")).otherwise(F.concat("event_type", F.lit(" "))).alias("event"))
+    rows = table(spark, sf, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: F.struct(x["time"].alias("time"), x["event"].alias("event"))).alias("obs"))
+    return rows.select("user_id", F.array_join(text.timed_observations(F.col("obs"), 12), "|").alias("tail"))
+
+
 # --- dialogues ---------------------------------------------------------------------------------------------------------
 
 _ROLES = ("human", "GPT ", "chatgpt", "bot", "System", "function", "observation", "narrator")
@@ -125,7 +154,7 @@ def content_text(spark: SparkSession, sf: str) -> DataFrame:
 @register("as_text", """select event_id, event_type || chr(10) || 'k: ' || (props->>'k') as nested, 'k: ' || (props->>'k') as flat from events""")
 def as_text(spark: SparkSession, sf: str) -> DataFrame:
     nested = F.concat(F.lit('["  '), "event_type", F.lit('  ",null,'), "props", F.lit("]"))
-    return table(spark, sf, "events").select("event_id", text.as_text(nested).alias("nested"), text.map_text(F.from_json("props", "map<string,string>")).alias("flat"))
+    return table(spark, sf, "events").select("event_id", text.as_text(nested).alias("nested"), text.plain_text(F.from_json("props", "map<string,string>"), T.MapType(T.StringType(), T.StringType())).alias("flat"))
 
 
 def _flat(messages: Column) -> Column:

@@ -1,6 +1,8 @@
 """Facts about labels, texts, dialogues, decisions and sizes, on literal rows."""
 
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +48,50 @@ def test_as_text(spark):
     assert got == ["b: x\nc: 1\nTrue", "hi", "", "2.0"]
 
 
+def test_as_text_strips_what_it_joins(spark):
+    got = column(spark, ['[" ", "a"]', '["b", "  "]', '{"a": " "}', '[[" x", {"k": [1.5, false]}], null, " y "]', "[]", '" "', "null"], text.as_text)
+    assert got == ["a", "b", "a:", "x\nk: 1.5\nFalse\ny", "", "", ""]
+
+
+def test_plain_text_of_columns_equals_that_of_their_json(spark):
+    rows = spark.sql("""select * from values
+      (array(' a ', null, '', 'b\n'), named_struct('x', ' p ', 'y', cast(null as string), 'z', array(1, null, 3)), map('k', 2.5D, 'l', 1e20D), true, 12L),
+      (array(), named_struct('x', '', 'y', 'q ', 'z', array()), map(), false, null),
+      (null, null, null, null, -1L) as t(l, s, m, b, n)""")
+    kinds = {f.name: f.dataType for f in rows.schema}
+    for name, kind in kinds.items():
+        got = rows.select(text.plain_text(F.col(name), kind).alias("typed"), text.as_text(F.to_json(F.struct(name), {"ignoreNullFields": "false"})).alias("spelt")).collect()
+        assert [f"{name}: {r['typed']}".strip() if r["spelt"] else "" for r in got] == [r["spelt"] for r in got]
+
+
+def test_times_are_stripped(spark):
+    rows = spark.sql("select array(named_struct('time', ' 5 ', 'event', ' e '), named_struct('time', '  ', 'event', 'f'), named_struct('time', 'x', 'event', ' '), null, named_struct('time', null, 'event', 'g')) as o union all select null")
+    assert [r[0] for r in rows.select(text.timed_observations(F.col("o"))).collect()] == [["[5] e", "f", "g"], []]
+
+
+def test_composition(spark):
+    rng = random.Random(4)
+    letters = "еЕиИуіaAoñçкΩ\u212b가ᄀ" + "\u0306\u0308\u0301\u0323\u1161\u11a8" * 2 + "\u0344 .,—«»қәё漢\U0001d15e\u0958"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(7))) for _ in range(1500)] + [None, "", "Её\u0306и\u0306\u0301"]
+    assert column(spark, texts, text.nfc) == [t if t is None else unicodedata.normalize("NFC", t) for t in texts]
+
+
+def test_settled_characters_never_change():
+    own = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and re.match(f"[{text.SETTLED}]", chr(c))]
+    assert all(unicodedata.is_normalized("NFC", c) and not unicodedata.combining(c) for c in own)
+    second = {chr(int(d.split()[1], 16)) for c in range(0x110000) if " " in (d := unicodedata.decomposition(chr(c))) and d[0] != "<"}
+    assert not second & set(own)
+
+
+def test_long_alignments_keep_few_columns(monkeypatch):
+    rng = random.Random(8)
+    pairs = [([rng.choice("abc") for _ in range(rng.randrange(25))], [rng.choice("abc") for _ in range(rng.randrange(25))]) for _ in range(300)]
+    monkeypatch.setattr(text, "_BITS", 50)
+    assert [text.alignment(*p) for p in pairs] == [plain_alignment(*p) for p in pairs]
+    assert text.alignment(["a"] * 1_100_000 + ["b"], ["a"] * 1_100_000 + ["c", "d"]) == (1, 0, 1)
+    assert text.alignment(["a"] * 2_000_000, []) == (0, 2_000_000, 0)
+
+
 @pytest.mark.parametrize("given, expected", [("ҚАЗА-ҚАЗАН!", "қаза-қазан"), ("a - b", "а b"), ("", ""), (None, ""), ("й", "й"), ("  x,y;  z ", "х у z"), ("5-6", "5-6")])
 def test_normalize(spark, given, expected):
     assert column(spark, [given], text.normalize) == [expected]
