@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace import reports
 from millrace.functions import labels
 from millrace.operators import convert, evaluate, fields, sampling
+from millrace.schemas import PROACTIVE
 from millrace.sources import files
 from millrace.sources.configs import BuildSpec, DatasetSpec
 from millrace.sources.scratch import scratch
@@ -53,11 +54,9 @@ def split_bounds(split: str) -> tuple[int, int | None]:
 def load_rows(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
     """The rows of a source: a file of JSON lines, a JSON document or a Parquet folder; a slice of its split, then its limit.
     Rows come in the order in which the source is read."""
-    rows = files.read_rows(spark, spec.path)
     start, stop = split_bounds(spec.split)
-    rows = rows.offset(start) if start else rows
-    rows = rows.limit(stop - start) if stop is not None else rows
-    return rows if spec.limit is None else rows.limit(spec.limit)
+    last = stop if spec.limit is None else min(start + spec.limit, stop if stop is not None else start + spec.limit)
+    return files.read_slice(spark, spec.path, start, last)
 
 
 def proactive_examples(spark: SparkSession, specs: list[DatasetSpec]) -> DataFrame:
@@ -141,12 +140,22 @@ def write_corpus(spark: SparkSession, spec: BuildSpec, output: str) -> Report:
 
 def fetched(spark: SparkSession, folder: str, least: int = 50) -> tuple[DataFrame, DataFrame]:
     """(file, raw) of all rows of a crawl's usable files, and (file, examples) of those: files of JSON lines or documents
-    from which the converter makes at least so many examples."""
-    from millrace.schemas import PROACTIVE
-
-    lines = files.tolerant_rows(spark, folder, "*.jsonl").select("file", "raw").unionByName(files.tolerant_documents(spark, folder, "*.json"))
+    from which a converter makes at least so many examples. A file's first row tells its layout, and with it the converter: that
+    of proactive rows, or the generic one with the roles of the first row's names. A generic file without a name for each role, or with a row
+    that is no object, gives none. The table of layouts has a row a file."""
+    parts = [files.tolerant_rows(spark, folder, "*.jsonl"), files.tolerant_documents(spark, folder, "*.json")]
     path = scratch(spark, "crawl")
-    lines.write.parquet(path)
+    parts[0].unionByName(parts[1]).withColumn("names", F.json_object_keys("raw")).write.parquet(path)
     lines = spark.read.parquet(path)
-    usable = files.usable_files(convert.proactive(lines.select("file", F.from_json("raw", PROACTIVE).alias("r")).select("file", "r.*")), F.col("status") == "kept", least)
-    return lines.join(usable, "file", "left_semi"), usable
+    names = F.min_by(F.coalesce("names", F.array().cast("array<string>")), "place")
+    layout = lines.groupBy("file").agg(names.alias("names"), F.bool_and(F.col("names").isNotNull()).alias("objects"))
+    roles = {"seen": fields.OBSERVATION, "said": fields.ACTION, "judged": fields.LABEL}
+    layout = layout.select("file", "objects", F.forall(F.array(*map(F.lit, fields.PROACTIVE)), lambda k: F.array_contains("names", k)).alias("proactive"), *[fields.field_of(F.col("names"), c).alias(role) for role, c in roles.items()])
+    told = lines.select("file", "raw").join(layout, "file")
+    proactive = told.filter("proactive").select("file", F.from_json("raw", PROACTIVE).alias("r")).select("file", "r.*")
+    value = lambda role: F.element_at(F.from_json("raw", "map<string,variant>"), F.col(role))
+    other = told.filter("not proactive and objects and seen is not null and said is not null and judged is not null")
+    generic = other.select("file", value("seen").alias("observation"), value("said").alias("action"), value("judged").alias("label"))
+    made = convert.proactive(proactive).select("file", "status").unionByName(convert.generic(generic).select("file", "status"))
+    usable = files.usable_files(made, F.col("status") == "kept", least)
+    return lines.select("file", "raw").join(usable, "file", "left_semi"), usable

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import PurePosixPath
 
 import pyarrow as pa
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from millrace.sources import jsondocs
+from millrace.sources.scratch import scratch
+
 # Members of a JSON document's root that may hold its rows, in the order in which they are tried.
 ROOT_KEYS = ("data", "examples", "events", "instances")
 
@@ -33,20 +36,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return (reader.schema(schema) if schema else reader).json(require(spark, path))
 
 
-def read_json_document(spark: SparkSession, path: str, key: str = "data") -> DataFrame:
-    """Rows of a JSON document: those of its top-level list; else, its root being an object, of the list under key; else none.
-    What the root is decides, not what its rows hold."""
-    first = F.substring(F.btrim("value", F.lit(" \t\r\n\ufeff")), 1, 1)
-    roots = {r[0] for r in spark.read.text(require(spark, path), wholetext=True).select(first).distinct().collect()}  # one sign a kind of root
-    whole = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
-    if roots == {"["}:
-        return whole
-    if roots != {"{"}:
-        raise ValueError(f"{path} holds no JSON document, or documents of several kinds")
-    if not dict(whole.dtypes).get(key, "").startswith("array"):
-        return whole.limit(0)
-    rows = whole.select(F.explode(key).alias("row"))
-    return rows.select("row.*") if rows.dtypes[0][1].startswith("struct") else rows
+def read_json_document(spark: SparkSession, path: str, key: str = "data", schema: str | None = None) -> DataFrame:
+    """Rows of JSON documents of any size: those of a top-level list; else, the root being an object, of the list under key; else
+    none. What the root of each file is decides, not what its rows hold; many tasks read a file, and none holds its list."""
+    return _read_document(spark, path, key, schema).drop(*_PLACE)
+
+
+_PLACE = ("_file", "_block", "_place")
+
+
+def _read_document(spark: SparkSession, path: str, key: str = "data", schema: str | None = None) -> DataFrame:
+    return jsondocs.read_items(jsondocs.json_items(spark, require(spark, path), key), schema)
 
 
 def read_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -54,24 +54,70 @@ def read_rows(spark: SparkSession, path: str, schema: str | None = None) -> Data
     if path.endswith(".jsonl"):
         return read_jsonl(spark, path, schema)
     if path.endswith(".json"):
-        return read_json_document(spark, path)
+        return read_json_document(spark, path, schema=schema)
     return spark.read.parquet(require(spark, path))
 
 
+def read_slice(spark: SparkSession, path: str, start: int = 0, stop: int | None = None) -> DataFrame:
+    """Rows start to stop of a path in the order in which it is read."""
+    if not start and stop is None:
+        return read_rows(spark, path)
+    if path.endswith(".json"):
+        return sliced(_read_document(spark, path), start, stop, _PLACE).drop(*_PLACE)
+    return sliced(read_rows(spark, path), start, stop)
+
+
+#: Rows that one task may gather for a slice.
+AT_ONCE = 10_000
+
+
+def sliced(rows: DataFrame, start: int = 0, stop: int | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """Rows start to stop, in an order, or as files are read.
+
+    A short slice at the beginning is a limit. Else the rows of each partition are counted, so that a row's number is its place
+    in the partition behind a known offset, and the slice is a filter; ordered rows are first written sorted by range. Without an
+    order rows must be those of files, which every pass cuts into the same partitions. The slice's own rows come in no order.
+    """
+    if not start and stop is None:
+        return rows
+    if stop is not None and stop <= AT_ONCE:
+        ordered = rows.orderBy(*order) if order else rows
+        return (ordered.offset(start) if start else ordered).limit(max(0, stop - start))
+    spark, own = rows.sparkSession, [F.col(f"`{c}`") for c in rows.columns]
+    part, place = F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")
+    placed = (rows.orderBy(*order) if order else rows).select(*own, part, place)
+    if order:
+        path = scratch(spark, "sorted")
+        placed.write.parquet(path)
+        placed = spark.read.parquet(path)
+    before, offsets = 0, []
+    for r in sorted(placed.groupBy("_part").agg(F.count("*").alias("n")).collect()):  # a row a partition
+        if before + r["n"] > start and (stop is None or before < stop):
+            offsets.append((r["_part"], before))
+        before += r["n"]
+    known = F.broadcast(spark.createDataFrame(offsets, "_p int, _before long"))
+    number = F.col("_before") + F.col("_at")
+    inside = (number >= start) & (F.lit(True) if stop is None else number < stop)
+    return placed.join(known, F.col("_part") == F.col("_p")).filter(inside).select(*own)
+
+
 def tolerant_rows(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(file, line, raw) of all files of a crawl that are JSON throughout; one bad line drops its whole file."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw")).filter(F.trim("raw") != "")
+    """(file, place, raw) of all files of a crawl that are JSON throughout; one bad line drops its whole file. place grows with
+    the lines of a file."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), F.col("value").alias("raw")).filter(F.trim("raw") != "")
     bad = text.filter(F.try_parse_json("raw").isNull()).select("file").distinct()
     return text.join(bad, "file", "left_anti")
 
 
 def tolerant_documents(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
-    """(file, raw) of the rows of JSON documents: a top-level list, or the first member of ROOT_KEYS that is one. Files that
+    """(file, place, raw) of the rows of JSON documents: a top-level list, or the first member of ROOT_KEYS that is one. Files that
     can't be parsed give none."""
     whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     root = F.try_parse_json("value")
     lists = F.coalesce(F.try_variant_get(root, "$", "array<variant>"), *[F.try_variant_get(root, f"$.{k}", "array<variant>") for k in ROOT_KEYS])
-    return whole.select("file", F.explode(lists).alias("item")).select("file", F.to_json("item").alias("raw"))
+    place = F.struct(F.lit(0).cast("long").alias("block"), F.col("pos").cast("long").alias("row"))
+    return whole.select("file", F.posexplode(lists).alias("pos", "item")).select("file", place.alias("place"), F.to_json("item").alias("raw"))
 
 
 def usable_files(rows: DataFrame, yields: Column, least: int = 50) -> DataFrame:
@@ -81,9 +127,7 @@ def usable_files(rows: DataFrame, yields: Column, least: int = 50) -> DataFrame:
 
 def ordered_slice(rows: DataFrame, key: str, start: int = 0, stop: int | None = None) -> DataFrame:
     """Rows start to stop in the order of key, as a split slice takes them."""
-    ordered = rows.orderBy(key)
-    ordered = ordered.offset(start) if start else ordered
-    return ordered.limit(stop - start) if stop is not None else ordered
+    return sliced(rows, start, stop, [key])
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
@@ -119,12 +163,16 @@ def parquet_files(files: list[str], split: str, config: str | None = None) -> li
 def repeat_passes(rows: DataFrame, passes: int, order: list[str], budget: int | None = None) -> DataFrame:
     """rows read so many times over, as a training loop does, up to budget rows; an empty source is an error.
 
-    Rows are numbered within a pass, so only the last, partial pass is cut; a pass is a column of the row's copies, not a join.
+    Whole passes are copies of each row, not joins; only the pass in which the budget ends is a slice, in the order given.
     """
-    if rows.isEmpty():
+    n = rows.count()
+    if not n:
         raise RuntimeError("the source is empty; it would be repeated for ever")
-    copies = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
-    return copies if budget is None else copies.orderBy("pass", *order).limit(budget)
+    whole = passes if budget is None else min(passes, max(0, budget) // n)
+    rest = 0 if whole == passes else max(0, budget) - whole * n
+    number = F.explode(F.sequence(F.lit(0), F.lit(whole - 1))) if whole else F.lit(0)
+    out = rows.withColumn("pass", number) if whole else rows.withColumn("pass", number).limit(0)
+    return out.unionByName(sliced(rows, 0, rest, order).withColumn("pass", F.lit(whole))) if rest else out
 
 
 def first_row(rows: DataFrame):
@@ -161,14 +209,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 def first_rows(spark: SparkSession, path: str, limit: int | None, schema: str | None = None) -> DataFrame:
     """The first limit rows of JSON lines, blank ones not counted; all of them without a limit."""
-    rows = read_jsonl(spark, path, schema)
-    return rows if limit is None else rows.limit(limit)
+    return sliced(read_jsonl(spark, path, schema), 0, limit)
 
 
 def reference_texts(rows: DataFrame, text: str, order: list[str], limit: int | None = None) -> DataFrame:
     """The first transcripts in an order, missing ones as empty."""
-    ordered = rows.orderBy(*order).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return ordered if limit is None else ordered.limit(limit)
+    return sliced(rows, 0, limit, order).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
 def line_count(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace import cli, reports, schemas
 from millrace.functions import decisions, dialogue, jsontext
-from millrace.operators import build, leakage, sampling
+from millrace.operators import build, convert, leakage, sampling
 from millrace.sources import audio, configs, files
 
 
@@ -108,6 +108,35 @@ def test_fetching_usable_files(spark, tmp_path, capsys):
     assert cli.main(["fetch-data", "--source", str(crawl), "--min-examples", "1000"], spark) == 1
 
 
+def test_fetching_generic_files(spark, tmp_path):
+    crawl = tmp_path / "crawl"
+    crawl.mkdir()
+    generic = lambda k: {"id": k, "History": [" saw ", f"it {k}"], "proposed_action": {"say": f"hi {k}"}, "verdict": "accepted" if k % 3 else 0}
+    lines = lambda rows: "".join(json.dumps(r) + "\n" for r in rows)
+    (crawl / "generic.jsonl").write_text(lines(generic(k) for k in range(60)))
+    (crawl / "document.json").write_text(json.dumps({"instances": [generic(k) for k in range(55)]}))
+    (crawl / "proactive.jsonl").write_text(lines(proactive_row(k, "(FA)") for k in range(52)))
+    (crawl / "unjudged.jsonl").write_text(lines({k: v for k, v in generic(j).items() if k != "verdict"} for j in range(60)))
+    (crawl / "mixed.jsonl").write_text(lines(generic(k) for k in range(60)) + "[1]\n")
+    (crawl / "numbers.jsonl").write_text("1\n" * 60)
+    (crawl / "later.jsonl").write_text(lines([{"id": 0}, *(generic(k) for k in range(60))]))
+    (crawl / "maybe.jsonl").write_text(lines({**generic(k), "verdict": ["yes"] if k < 20 else True, "History": " " if k > 65 else "x"} for k in range(80)))
+    rows, usable = build.fetched(spark, str(crawl), 40)
+    assert {r["file"].rsplit("/", 1)[1]: r["examples"] for r in usable.collect()} == {"generic.jsonl": 60, "document.json": 55, "proactive.jsonl": 52, "maybe.jsonl": 46}
+    assert rows.count() == 60 + 55 + 52 + 80
+
+
+def test_generic_rows_of_any_type(spark, tmp_path):
+    rows = [{"observations": ["a", None, " b\nc "], "task": ["do", " it "], "label": True}, {"observations": [], "task": ["x"], "label": True}, {"observations": ["s"], "task": [" ", None], "label": True}, {"observations": ["s"], "task": None, "label": False}, {"observations": ["s"], "task": None, "label": None}]
+    (tmp_path / "g.json").write_text(json.dumps(rows))
+    got = convert.generic(files.read_json_document(spark, str(tmp_path / "g.json"))).collect()
+    assert sorted(r["status"] for r in got) == ["kept", "kept", "no_label", "no_observations", "no_text"]
+    kept = next(r for r in got if r["decision"] == "ACT")
+    assert json.loads(kept["messages"][1]["content"])["observations"] == ["a", "b", "c"] and json.loads(kept["messages"][2]["content"])["speech"]["text"] == "do\nit"
+    labelled = spark.sql("select 'x' as events, 'y' as task, array('yes') as label")
+    assert convert.generic(labelled).first()["status"] == "no_label"
+
+
 def test_pairs_and_inspection(spark, tmp_path, capsys):
     log = [{"situation_key": "k", "messages": [{"role": "user", "content": "hi"}], "decision_json": f"d{k}", "reaction": {"emotion_after": e}} for k, e in enumerate(["happy", "angry", "happy"])]
     (tmp_path / "log.jsonl").write_text("".join(json.dumps(r) + "\n" for r in log))
@@ -162,6 +191,20 @@ def test_prepare_callback_and_small_readers(spark, tmp_path):
     assert [r["text"] for r in files.reference_texts(rows, "text", ["k"], 2).collect()] == ["a", ""]
 
 
+def test_leakage_of_many_items_in_blocks(spark):
+    rng = __import__("random").Random(6)
+    said = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "ü,", "the", "of"]) for _ in range(n))
+    items = [said(rng.randint(1, 14)) for _ in range(150)] + ["Question: what is the capital of " + x for x in ("France", "Spain", "France and Spain")] + [" ", "", None, "\n"]
+    docs = [said(rng.randint(0, 80)) for _ in range(60)] + ["Question: what is the capital of France and Spain?", None, ""]
+    a, b = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    expected = {(j, k) for j, d in enumerate(docs) if d for k, i in enumerate(items) if i and i.strip(" ") and i in d}
+    for size in (4 << 20, 900):
+        got = leakage.contained(a.repartition(3), b, "doc_id", "item_id", block_bytes=size)
+        assert sorted(map(tuple, got.collect())) == sorted(expected) and len(expected) > 100
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Cartesian" not in plan
+
+
 def test_leakage_of_short_items(spark):
     texts = ["say yes we can do", "no way", "a", None, "xx yes yy"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
