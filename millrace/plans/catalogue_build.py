@@ -10,6 +10,7 @@ from millrace.operators import convert, leakage, reward, sampling
 from millrace.plans.catalogue import register, table
 from millrace.sources import files, interactions
 from millrace.sources.scratch import scratch
+from millrace.streaming.memory import memories
 from millrace.streaming.reactions import reaction_windows
 
 SHARES = {"conversations": 0.55, "documents": 0.20, "pages": 0.25}
@@ -266,6 +267,17 @@ def reaction_window(spark: SparkSession, sf: str) -> DataFrame:
     return reaction_windows(actions, seen, window="6 hours").select("action_id", "obs_id")
 
 
+@register("person_memory", """select user_id, array_to_string(list(note order by ts, note)[-20:], '|') as memories, least(20, count(*))::bigint as n
+  from (select user_id, ts, event_type || ' ' || event_id as note from events where ts <= (select max(ts) - interval 1 day from events) and ts > (select max(ts) - interval 4 day from events)) group by user_id""")
+def person_memory(spark: SparkSession, sf: str) -> DataFrame:
+    """What is remembered of every user a day before the last event: 20 notes of 3 days at most."""
+    events = table(spark, sf, "events")
+    notes = events.select("user_id", "ts", F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("note"))
+    as_of = events.agg(F.max("ts").alias("t")).select(F.col("t") - F.expr("interval 1 day")).first()[0]
+    held = memories(notes, F.lit(as_of), keep=20, forget="3 days")
+    return held.select("user_id", F.array_join("memories", "|").alias("memories"), F.size("memories").cast("long").alias("n"))
+
+
 # --- leakage, sizes, arrays --------------------------------------------------------------------------------------------
 
 

@@ -1,13 +1,9 @@
-"""Reactions in a window after an action, on streams and on tables, and memories by person."""
+"""Reactions in a window after an action, on streams and on tables."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def reaction_windows(actions: DataFrame, observations: DataFrame, person: str = "user_id", window: str = "5 seconds", late: str = "1 minute") -> DataFrame:
@@ -23,22 +19,6 @@ def reaction_windows(actions: DataFrame, observations: DataFrame, person: str =
     return a.join(o, within).drop("_person")
 
 
-def episodic_memory(notes: DataFrame, person: str = "user_id", keep: int = 20) -> DataFrame:
-    """A stream of (person, memories): the last notes (ts, note) of each person in the order of their times, kept as state.
-    A note that comes late takes its place among those kept. Persons of any atomic type."""
-    kind = notes.schema[person].dataType.simpleString()
-
-    def remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get)) if state.exists else []
-        for batch in batches:
-            held += zip(batch["ts"].astype("int64").tolist(), batch["note"].tolist())
-        held = sorted(held, key=lambda x: x[0])[-keep:]
-        state.update(([t for t, _ in held], [n for _, n in held]))
-        yield pd.DataFrame({person: [key[0]], "memories": [[n for _, n in held]]})
-
-    return notes.groupBy(person).applyInPandasWithState(remember, f"`{person}` {kind}, memories array<string>", "at array<long>, memories array<string>", "update", GroupStateTimeout.NoTimeout)
-
-
 def record_stream(spark, folder: str, schema: str, files: int = 1) -> DataFrame:
     """A folder of Parquet files as a stream, so many files a batch; each file is read once."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.decisions import SYSTEM_PROMPT
 from millrace.operators import convert, evaluate, leakage, reward, sampling
 from millrace.sources import configs, files, interactions
-from millrace.streaming import reactions
+from millrace.streaming import memory, reactions
 
 
 def rows_of(spark, **groups):
@@ -252,11 +252,37 @@ def test_reaction_stream_equals_the_table(spark, tmp_path):
     assert {(r["action_id"], r["obs_id"]) for r in spark.table("reactions").collect()} == table
 
 
-def test_episodic_memory(spark, tmp_path):
-    notes = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 0, k), f"n{k}") for k in range(5)], "user_id long, ts timestamp, note string")
-    notes.coalesce(1).write.parquet(str(tmp_path / "notes"))
-    stream = reactions.episodic_memory(reactions.record_stream(spark, str(tmp_path / "notes"), notes.schema), keep=3)
-    q = stream.writeStream.format("memory").outputMode("update").queryName("memories").option("checkpointLocation", str(tmp_path / "c2")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert spark.table("memories").first()["memories"] == ["n2", "n3", "n4"]
+def test_memories_end(spark, tmp_path):
+    """A stream's memories are those of the table: the last notes, late ones in their place, old ones forgotten by timers."""
+    day = lambda d, minute=0: dt.datetime(2024, 1, 1 + d, 0, minute)
+    batches = [
+        [(1, day(0, k), f"n{k}") for k in range(5)] + [(2, day(0), "b0"), (None, day(0), "x")],
+        [(1, day(1), "late"), (2, day(2), "b2"), (1, day(2, 1), "m0"), (3, None, "never")],
+        [(1, day(1, 30), "later"), (4, day(4), "d")],
+        [(4, day(9), "end")],
+    ]
+    schema = "user_id long, ts timestamp, note string"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "all" / f"{k}"))
+    seen = []
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    stream = memory.memory_stream(source, keep=3, forget="3 days", late="1 day")
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c2")).foreachBatch(lambda df, _: seen.append({r["user_id"]: r["memories"] for r in df.collect()}))
+    q = q.start()
+    try:
+        for k in range(len(batches)):
+            (tmp_path / "all" / str(k)).rename(tmp_path / "in" / str(k))
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    last = {}
+    for made in seen:
+        last |= made
+    assert seen[0] == {1: ["n2", "n3", "n4"], 2: ["b0"], None: ["x"]}
+    assert any(made.get(1) == ["late", "later", "m0"] for made in seen)  # "later" came after "m0"
+    table = spark.read.parquet(*[str(tmp_path / "in" / str(k)) for k in range(len(batches))])
+    held = {r["user_id"]: r["memories"] for r in memory.memories(table, F.lit(day(8)), keep=3, forget="3 days").collect()}
+    assert {k: v for k, v in last.items() if v} == {4: ["end"]} and held == {} and set(last) == {1, 2, 4, None}
+    then = {r["user_id"]: r["memories"] for r in memory.memories(table, F.lit(day(2, 2)), keep=3, forget="3 days").collect()}
+    assert then == {1: ["late", "later", "m0"], 2: ["b0", "b2"], None: ["x"]}
