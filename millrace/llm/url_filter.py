@@ -15,13 +15,11 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 
 @dataclass(frozen=True)
 class Settings:
-    """max_depth: path segments with a level of their own, the rest is one tail. variable_kinds: from so many distinct
-    children a branch's segments are variable. merge_gap, merge_z: sibling templates whose purities differ by less
+    """variable_kinds: from so many distinct children a branch's segments are variable. merge_gap, merge_z: sibling templates whose purities differ by less
     than the gap, or by fewer standard errors of their counts, are merged. prior: pseudo-counts that a parent lends its
     children. reject: a template of a lower purity is blocked. broadcast: characters of the branches or verdicts that are
     known everywhere at most."""
 
-    max_depth: int = 8
     variable_kinds: int = 20
     merge_gap: float = 0.1
     merge_z: float = 2.0
@@ -56,7 +54,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labels:
     in a tree of templates: a segment with a digit is *; per host, level by level, the segments of a branch with many
     distinct ones become * too; sibling branches with alike smoothed purities are merged into one; a template's purity is
     smoothed by the same template over all hosts (a merged one by its members' labels over all hosts), and that by the
-    whole. Templates under settings.reject are blocked, others allowed.
+    whole. Every segment has a level, however long the path; levels where no host has siblings take no job. Templates under settings.reject are blocked, others allowed.
 
     Null urls and urls without :// have an empty host and path and go by the empty template; repeated rows are judged
     each; an empty table gives no rows; other columns are ignored. The tree is grown on one row a host and shape (path
@@ -67,18 +65,19 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labels:
     s = settings
     url = F.col("url").cast("string")
     base = pages.select(F.col("page_id"), url.alias("url")).select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
-    base = base.withColumn("hit", matched_rule(F.col("host"), F.col("path"), rules)).withColumn("shape", shape_of(F.col("path"), s.max_depth))
+    base = base.withColumn("hit", matched_rule(F.col("host"), F.col("path"), rules)).withColumn("shape", shape_of(F.col("path")))
     seen = base.select("host", "shape", F.when(F.col("hit").isNotNull(), (F.col("hit.verdict") == "allow").cast("int")).alias("good"))
     if labels is not None:
         lab = F.col("url").cast("string")
-        told = labels.select(host_of(lab).alias("host"), shape_of(path_of(lab), s.max_depth).alias("shape"), F.col("good").cast("int").alias("good"))
+        told = labels.select(host_of(lab).alias("host"), shape_of(path_of(lab)).alias("shape"), F.col("good").cast("int").alias("good"))
         seen = seen.withColumn("good", F.lit(None).cast("int")).unionByName(told)
     shapes = staged(seen.groupBy("host", "shape").agg(F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("goods")), "url-shapes")
     deepest, goods, labelled = shapes.agg(F.max(F.size(_segments(F.col("shape")))), F.coalesce(F.sum("goods"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0))).first()
-    tree = shapes.withColumn("template", F.lit(""))
-    for depth in range(deepest or 0):
-        tree = _generalise(tree, depth, s)
-    merged = _merge_alike(tree, deepest or 0, s)
+    tree, done, kinds = shapes.withColumn("template", F.lit("")), 0, _kinds(shapes)
+    for depth in sorted(d for d, n in kinds.items() if n >= s.variable_kinds):
+        tree, done = _generalise(_lengthened(tree, done, depth), depth, s), depth + 1
+    tree = _lengthened(tree, done, deepest or 0)
+    merged = _merge_alike(tree, [d for d, n in kinds.items() if n > 1], s)
     # The pool over all hosts is of unmerged templates, so labels of merged branches stay in it; a merged template goes by
     # the pools of its members.
     over_all = merged.groupBy("template").agg(F.sum("l").alias("all_l"), F.sum("g").alias("all_g"))
@@ -96,29 +95,42 @@ def _small(df: DataFrame, s: Settings) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= s.broadcast else df
 
 
-def shape_of(path: Column, most: int) -> Column:
-    """A path's segments without the file extension's variants, those with a digit as *, joined by /; beyond the depth, one
-    tail **."""
+def shape_of(path: Column) -> Column:
+    """A path's segments without the file extension's variants, those with a digit as *, joined by /."""
     whole = F.filter(F.split(F.regexp_replace(path, r"\.[A-Za-z0-9]{1,5}$", ""), "/", -1), lambda x: x != "")
-    cut = F.when(F.size(whole) <= most, whole).otherwise(F.concat(F.slice(whole, 1, most - 1), F.array(F.lit("**"))))
-    return F.array_join(F.transform(cut, lambda x: F.when(x.rlike("[0-9]"), F.lit("*")).otherwise(x)), "/")
+    return F.array_join(F.transform(whole, lambda x: F.when(x.rlike("[0-9]"), F.lit("*")).otherwise(x)), "/")
 
 
 def _segments(shape: Column) -> Column:
     return F.when(shape == "", F.array().cast("array<string>")).otherwise(F.split(shape, "/", -1))
 
 
+def _kinds(shapes: DataFrame) -> dict[int, int]:
+    """For each level the most literal segments that a host has there: no branch of it has more. A row a level is collected."""
+    each = shapes.select("host", F.posexplode(_segments(F.col("shape"))).alias("place", "own")).filter("own <> '*'").distinct()
+    most = each.groupBy("host", "place").agg(F.count("*").alias("n")).groupBy("place").agg(F.max("n").alias("n"))
+    return {r["place"]: r["n"] for r in most.collect()}
+
+
+def _lengthened(tree: DataFrame, start: int, stop: int) -> DataFrame:
+    """Extends every template by levels start to stop as they are."""
+    if stop <= start:
+        return tree
+    own = F.slice(_segments(F.col("shape")), start + 1, stop - start)
+    return tree.withColumn("template", F.concat("template", F.array_join(F.transform(own, lambda x: F.concat(F.lit("/"), x)), "")))
+
+
 def _generalise(tree: DataFrame, depth: int, s: Settings) -> DataFrame:
     """Extends every template by one level; the segments of branches with many kinds become *."""
     here = tree.withColumn("own", F.get(_segments(F.col("shape")), F.lit(depth)))
-    literal = here.filter((F.col("own") != "*") & (F.col("own") != "**"))
+    literal = here.filter(F.col("own") != "*")
     kinds = literal.select("host", "template", "own").distinct().groupBy("host", "template").agg(F.count("*").alias("kinds"))
     wide = staged(kinds.filter(F.col("kinds") >= s.variable_kinds).select("host", "template", F.lit(True).alias("wide")), "url-wide")
     step = lambda own: F.when(F.col("own").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), own))
     if wide.isEmpty():
         return here.withColumn("template", step(F.col("own"))).drop("own")
     out = here.join(_small(wide, s), ["host", "template"], "left")
-    return staged(out.withColumn("template", step(F.when(F.col("wide") & (F.col("own") != "**"), F.lit("*")).otherwise(F.col("own")))).drop("own", "wide"), "url-tree")
+    return staged(out.withColumn("template", step(F.when(F.col("wide"), F.lit("*")).otherwise(F.col("own")))).drop("own", "wide"), "url-tree")
 
 
 def _classes(siblings: Column, s: Settings) -> Column:
@@ -139,16 +151,16 @@ def _classes(siblings: Column, s: Settings) -> Column:
     return F.aggregate(siblings, F.array().cast(kind), add)
 
 
-def _merge_alike(tree: DataFrame, depth: int, s: Settings) -> DataFrame:
+def _merge_alike(tree: DataFrame, places: list[int], s: Settings) -> DataFrame:
     """(host, template, l, g, merged): the tree's nodes with their labels. Sibling templates of a host, which differ in one
-    literal segment only, share a class in that place of merged if their purities are alike. From the deepest place to the
+    literal segment only, share a class in that place of merged if their purities are alike. places are the levels where some host has several, from the deepest to the
     first. A branch with more kinds than settings.variable_kinds is *, so the siblings of a place are few."""
     nodes = staged(tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("goods").alias("g")).withColumn("merged", F.col("template")), "url-nodes")
-    for place in reversed(range(depth)):
+    for place in sorted(places, reverse=True):
         parts = F.split("merged", "/", -1)  # the first part is empty
         own = F.get(parts, F.lit(place + 1))
-        here = nodes.withColumn("own", own).withColumn("before", F.slice(parts, 1, F.lit(place + 1))).withColumn("after", F.slice(parts, place + 3, F.lit(s.max_depth + 1)))
-        now = here.filter((F.col("own") != "*") & (F.col("own") != "**")).groupBy("host", "before", "after", "own").agg(F.sum("l").alias("l"), F.sum("g").alias("g")).filter(F.col("l") >= s.prior)
+        here = nodes.withColumn("own", own).withColumn("before", F.slice(parts, 1, F.lit(place + 1))).withColumn("after", F.slice(parts, place + 3, F.greatest(F.size(parts), F.lit(1))))
+        now = here.filter(F.col("own") != "*").groupBy("host", "before", "after", "own").agg(F.sum("l").alias("l"), F.sum("g").alias("g")).filter(F.col("l") >= s.prior)
         siblings = now.groupBy("host", "before", "after").agg(F.sort_array(F.collect_list(F.struct((F.col("g") / F.col("l")).alias("p"), "l", "g", "own"))).alias("siblings")).filter(F.size("siblings") > 1)
         classes = siblings.select("host", "before", "after", F.explode(_classes(F.col("siblings"), s)).alias("c")).filter(F.size("c.owns") > 1)
         shared = F.concat(F.lit("{"), F.floor(F.col("c.g") / F.col("c.l") / s.merge_gap).cast("string"), F.lit("}"))

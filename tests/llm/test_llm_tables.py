@@ -71,7 +71,6 @@ def plain_judge(urls, labels, s):
     def shape(url):
         host, _, path = url.partition("://")[2].partition("/")
         parts = [x for x in re.sub(r"\.[A-Za-z0-9]{1,5}$", "", "/" + path).split("/") if x]
-        parts = parts if len(parts) <= s.max_depth else [*parts[: s.max_depth - 1], "**"]
         return host, tuple("*" if re.search("[0-9]", x) else x for x in parts)
 
     told = defaultdict(list)
@@ -82,9 +81,9 @@ def plain_judge(urls, labels, s):
     for depth in range(max(len(x) for _, x in shapes)):
         kinds = defaultdict(set)
         for (host, x), t in template.items():
-            if len(x) > depth and x[depth] not in ("*", "**"):
+            if len(x) > depth and x[depth] != "*":
                 kinds[host, t].add(x[depth])
-        template = {(host, x): t if len(x) <= depth else f"{t}/" + ("*" if len(kinds[host, t]) >= s.variable_kinds and x[depth] != "**" else x[depth]) for (host, x), t in template.items()}
+        template = {(host, x): t if len(x) <= depth else f"{t}/" + ("*" if len(kinds[host, t]) >= s.variable_kinds else x[depth]) for (host, x), t in template.items()}
     nodes = defaultdict(lambda: [0, 0])
     for key, t in template.items():
         nodes[key[0], t][0] += len(told[key])
@@ -93,7 +92,7 @@ def plain_judge(urls, labels, s):
     for place in reversed(range(1, 1 + max(len(x) for _, x in shapes))):
         siblings = defaultdict(lambda: defaultdict(lambda: [0, 0]))
         for key, parts in merged.items():
-            if len(parts) > place and parts[place] not in ("*", "**"):
+            if len(parts) > place and parts[place] != "*":
                 own = siblings[key[0], tuple(parts[:place]), tuple(parts[place + 1 :])][parts[place]]
                 own[0] += nodes[key][0]
                 own[1] += nodes[key][1]
@@ -133,7 +132,7 @@ def plain_judge(urls, labels, s):
 
 def test_template_tree_equals_brute_force(spark):
     rng = random.Random(12)
-    s = url_filter.Settings(max_depth=4, variable_kinds=6)
+    s = url_filter.Settings(variable_kinds=6)
     chance = {"news": 0.9, "blog": 0.85, "shop": 0.1, "tag": 0.15, "wiki": 0.5}
 
     def url():
@@ -152,6 +151,14 @@ def test_template_tree_equals_brute_force(spark):
         assert r["verdict"] == ("block" if purity < s.reject else "allow")
 
 
+def test_long_paths_keep_their_segments(spark):
+    head = "http://h.net/" + "/".join("abcdefg")
+    urls = [f"{head}/h/i/j", f"{head}/x/y/z", f"{head}/h/i/" + "q/" * 300 + "r", f"{head}/h/i/" + "q/" * 300 + "s"]
+    told = [(u, k % 2) for k, u in enumerate(urls) for _ in range(60)]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=(), labels=spark.createDataFrame(told, "url string, good int")).collect()
+    assert len({r["template"] for r in got}) == 4 and [r["verdict"] for r in sorted(got)] == ["block", "allow"] * 2
+
+
 def test_tree_grows_on_one_scan(spark):
     pages = spark.createDataFrame([(k, f"http://h.net/{'abc'[k % 3]}/x/y/z/{k}") for k in range(30)], "page_id long, url string")
     plan = url_filter.judge(pages, rules=())._jdf.queryExecution().optimizedPlan().toString()
