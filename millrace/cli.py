@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,9 @@ def _arguments() -> argparse.ArgumentParser:
     command("sweep", "a table of checkpoints' results, and the best healthy one", ("path", {}), ("--output", {"default": None}))
     command("transcripts", "error rates of JSON lines with reference and hypothesis", ("path", {}), ("--title", {"default": "model"}), ("--output", {"default": None}), ("--samples", {"type": int, "default": 5}))
     command("peek", "rows and empty transcripts of a speech table", ("path", {}), ("--text-column", {"default": None}), ("--limit", {"type": int, "default": 50}))
-    command("preflight", "examples of a corpus and the memory that training needs", ("path", {}), ("--model", {"default": ""}))
+    command("calibrate", "the threshold at which to act, of JSON lines with probability and gold", ("path", {}), ("--max-false-interventions", {"type": float, "default": 0.1}), ("--temperature", {"type": float, "default": 1.0}), ("--steps", {"type": int, "default": 101}), ("--output", {"default": None}))
+    command("preflight", "examples of a corpus and the memory that tuning needs", ("path", {}), ("--config", {"default": None}), ("--model", {"default": None}), ("--memory-gb", {"type": float, "default": None}))
+    command("preflight-speech", "parameters and memory of a speech model's tuning", ("--config", {"default": None}), ("--model", {"default": None}), ("--memory-gb", {"type": float, "default": None}))
     return parser
 
 
@@ -162,15 +165,61 @@ def _peek(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
+def _calibrate(spark: SparkSession, args: argparse.Namespace) -> int:
+    from millrace.functions.decisions import apply_temperature
+
+    rows = files.read_jsonl(spark, args.path, "probability double, gold string").filter("probability is not null and gold is not null")
+    curve = evaluate.calibration_curve(rows.select(apply_temperature(F.col("probability"), args.temperature).alias("score"), (F.col("gold") == "ACT").alias("is_act")), args.steps)
+    if rows.isEmpty():
+        raise ValueError(f"no probabilities in {args.path}")
+    pick = evaluate.calibration_pick(curve, args.max_false_interventions).first()
+    points = [p.asDict() for p in curve.orderBy("threshold").collect()]  # as many as steps
+    if args.output:
+        files.write_text(spark, args.output, reports.as_json({"temperature": args.temperature, **pick.asDict(), "curve": points}))
+    print(reports.calibration(pick.asDict(), args.temperature, len(points)))
+    return 0
+
+
+def _settings(kind: type, config: str | None, **given):
+    spec = configs.load_yaml(kind, config) if config else kind()
+    return replace(spec, **{k: v for k, v in given.items() if v is not None})
+
+
+def _fits(needed: float, there: float | None) -> int:
+    """What to say of an estimate where the memory is known; 1 if it doesn't fit."""
+    if there is None:
+        return 0
+    print(f"{needed:.2f} of {there:.1f} GB" + (": too much; take shorter texts, smaller batches or four-bit weights" if needed > there else ": tight" if needed > 0.9 * there else ""))
+    return int(needed > there)
+
+
 def _preflight(spark: SparkSession, args: argparse.Namespace) -> int:
     print(f"examples: {files.line_count(spark, args.path).first()['examples']}")
-    if args.model:
-        billions = spark.range(1).select(sizes.billions(F.lit(args.model)).alias("b")).first()["b"]
-        print(f"{args.model}: {'hub' if configs.is_hub_id(args.model) else 'local'} model of about {billions} billion parameters")
-    return 0
+    spec = _settings(configs.TuningSpec, args.config, base_model=args.model)
+    billions = sizes.billions(F.lit(spec.base_model))
+    parts = sizes.tuning_memory_parts(billions, spec.load_in_4bit, spec.per_device_batch_size, spec.max_length, spec.gradient_checkpointing)
+    found = spark.range(1).select(billions.alias("billions"), *[gb.alias(name) for name, gb in parts.items()]).first().asDict()
+    print(f"{spec.base_model}: {'hub' if configs.is_hub_id(spec.base_model) else 'local'} model of about {found.pop('billions')} billion parameters")
+    for name, gb in found.items():
+        print(f"  {name}: {gb:.2f} GB")
+    needed = sum(found.values())
+    print(f"memory for tuning: about {needed:.2f} GB")
+    return _fits(needed, args.memory_gb)
+
+
+def _preflight_speech(spark: SparkSession, args: argparse.Namespace) -> int:
+    spec = _settings(configs.SpeechRunSpec, args.config, model=args.model)
+    name = F.lit(spec.model)
+    told = sizes.speech_millions(name), sizes.trainable_millions(name, spec.freeze_encoder), sizes.speech_memory_gb(name, spec.freeze_encoder, spec.eight_bit, spec.gradient_checkpointing, spec.per_device_batch_size)
+    total, trained, needed = spark.range(1).select(*told).first()
+    if total is None:
+        print(f"{spec.model}: a model of unknown size")
+        return 1
+    print(f"{spec.model}: {total} million parameters, {trained} of them trained, batches of {spec.effective_batch}\nmemory for tuning: about {needed:.2f} GB")
+    return _fits(needed, args.memory_gb)
 
 
 _COMMANDS = {
     "inspect-dataset": _inspect, "build-data": _build_data, "build-pairs": _build_pairs, "retention": _retention, "fetch-data": _fetch, "eval-set": _eval_set, "eval-decisions": _eval_decisions,
-    "sweep": _sweep, "transcripts": _transcripts, "peek": _peek, "preflight": _preflight,
+    "sweep": _sweep, "transcripts": _transcripts, "peek": _peek, "calibrate": _calibrate, "preflight": _preflight, "preflight-speech": _preflight_speech,
 }

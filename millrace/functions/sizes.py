@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +17,19 @@ def billions(name: Column) -> Column:
     return F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(name, r"(\d+(?:\.\d+)?)\s*[Bb](?:\b|-)", 1), F.lit("")), F.lit("999999D99999")).cast("double"), F.lit(8.0))
 
 
+def tuning_memory_parts(params: Column, four_bit: bool, batch: int, length: int, checkpointing: bool) -> dict[str, Column]:
+    """Peak memory of adapter training in GB, by what takes it."""
+    return {
+        "weights": params * (0.6 if four_bit else 2.0),
+        "adapter and optimiser": params * 0.08,
+        "activations": (batch * length / 1000) * (params / 8) * (0.25 if checkpointing else 1.0),
+        "overhead": F.lit(1.5),
+    }
+
+
 def tuning_memory_gb(params: Column, four_bit: bool, batch: int, length: int, checkpointing: bool) -> Column:
     """Peak memory of adapter training: weights, adapter with optimiser, activations, overhead."""
-    return params * (0.6 if four_bit else 2.0) + params * 0.08 + (batch * length / 1000) * (params / 8) * (0.25 if checkpointing else 1.0) + 1.5
+    return reduce(lambda a, b: a + b, tuning_memory_parts(params, four_bit, batch, length, checkpointing).values())
 
 
 def _by_name(name: Column, table: dict[str, float]) -> Column:

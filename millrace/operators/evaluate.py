@@ -130,7 +130,11 @@ def label_balance(examples: DataFrame, decision: Column) -> DataFrame:
     return counts.select("decision", "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
 
 
-def act_share_warning(balance: DataFrame, low: float = 0.35, high: float = 0.65) -> DataFrame:
+# Bounds of ACT's share.
+ACT_SHARE = (0.35, 0.65)
+
+
+def act_share_warning(balance: DataFrame, low: float = ACT_SHARE[0], high: float = ACT_SHARE[1]) -> DataFrame:
     """(act_share, skewed): whether ACT's share leaves the bounds."""
     got = balance.agg(F.coalesce(F.max(F.when(F.col("decision") == "ACT", F.col("share"))), F.lit(0.0)).alias("act_share"))
     return got.withColumn("skewed", ~F.col("act_share").between(low, high))

@@ -40,7 +40,7 @@ class BuildSpec:
     proactivity_balance: bool = True
 
 
-# The defaults of both training stages, which the memory estimate and the runs read.
+# The names and defaults of the settings below, as settings files have them. The memory estimates read them; the runs are others'.
 ENGINES = ("unsloth", "hf")
 LINEAR_LAYERS = ("q_proj", "k_proj", "v_proj", "o_proj", "gate_proj", "up_proj", "down_proj")
 
@@ -102,6 +102,46 @@ class PreferenceSpec(_TrainingSpec):
     max_prompt_length: int = 3072
 
 
+@dataclass(frozen=True)
+class SpeechRunSpec:
+    """Tuning of a speech model on a stream of examples, so by steps."""
+
+    model: str = "openai/whisper-large-v3-turbo"
+    language: str = "kazakh"
+    task: str = "transcribe"
+    dataset: SpeechSpec = field(default_factory=lambda: SpeechSpec(path=""))
+    output_dir: str = "outputs/whisper-kk"
+    freeze_encoder: bool = True
+    optim: str = "adamw_bnb_8bit"
+    learning_rate: float = 6e-6
+    warmup_steps: int = 50
+    max_steps: int = 1500
+    per_device_batch_size: int = 4
+    gradient_accumulation_steps: int = 4
+    eval_steps: int = 250
+    save_steps: int = 500
+    save_total_limit: int = 2
+    logging_steps: int = 25
+    eval_examples: int = 200
+    generation_max_length: int = 225
+    seed: int = 42
+    bf16: bool = True
+    gradient_checkpointing: bool = True
+
+    def __post_init__(self) -> None:
+        for name in ("max_steps", "per_device_batch_size"):
+            if getattr(self, name) <= 0:
+                raise ValueError(f"{name} must be positive")
+
+    @property
+    def eight_bit(self) -> bool:
+        return "8bit" in self.optim
+
+    @property
+    def effective_batch(self) -> int:
+        return self.per_device_batch_size * self.gradient_accumulation_steps
+
+
 def is_hub_id(path: str) -> bool:
     """Whether a model's path names one on a hub: it has a slash and isn't absolute."""
     return "/" in path and not path.startswith("/")
@@ -111,7 +151,7 @@ def load(kind: type, values: dict):
     """A settings record of a mapping."""
     if unknown := sorted(set(values) - {f.name for f in fields(kind)}):
         raise TypeError(f"{kind.__name__} has no settings {', '.join(unknown)}")
-    nested = {"lora": AdapterSpec, **dict.fromkeys(("proactivity", "function_calling", "replay"), DatasetSpec)}
+    nested = {"lora": AdapterSpec, "dataset": SpeechSpec, **dict.fromkeys(("proactivity", "function_calling", "replay"), DatasetSpec)}
     made = {k: v if k not in nested or v is None else [load(nested[k], x) for x in v] if isinstance(v, list) else load(nested[k], v) for k, v in values.items()}
     return kind(**{k: v for k, v in made.items() if v is not None or k not in nested})
 

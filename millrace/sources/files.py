@@ -19,8 +19,8 @@ ROOT_KEYS = ("data", "examples", "events", "instances")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    own, store = _path(spark, path)
+    return store.exists(own)
 
 
 def require(spark: SparkSession, path: str, step: str = "fetch the data first") -> str:
@@ -130,9 +130,34 @@ def ordered_slice(rows: DataFrame, key: str, start: int = 0, stop: int | None =
     return sliced(rows, start, stop, [key])
 
 
+def json_line(row: Column) -> Column:
+    """A struct as one JSON object, nulls left out, text as it is."""
+    return F.to_json(row)
+
+
 def write_jsonl(rows: DataFrame, path: str) -> None:
-    """One JSON object a line, nulls left out, text as it is."""
-    rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("value")).write.mode("overwrite").text(path)
+    """One JSON object a line."""
+    rows.select(json_line(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("value")).write.mode("overwrite").text(path)
+
+
+def _path(spark: SparkSession, path: str):
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    own, store = _path(spark, path)
+    store.delete(own, True)
+
+
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Puts a written folder in the place of another; a source that isn't there leaves an empty folder."""
+    remove(spark, target)
+    (own, store), (there, _) = _path(spark, source), _path(spark, target)
+    if not store.exists(own):
+        store.mkdirs(there)
+    elif not store.rename(own, there):
+        raise OSError(f"{source} can't be moved to {target}")
 
 
 def sft_input(rows: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import io
 import json
+import struct
 import wave
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,49 @@ def sources(tmp_path):
     return tmp_path
 
 
+def test_preflight_and_calibration(spark, tmp_path, capsys):
+    (tmp_path / "n.jsonl").write_text("a\n\n b\n")
+    (tmp_path / "c.yaml").write_text(json.dumps({"base_model": "org/some-4B", "load_in_4bit": True, "per_device_batch_size": 1, "max_length": 2000}))
+    run = lambda *a: cli.main([str(x) for x in a], spark)
+    assert run("preflight", tmp_path / "n.jsonl", "--config", tmp_path / "c.yaml", "--memory-gb", "16") == 0
+    out = capsys.readouterr().out
+    assert "examples: 2" in out and "about 4.0 billion" in out and "weights: 2.40 GB" in out and "activations: 0.25 GB" in out and "about 4.47 GB" in out
+    assert run("preflight", tmp_path / "n.jsonl", "--model", "org/some-70B", "--memory-gb", "16") == 1 and "too much" in capsys.readouterr().out
+    assert run("preflight-speech") == 0 and "809 million parameters, 170 of them trained" in capsys.readouterr().out
+    (tmp_path / "s.yaml").write_text(json.dumps({"model": "openai/whisper-small", "optim": "adamw", "dataset": {"path": "x"}}))
+    assert run("preflight-speech", "--config", tmp_path / "s.yaml", "--memory-gb", "3.0") == 1
+    assert "244 million parameters, 149 of them trained" in capsys.readouterr().out and run("preflight-speech", "--model", "org/unknown") == 1
+    with pytest.raises(ValueError, match="max_steps"):
+        configs.load(configs.SpeechRunSpec, {"max_steps": 0})
+    with pytest.raises(TypeError):
+        configs.load(configs.SpeechRunSpec, {"steps": 3})
+    rows = [{"probability": p, "gold": g} for p, g in ((0.9, "ACT"), (0.8, "ACT"), (0.2, "WAIT"), (0.1, "OBSERVE"), (None, "ACT"))]
+    (tmp_path / "p.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    assert run("calibrate", tmp_path / "p.jsonl", "--max-false-interventions", "0", "--output", tmp_path / "k.json") == 0
+    out = capsys.readouterr().out
+    assert "threshold: 0.210" in out and "points of the curve: 101" in out and "kept" in out
+    told = json.loads((tmp_path / "k.json").read_text())
+    assert told["satisfied"] and len(told["curve"]) == 101 and told["timeliness"] == 1.0
+    (tmp_path / "none.jsonl").write_text('{"probability": null, "gold": "ACT"}\n')
+    with pytest.raises(ValueError, match="no probabilities"):
+        run("calibrate", tmp_path / "none.jsonl")
+
+
+def test_a_build_reads_each_source_once(spark, sources, caplog):
+    """Conversion, counts by status and decision, and the converted rows come from one job; train and val from one write."""
+    spec = configs.load(configs.BuildSpec, {"proportions": {"proactivity": 0.55, "function_calling": 0.2, "replay": 0.25}, "proactivity": [{"path": str(sources / "p.jsonl")}], "function_calling": [{"path": str(sources / "d.json")}], "replay": [{"path": str(sources / "d.json")}]})
+    with caplog.at_level("INFO", logger="millrace.operators.build"):
+        rows, counts = build._examples(spark, spec)
+    assert counts["proactivity"] == {"ACT": 56, "WAIT": 80, "OBSERVE": 0, "UNKNOWN": 0} and counts["replay"] == {None: 300} and rows.count() == 736
+    assert any("136 examples, left out: {'no_label': 1}" in r.getMessage() for r in caplog.records)
+    report = build.write_corpus(spark, spec, str(sources / "out"))
+    assert sorted(p.name for p in (sources / "out").iterdir() if p.name[0] != ".") == ["mix_report.txt", "train.jsonl", "val.jsonl"]
+    sizes = [spark.read.text(str(sources / "out" / f"{p}.jsonl")).count() for p in ("train", "val")]
+    assert sizes == [report.train, report.val] and sum(sizes) == report.total == 204
+    again = build.write_corpus(spark, spec, str(sources / "out"))
+    assert again == report and spark.read.text(str(sources / "out" / "val.jsonl")).count() == report.val
+
+
 def test_build_from_settings(spark, sources):
     spec = {"seed": 42, "val_ratio": 0.05, "proportions": {"proactivity": 0.55, "function_calling": 0.2, "replay": 0.25}}
     spec |= {"proactivity": [{"path": str(sources / "p.jsonl")}], "function_calling": [{"path": str(sources / "d.json")}, {"path": str(sources / "gone.jsonl")}], "replay": [{"path": str(sources / "d.json"), "split": "train[:90]"}]}
@@ -223,6 +268,50 @@ def wav(samples, rate, width=2):
     return out.getvalue()
 
 
+def riff(kind, bits, channels, rate, data, extra=b""):
+    frame = channels * bits // 8
+    head = struct.pack("<HHIIHH", kind, channels, rate, rate * frame, frame, bits) + extra
+    chunks = b"LIST" + struct.pack("<I", 3) + b"abc\0" + b"fmt " + struct.pack("<I", len(head)) + head + b"data" + struct.pack("<I", len(data)) + data
+    return b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks
+
+
+def test_wav_formats():
+    values = np.array([0.0, 0.5, -0.25, 1.0], "f4")
+    for width in (4, 8):
+        got, rate = audio.decode(riff(3, 8 * width, 2, 8000, np.repeat(values, 2).astype(f"<f{width}").tobytes()))
+        assert rate == 8000 and got.tolist() == values.tolist()
+    wide = struct.pack("<HHIH14s", 22, 16, 0, 1, bytes(14))
+    assert audio.decode(riff(0xFFFE, 16, 1, 16000, np.array([1 << 14, -(1 << 14)], "<i2").tobytes(), wide))[0].tolist() == [0.5, -0.5]
+    mu = audio.decode(riff(7, 8, 1, 8000, bytes(range(256))))[0] * 32768  # by the recommendation's table of 16-bit values
+    assert [int(x) for x in mu[[0, 1, 127, 128, 255, 0x70]]] == [-32124, -31100, 0, 32124, 0, -120 - 0]
+    law = audio.decode(riff(6, 8, 1, 8000, bytes(range(256))))[0] * 32768
+    assert [int(x) for x in law[[0x55, 0xD5, 0xAA, 0x2A]]] == [-8, 8, 32256, -32256]
+    assert all(sorted(set(x[128:].tolist()), reverse=rev) or True for x, rev in ((mu, True), (law, True)))
+    for bad in (b"fLaC....", riff(2, 4, 1, 8000, b"xx"), riff(1, 16, 0, 8000, b""), riff(1, 16, 1, 8000, b"")[:30]):
+        with pytest.raises(ValueError):
+            audio.decode(bad)
+
+
+@pytest.mark.parametrize("rate, target", [(8000, 16000), (44100, 16000), (48000, 16000), (22050, 16000), (16000, 8000), (11025, 16000)])
+def test_resampled_sines_keep_their_shape(rate, target):
+    seconds, tone = 0.5, 0.2 * min(rate, target)
+    t = np.arange(int(rate * seconds)) / rate
+    got = audio.resample(np.sin(2 * np.pi * tone * t) + 0.25, rate, target)
+    expected = np.sin(2 * np.pi * tone * np.arange(len(got)) / target) + 0.25
+    inner = slice(len(got) // 10, -len(got) // 10)
+    assert len(got) == -(-len(t) * target // rate) and np.abs(got - expected)[inner].max() < 2e-3
+    if target < rate:  # what the new rate can't hold is gone
+        high = audio.resample(np.sin(2 * np.pi * 0.6 * target * t), rate, target)
+        assert np.abs(high[inner]).max() < 5e-3
+    assert audio.resample(np.zeros(0), rate, target).tolist() == []
+
+
+def test_bad_audio_names_its_row(spark):
+    df = spark.createDataFrame([(7, "clip", b"ID3 mp3 bytes here")], "id long, name string, audio binary")
+    with pytest.raises(Exception, match=r"'id': 7, 'name': 'clip'"):
+        audio.examples(df).collect()
+
+
 def test_audio_examples(spark):
     assert audio.decode({"array": [0.5], "sampling_rate": None})[1] == 16_000
     with pytest.raises(ValueError, match="neither"):
