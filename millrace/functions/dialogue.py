@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -109,6 +110,14 @@ def render(messages: Column, open_turn: bool = False, template: Template = Templ
     return F.concat(turns, F.lit(t.answer)) if open_turn else turns
 
 
+def answer_in_window(messages: Column, window: int, template: Template = Template(), size: Callable[[Column], Column] = F.length) -> Column:
+    """Whether an answer begins before the window ends: what precedes the first one, rendered, is shorter, by characters or another
+    measure. Training cuts texts at the window, so other dialogues have nothing to learn from. False without an answer."""
+    first = F.array_position(F.transform(messages, lambda m: m["role"]), "assistant").cast("int")
+    before = render(F.slice(messages, F.lit(1), F.greatest(first - 1, F.lit(0))), True, template)
+    return F.coalesce((first > 0) & (size(before) < window), F.lit(False))
+
+
 def prompt_of(messages: Column) -> Column:
     """The messages that aren't the assistant's; a message without a role stays."""
     return F.filter(messages, lambda m: ~m["role"].eqNullSafe(F.lit("assistant")))

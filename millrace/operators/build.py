@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import re
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -16,7 +15,7 @@ from millrace.functions import labels
 from millrace.operators import convert, evaluate, fields, sampling
 from millrace.schemas import DECISIONS, PROACTIVE
 from millrace.sources import files
-from millrace.sources.configs import BuildSpec, DatasetSpec
+from millrace.sources.configs import BuildSpec, DatasetSpec, split_bounds
 from millrace.sources.scratch import scratch
 
 log = logging.getLogger(__name__)
@@ -44,14 +43,6 @@ class Report:
         return reports.mix(self.total, self.by_source, self.limiting, self.max_total, self.shortfall)
 
 
-def split_bounds(split: str) -> tuple[int, int | None]:
-    """Start and stop of a split's slice, as in train[:3000]; the whole split without one."""
-    m = re.fullmatch(r"[\w.-]+(?:\[(\d*):(\d*)\])?", split)
-    if m is None:
-        raise ValueError(f"split {split!r} is no name with an optional slice of rows")
-    return int(m[1] or 0), int(m[2]) if m[2] else None
-
-
 def load_rows(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
     """The rows of a source: a file of JSON lines, a JSON document or a Parquet folder; a slice of its split, then its limit.
     Rows come in the order in which the source is read."""

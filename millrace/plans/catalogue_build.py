@@ -9,6 +9,7 @@ from millrace.functions import sizes
 from millrace.operators import convert, leakage, reward, sampling
 from millrace.plans.catalogue import register, table
 from millrace.sources import files, interactions
+from millrace.sources.rowstream import shelf_rows
 from millrace.sources.scratch import scratch
 from millrace.streaming.memory import memories
 from millrace.streaming.reactions import reaction_windows
@@ -143,6 +144,12 @@ def repeat_passes(spark: SparkSession, sf: str) -> DataFrame:
     return files.repeat_passes(rows, 3, ["conv_id", "turn"], rows.count() * 5 // 2).select(F.col("pass").cast("long"), "conv_id", "turn")
 
 
+@register("shelf_slice", "select conv_id, turn, role, text from (select conv_id, turn, role, text from conversations limit 300 offset 100)")
+def shelf_slice(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows 100 to 400 of the table in its own order, by their numbers."""
+    return shelf_rows(spark, sf, "conversations[100:400]", task_rows=64).select("conv_id", "turn", "role", "text")
+
+
 @register("split_stats", "select count(*) as examples, sum(case when trim(coalesce(text, '')) = '' then 1 else 0 end)::bigint as empty_text from documents")
 def split_stats(spark: SparkSession, sf: str) -> DataFrame:
     return files.split_stats(table(spark, sf, "documents"), "text")

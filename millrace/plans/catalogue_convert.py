@@ -204,6 +204,14 @@ def chat_render(spark: SparkSession, sf: str) -> DataFrame:
     return base.select("conv_id", dialogue.render(F.col("messages"), open_turn=True).alias("rendered"))
 
 
+@register("answer_window", """select conv_id from (select conv_id, role, turn, text, min(case when role = 'assistant' then turn end) over (partition by conv_id) as first from conversations)
+  where first is not null group by conv_id having coalesce(sum(length('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10))) filter (turn < first), 0) + 22 < 300""")
+def answer_window(spark: SparkSession, sf: str) -> DataFrame:
+    """The dialogues whose first answer begins within 300 characters."""
+    base = convert.assembled(table(spark, sf, "conversations"), "conv_id", "turn")
+    return base.filter(dialogue.answer_in_window(F.col("messages"), 300)).select("conv_id")
+
+
 # --- situations and decisions ------------------------------------------------------------------------------------------
 
 _SITUATION = """'{"audio": {}, "memory": [], "observations": ["' || event_type || '", "a,b: \\"c\\""], "silence_sec": ' || value || '}'"""
@@ -309,10 +317,12 @@ _CASES = (
 )
 
 
-@register("decision_cases", "select * from (values " + ", ".join(f"({k}, '{t}', {v})" for k, (t, v) in enumerate(_CASES)) + ") t(k, answer, valid)")
+@register("decision_cases", "select event_id, answer, valid from events join (values " + ", ".join(f"({k}, '{t}', {v})" for k, (t, v) in enumerate(_CASES)) + f") t(k, answer, valid) on event_id % {len(_CASES)} = k")
 def decision_cases(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(_CASES)], "k int, answer string")
-    return rows.select("k", "answer", decisions.decision_valid(F.col("answer")).alias("valid"))
+    """Every event answered by one of the hard cases."""
+    cases = F.array(*[F.lit(t) for t, _ in _CASES])
+    rows = table(spark, sf, "events").select("event_id", F.get(cases, (F.col("event_id") % len(_CASES)).cast("int")).alias("answer"))
+    return rows.select("event_id", "answer", decisions.decision_valid(F.col("answer")).alias("valid"))
 
 
 @register("decision_rows", f"select event_id from {_VALID} where valid and event_id % 2 = 0")

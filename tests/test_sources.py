@@ -115,3 +115,43 @@ def test_equal_rows_straddle_a_cut(spark):
     split = {(r["part"], r["t"]): r["count"] for r in sampling.train_val_split(rows, 0.37, F.col("id")).groupBy("part", "t").count().collect()}
     assert sum(n for (p, _), n in split.items() if p == "val") == 851 and sum(split.values()) == 2300
     assert split.get(("val", "x"), 0) + split.get(("train", "x"), 0) == 700
+
+
+def test_shelf_slices_and_streams(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from millrace.sources import rowstream
+
+    shelf = tmp_path / "kk" / "data"
+    shelf.mkdir(parents=True)
+    at = 0
+    for name, n in (("train-0", 70), ("train-1", 1), ("train-2", 49)):
+        pq.write_table(pa.table({"k": range(at, at + n), "t": [f"t{k}" for k in range(at, at + n)]}), shelf / f"{name}.parquet", row_group_size=16)
+        at += n
+    pq.write_table(pa.table({"k": [999], "t": ["x"]}), shelf / "test-0.parquet")
+    rows = lambda split, **more: [r["k"] for r in rowstream.shelf_rows(spark, str(tmp_path), split, **more).orderBy("k").collect()]
+    assert rows("train") == list(range(120)) and rows("test") == [999]
+    assert rows("train[65:75]", task_rows=3) == list(range(65, 75)) and rows("train[118:400]") == [118, 119] and rows("train[300:]") == [] and rows("train[:5]") == [0, 1, 2, 3, 4]
+    assert rowstream.shelf_rows(spark, str(tmp_path), "train", task_rows=30).rdd.getNumPartitions() == 6
+    assert [tuple(r) for r in rowstream.shelf_rows(spark, str(tmp_path), "train[3:5]").select("t", "k").orderBy("k").collect()] == [("t3", 3), ("t4", 4)]
+    with pytest.raises(Exception, match="no Parquet file"):
+        rowstream.shelf_rows(spark, str(tmp_path), "validation").collect()
+    seen = []
+
+    def run(until):
+        stream = rowstream.shelf_rows(spark, str(tmp_path), "train[10:200]", streaming=True, task_rows=25)
+        q = stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda df, _: seen.append(sorted(r["k"] for r in df.collect()))).start()
+        try:
+            q.processAllAvailable()
+            if until:
+                until()
+                q.processAllAvailable()
+        finally:
+            q.stop()
+
+    more = lambda name, a, b: pq.write_table(pa.table({"k": range(a, b), "t": ["n"] * (b - a)}), shelf / name)
+    run(lambda: more("train-3.parquet", 120, 150))
+    more("train-4.parquet", 150, 230)
+    run(None)  # from the checkpoint on
+    assert [k for made in seen for k in made] == list(range(10, 200))
