@@ -55,16 +55,18 @@ class Settings:
     score must reach. faint: and share of the best path's. share: part of the selected text that the content element must
     hold. hold: part of an element's text that must be selected for the rest of it to be taken too. bonus: factor on the
     score of text in an article or main. doubt: factor on that of text in a marked subtree. most: part of the page's
-    scored text from which a subtree marked by words isn't marked any more."""
+    scored text from which a subtree marked by words isn't marked any more. beside: how many times as long as the selected blocks
+    are on average a block of an unselected path may be to be taken with them."""
 
     width: float = 1.0
     cut: float = 0.5
-    faint: float = 0.1
+    faint: float = 0.55
     share: float = 0.8
     hold: float = 0.15
-    bonus: float = 2.0
-    doubt: float = 0.05
+    bonus: float = 1.5
+    doubt: float = 0.15
     most: float = 0.5
+    beside: float = 2.0
 
 
 @dataclass(slots=True)
@@ -325,10 +327,11 @@ def main_text(page: str | None, settings: Settings = Settings()) -> str:
     text and punctuation of every tag path are smoothed over the page and fused; markup is one more factor: text in an
     article or main scores higher, text in subtrees that tag, role, class or id mark as no article lower, unless such a
     subtree even so holds most of the page's scored text. Paths whose mean score reaches a share of the ratios' standard
-    deviation, and of the best path's score, are selected (where all ratios are equal, all are). The content element is
+    deviation, and of the best path's score, are selected. The content element is
     the deepest grouping element with most of the selected text, and with it the article or main around it and sibling
     articles that hold selected text; where selected paths hold enough of its text, its other blocks, as headings and
-    list items, are taken too, marked ones aside. Elsewhere a block is taken if its path's own ratio, without its
+    list items, are taken too, but marked ones and those much longer than the selected: a long text that its path's ratios
+    don't select is no heading. Elsewhere a block is taken if its path's own ratio, without its
     neighbours', reaches the threshold.
     """
     s = settings
@@ -354,7 +357,7 @@ def main_text(page: str | None, settings: Settings = Settings()) -> str:
     scores = _path_means(blocks, [x * f for x, f in zip(plain, factor)])
     mean = sum(plain) / len(plain)
     deviation = math.sqrt(sum((x - mean) ** 2 for x in plain) / len(plain))
-    cut = max(s.cut * deviation, s.faint * max(scores)) if deviation > 1e-9 * mean else 0.0
+    cut = min(max(scores), max(s.cut * deviation, s.faint * max(scores)))
     chosen = [x >= cut for x in scores]
     selected = tree.sums(blocks, [n * c for n, c in zip(sizes, chosen)])
     best = max((n for n in tree.down if selected[n] >= s.share * selected[0] and tree.own[n].tag in GROUPS), key=lambda n: (tree.depth[n], -n))
@@ -374,10 +377,13 @@ def main_text(page: str | None, settings: Settings = Settings()) -> str:
     bare = {n for n in tops if tree.own[n].tag in WHOLE_PAGE}
     inside, doubted = tree.under(tops - bare), tree.under(marked)
 
+    picked = [n for n, c in zip(sizes, chosen) if c]
+    usual = sum(picked) / len(picked)
+
     def taken(b: _Block, c: bool, own: float) -> bool:
         n = b.element.number
         if n in inside or tree.group[n] in bare:
-            return c or n not in doubted
+            return c or n not in doubted and len(b.text) <= s.beside * usual
         return c and own >= cut
 
     return "\n".join(b.text for b, c, x, f in zip(blocks, chosen, raw, factor) if taken(b, c, x * f))

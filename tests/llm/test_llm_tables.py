@@ -281,7 +281,8 @@ def plain_text_of(page, s):
         r["score"] = sum(own) / len(own)
     mean = sum(r["plain"] for r in rows) / len(rows)
     deviation = math.sqrt(sum((r["plain"] - mean) ** 2 for r in rows) / len(rows))
-    cut = max(s.cut * deviation, s.faint * max(r["score"] for r in rows)) if deviation > 1e-9 * mean else 0
+    best_score = max(r["score"] for r in rows)
+    cut = min(best_score, max(s.cut * deviation, s.faint * best_score))
     for r in rows:
         r["on"] = r["score"] >= cut
     groups = ("article", "body", "div", "html", "section", "", "nav", "footer", "aside", "header")
@@ -301,10 +302,10 @@ def plain_text_of(page, s):
     headers = {i for i, (_, t, _) in places.items() if t == "header"} if tag not in ("body", "html", "", "article") else set()
     bare = {i for i in tops if places[i][1] in ("body", "html", "")}
     tops = {i for i in tops - bare if selected[i] >= s.hold * length[i]}
-    out = []
+    out, usual = [], [len(r["text"]) for r in rows if r["on"]]
     for k, r in enumerate(rows):
         if own_group[k] in bare or tops & set(r["ids"]):
-            keep = r["on"] or not r["marks"] - lifted - headers
+            keep = r["on"] or not r["marks"] - lifted - headers and len(r["text"]) <= s.beside * sum(usual) / len(usual)
         else:
             keep = r["on"] and r["t"] * (r["p"] + 1) * factor(r) >= cut
         out += [r["text"]] if keep else []
@@ -339,11 +340,20 @@ def test_extraction_equals_brute_force():
     assert kinds == {(True, False), (False, True), (False, False)}
 
 
-def test_ratios_decide(monkeypatch):
+@pytest.mark.parametrize("kind", ["constant", "nearly constant", "random", "few"])
+def test_ratios_decide(monkeypatch, kind):
+    """Other ratios give other texts: there is no branch that markup alone decides."""
     pages = [p for _, p in zip(range(200), iter(lambda rng=random.Random(9): random_page(rng), None))]
     before = [html_extract.main_text(p) for p in pages]
-    monkeypatch.setattr(html_extract, "path_ratios", lambda blocks: [(50.0, 1.0)] * len(blocks))
-    assert sum(html_extract.main_text(p) != x for p, x in zip(pages, before)) > 120
+    rng = random.Random(1)
+    one = {"constant": lambda: (50.0, 1.0), "nearly constant": lambda: (50 + rng.random() / 1000, 1.0), "random": lambda: (rng.uniform(1, 300), rng.uniform(0, 8)), "few": lambda: (rng.choice([2.0, 200.0]), 1.0)}[kind]
+
+    def other(blocks):
+        own = {}
+        return [own.setdefault(b.element.path, one()) for b in blocks]
+
+    monkeypatch.setattr(html_extract, "path_ratios", other)
+    assert sum(html_extract.main_text(p) != x for p, x in zip(pages, before)) > 80
 
 
 @pytest.mark.parametrize("page", ["<a " * 350_000, "<a x='" * 170_000, "<!" * 500_000, "<div>" * 200_000 + "deep", '<a ">"' * 170_000, "<b>" + "<div>" * 100_000 + "</b>" * 100_000, "<div>" * 100_000 + "</span>" * 100_000, "&" * 1_000_000, "<" * 1_000_000])
