@@ -11,12 +11,13 @@ from millrace.llm.staging import new_folder, release, remove, staged, staged_so_
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep, with their lines that pass. The verdicts are written first: a filter on them
-    would be pushed below the projections and evaluate the rules anew. Null and blank texts go; repeated rows are judged
-    each; null ids stay; a column named quality is dropped."""
-    kept = staged(quality.assess(docs), "pipeline-verdicts").filter("quality.kept")
-    text = F.col("quality.clean_text")
-    return kept.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).drop("quality")
+    """Documents that the line-first rules keep, with their lines that pass. A filter on the verdict would be pushed below the
+    projections and evaluate the rules anew; a text that fails is an empty list, which gives a row without a text, and these go. Null and blank
+    texts go; repeated rows are judged each; null ids stay; a column named quality is dropped."""
+    own = [c for c in docs.columns if c != "quality" and not c.startswith("_q_")]
+    told = quality.assess(docs).select(*own, F.col("quality.kept").alias("_q_kept"), F.col("quality.clean_text").alias("_q_clean"))
+    made = told.withColumn("_q_text", F.explode_outer(F.filter(F.array("_q_clean"), lambda x: F.col("_q_kept")))).filter("_q_text is not null")
+    return made.withColumns({"text": F.col("_q_text"), "n_chars": F.length("_q_text").cast("long")}).select(own if "n_chars" in own else [*own, "n_chars"])
 
 
 def _by_row(docs: DataFrame) -> tuple[DataFrame, str]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm.staging import discard, staged
+from millrace.llm.staging import discard, settled, staged, staged_so_far
 
 _BASE = 0x9E3779B97F4A7C13  # odd, 3 modulo 8: its powers differ in low bits
 _CHUNK = 1 << 20
@@ -288,7 +288,7 @@ def cluster(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id
     key, whose component is null unless a copy has a key. Rows with equal keys count each by their own text. An empty table gives no rows; other columns are ignored. Nothing that grows with the documents is collected or
     broadcast: only scalars and settings.broadcast tokens.
     """
-    s = settings
+    s, since = settings, staged_so_far()
     signed = staged(sign(docs, s, key, text), "ngram-signed")
     members = signed.filter("heavy is null").select("key", "node", "n")
     sizes = members.filter("node is not null").select("node", "n").distinct()
@@ -322,4 +322,5 @@ def cluster(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = named.join(smallest, "component").select("node", "component_id")
     out = members.join(of_node, "node", "left")
-    return out.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id"))
+    named = out.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id"))
+    return settled(named, "ngram-clusters", since)

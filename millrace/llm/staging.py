@@ -65,3 +65,12 @@ def release(spark: SparkSession, since: int) -> None:
     for path in _TABLES[since:]:
         remove(spark, path)
     del _TABLES[since:]
+
+
+def settled(df: DataFrame, label: str, since: int) -> DataFrame:
+    """df, staged, without the tables staged since then, which it was made of."""
+    out = staged(df, label)
+    for path in _TABLES[since:-1]:
+        remove(df.sparkSession, path)
+    del _TABLES[since:-1]
+    return out
