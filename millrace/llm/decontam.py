@@ -199,7 +199,7 @@ def _indexes(items: DataFrame, settings: Settings) -> Iterator[Index]:
         return
     blocks = -(-chars // settings.index_chars)
     spread = bare.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    df = bare.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    df = staged(bare.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n")), "decontam-terms")
     for k in range(blocks):
         here = spread.filter(F.col("block") == k)
         part = [(r["item_id"], r["text"]) for r in here.select("item_id", "text").sort("item_id", "text").collect()]
