@@ -319,7 +319,8 @@ def cluster(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id
     label = components(links)
     by_node = members.filter("node is not null").groupBy("node").agg(F.min("key").alias("least"))
     named = by_node.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Written, so that the join deals out its nodes itself and a large component can be split; behind the sums it couldn't.
+    smallest = staged(named.groupBy("component").agg(F.min("least").alias("component_id")), "ngram-smallest")
     of_node = named.join(smallest, "component").select("node", "component_id")
     out = members.join(of_node, "node", "left")
     named = out.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id"))
