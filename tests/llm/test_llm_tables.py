@@ -374,6 +374,27 @@ def test_html_odd_rows(spark):
 # --- shards ------------------------------------------------------------------------------------------------------------
 
 
+def plain_table(shards, slots):
+    """Each shard's whole preference list of slots, written out; in turns each takes the first of its list that nobody has."""
+    preferences = []
+    for name in shards:
+        digest = int(hashlib.md5(name.encode()).hexdigest(), 16)
+        start, step = digest % slots, digest // 2**64 % (slots - 1) + 1
+        preferences.append(sorted(range(slots), key=lambda x, start=start, step=step: (x - start) * pow(step, -1, slots) % slots))
+    taken = {}
+    while len(taken) < slots:
+        for k, order in enumerate(preferences):
+            free = [x for x in order if x not in taken]
+            if free:
+                taken[free[0]] = k
+    return [taken[x] for x in range(slots)]
+
+
+@pytest.mark.parametrize("shards, slots", [(["a"], 2), (["a", "b", "c"], 3), ([f"s{k}" for k in range(7)], 53), ([f"s{k}" for k in range(20)], 211)])
+def test_table_equals_written_out_preferences(shards, slots):
+    assert sharding.fill_table(shards, slots) == plain_table(shards, slots)
+
+
 def test_table_is_even_and_stable():
     names = [f"s{k}" for k in range(10)]
     table = sharding.fill_table(names, 1009)
@@ -539,3 +560,18 @@ def test_archive_round_trip(spark, tmp_path):
 def test_small_payloads_are_never_revisits(spark):
     rows = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], PAGES)
     assert {r["key"]: r["type"] for r in warc.archive(rows, least_bytes=3).collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+
+
+def test_repeated_digests_by_broadcast_and_by_shuffle(spark):
+    """One id on two payloads, payloads of very different lengths, and both ways of the join."""
+    html = ["a" * 300_000, "b", "b", "a" * 300_000, "c" * 50, None, ""]
+    rows = spark.createDataFrame([(k // 2, f"http://h/{k}", h) for k, h in enumerate(html)], PAGES)
+    records = warc.convert(warc.to_arc(rows))
+    told = []
+    for size in (0, 1 << 20):
+        marked = warc.mark_revisits(records, broadcast_bytes=size)
+        told.append(sorted((r["uri"], r["type"], r["refers_uri"], None if r["payload"] is None else len(r["payload"])) for r in marked.collect()))
+        assert ("BroadcastHashJoin" in marked._jdf.queryExecution().sparkPlan().toString()) == bool(size) or not size
+    assert told[0] == told[1]
+    assert [(t, u and u[-1]) for _, t, u, _ in told[0]] == [("response", None), ("response", None), ("revisit", "1"), ("revisit", "0"), ("response", None), ("response", None), ("revisit", "5")]
+    assert len(warc.archive(rows).collect()) == len(html)
