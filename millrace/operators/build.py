@@ -132,7 +132,14 @@ def _examples(spark: SparkSession, spec: BuildSpec) -> tuple[DataFrame, dict[str
     for part in (p for parts in made.values() for p in parts):
         log.info("%s: %d examples, left out: %s", part.path, part.counts.get["kept"], part.skipped or "none")
     counts = {role: {d: sizes.get[f"{role}:{d}"] for r, d in told if r == role} for role in ROLES}
-    return spark.read.parquet(path), counts
+    return _kept_at(spark, path), counts
+
+
+def _kept_at(spark: SparkSession, path: str) -> DataFrame:
+    """A table in the shared folder, and where it is, for who removes it."""
+    out = spark.read.parquet(path)
+    out.kept_at = path
+    return out
 
 
 def build_corpus(spark: SparkSession, spec: BuildSpec) -> tuple[DataFrame, Report]:
@@ -140,7 +147,8 @@ def build_corpus(spark: SparkSession, spec: BuildSpec) -> tuple[DataFrame, Repor
 
     Converted examples are written once to the shared folder, so that counts, cuts and rows are of the same rows; the parts too.
     """
-    rows, counts = _examples(spark, spec)
+    examples, counts = _examples(spark, spec)
+    rows = examples
     decided = {d: n for d, n in counts[ROLES[0]].items() if n}
     if spec.proactivity_balance:
         own = sampling.downsample_to_balance(rows.filter(F.col("source") == ROLES[0]), "decision", example_key(), spec.seed)
@@ -157,10 +165,11 @@ def build_corpus(spark: SparkSession, spec: BuildSpec) -> tuple[DataFrame, Repor
     parts = sampling.train_val_split(mixed, spec.val_ratio, F.concat("source", example_key()), spec.seed)
     sizes, path = Observation(), scratch(spark, "mixed")
     parts.observe(sizes, *[F.count_if(F.col("part") == p).alias(p) for p in PARTS]).write.parquet(path)
+    files.remove(spark, examples.kept_at)
     taken = {r["name"]: r["taken"] for r in plan}
     ceiling = sampling.mix_ceiling(alive).first()
     report = Report(sum(taken.values()), taken, ceiling["limiting"], ceiling["max_total"], {r["name"]: r["shortfall"] for r in plan if r["shortfall"] > 0}, **sizes.get)
-    return spark.read.parquet(path), report
+    return _kept_at(spark, path), report
 
 
 def write_corpus(spark: SparkSession, spec: BuildSpec, output: str) -> Report:
@@ -174,6 +183,7 @@ def write_corpus(spark: SparkSession, spec: BuildSpec, output: str) -> Report:
     for part in PARTS:
         files.replace(spark, f"{output}/_parts/part={part}", f"{output}/{part}.jsonl")
     files.remove(spark, f"{output}/_parts")
+    files.remove(spark, parts.kept_at)
     files.write_text(spark, f"{output}/mix_report.txt", report.describe())
     return report
 
