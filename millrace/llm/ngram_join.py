@@ -299,7 +299,7 @@ def cluster(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(lacking.select("node")).distinct()
     one = members.filter("node is not null").groupBy("node").agg(F.min("key").alias("key")).join(needed, "node")
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    own = texts.join(one, "key")
+    own = texts.join(one.hint("merge"), "key")  # one way at every size: what is needed grows with the documents
     if not members.groupBy("key").count().filter("count > 1").isEmpty():  # repeated rows
         own = own.dropDuplicates(["node", "text"])
     sets = staged(_sets(own, s), "ngram-sets")
