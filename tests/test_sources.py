@@ -155,3 +155,22 @@ def test_shelf_slices_and_streams(spark, tmp_path):
     more("train-4.parquet", 150, 230)
     run(None)  # from the checkpoint on
     assert [k for made in seen for k in made] == list(range(10, 200))
+
+
+def test_shelves_of_tables_in_folders(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from millrace.sources import rowstream
+
+    for table, first in (("talks", 0), ("part", 1000)):
+        (tmp_path / "own" / f"{table}.parquet").mkdir(parents=True)
+        for k in range(3):
+            pq.write_table(pa.table({"k": range(first + 10 * k, first + 10 * k + 10)}), tmp_path / "own" / f"{table}.parquet" / f"part-{k:04d}.parquet")
+        (tmp_path / "own" / f"{table}.parquet" / "_SUCCESS").touch()
+    pq.write_table(pa.table({"k": [7]}), tmp_path / "own" / "other.parquet")
+    rows = lambda split, **more: sorted(r["k"] for r in rowstream.shelf_rows(spark, f"{tmp_path}/", split, **more).collect())
+    assert rows("talks[8:22]", task_rows=4) == list(range(8, 22)) and rows("talks", config="own") == list(range(30))
+    assert rows("part[:12]") == list(range(1000, 1012)) and rows("other") == [7]
+    with pytest.raises(Exception, match="no Parquet file"):
+        rows("part-0001")
