@@ -174,3 +174,26 @@ def test_shelves_of_tables_in_folders(spark, tmp_path):
     assert rows("part[:12]") == list(range(1000, 1012)) and rows("other") == [7]
     with pytest.raises(Exception, match="no Parquet file"):
         rows("part-0001")
+
+
+def test_json_documents_by_partition(spark, tmp_path):
+    import glob
+
+    from millrace.plans import catalogue
+    from millrace.sources import files
+
+    items = spark.createDataFrame([(k,) for k in range(9)], "k long").repartition(4, "k").select(F.to_json(F.struct("k", F.lit('a,"]}').alias("t"))).alias("value"))
+    empty = items.rdd.glom().map(len).collect().count(0)
+    for head, tail in (("[", "]"), ('{"more": [1], "data": [', "]}")):
+        path = str(tmp_path / f"d{len(head)}")
+        files.write_json_documents(items, path, head, tail)
+        assert sorted(tuple(r) for r in files.read_json_document(spark, path).collect()) == [(k, 'a,"]}') for k in range(9)]
+        assert len(glob.glob(f"{path}/part-*")) == 4 and empty < 4
+    # The query's files follow the table's partitions, not its dialogues.
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:") + "/scratch/json-*/part-*"
+    for n, text in ((300, "x"), (2, None), (0, "x")):
+        talks = spark.createDataFrame([(k, 0, "user", text) for k in range(n)], "conv_id long, turn long, role string, text string")
+        talks.coalesce(1).write.parquet(str(tmp_path / f"t{n}" / "conversations.parquet"))
+        before = len(glob.glob(folder))
+        got = [tuple(r) for r in catalogue.queries()["json_document"](spark, str(tmp_path / f"t{n}")).collect()]
+        assert len(got) == 2 * n and len(glob.glob(folder)) - before <= 8 and {r[2] for r in got} <= {0, 1 if text else None}
