@@ -143,9 +143,9 @@ def _sweep(spark: SparkSession, args: argparse.Namespace) -> int:
 def _transcripts(spark: SparkSession, args: argparse.Namespace) -> int:
     rows = files.read_jsonl(spark, args.path, "reference string, hypothesis string")
     told = {}
-    for name, cut in (("wer", text.words), ("cer", text.characters)):
+    for name, cut, size in (("wer", text.words, F.size), ("cer", text.joined, F.length)):
         pairs = rows.select(*[cut(text.normalize(F.col(c))).alias(c) for c in ("reference", "hypothesis")])
-        aligned = pairs.select(F.size("reference").cast("long").alias("reference_length"), text.align("reference", "hypothesis").alias("a")).select("reference_length", "a.*")
+        aligned = pairs.select(size("reference").cast("long").alias("reference_length"), text.align("reference", "hypothesis").alias("a")).select("reference_length", "a.*")
         told[name] = evaluate.error_rate(aligned).first().asDict()
         print(reports.error_rate(told[name], name.upper()))
     if args.output:

@@ -124,8 +124,13 @@ def words(normalized: Column) -> Column:
     return F.when(normalized == "", F.array().cast("array<string>")).otherwise(F.split(normalized, " ", -1))
 
 
+def joined(normalized: Column) -> Column:
+    """What is compared by characters: a text without its spaces."""
+    return F.replace(normalized, F.lit(" "))
+
+
 def characters(normalized: Column) -> Column:
-    return F.filter(F.split(F.replace(normalized, F.lit(" ")), "", -1), lambda c: c != "")
+    return F.filter(F.split(joined(normalized), "", -1), lambda c: c != "")
 
 
 def align_expression(reference: Column, hypothesis: Column) -> Column:
@@ -220,16 +225,34 @@ def alignment(reference: Sequence, hypothesis: Sequence) -> tuple[int, int, int]
 _COUNTS = ("substitutions", "deletions", "insertions")
 
 
+_TOKENS = 1 << 18  # of the pairs of a batch that are held as lists at once; a longer pair stands alone
+
+
 @F.arrow_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in _COUNTS]))
 def align(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
-    """align_expression() for lists of any length, a batch at a time; a null list is empty."""
-    both = pa.concat_arrays([a.cast(pa.large_list(pa.large_string())).flatten() for a in (reference, hypothesis)])
+    """align_expression() for lists of any length, or for texts as lists of their characters, a bounded part of a batch at a time;
+    a null list or text is empty."""
+    texts = pa.types.is_string(reference.type) or pa.types.is_large_string(reference.type)
+    length = pa.compute.utf8_length if texts else pa.compute.list_value_length
+    sizes = [length(a).fill_null(0).cast(pa.int64()) for a in (reference, hypothesis)]
+    ends = pa.compute.cumulative_sum(pa.compute.add(*sizes)).to_numpy()
+    found, start, n = [], 0, len(ends)
+    while start < n:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(ends.searchsorted(before + _TOKENS, "right")))
+        own = [a.slice(start, stop - start) for a in (reference, hypothesis)]
+        found += [alignment(r, h) if r != h else (0, 0, 0) for r, h in zip(*((t or "" for t in a.to_pylist()) for a in own) if texts else _coded(own))]
+        start = stop
+    return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in (zip(*found) if found else ((), (), ()))], list(_COUNTS))
+
+
+def _coded(lists: list[pa.Array]) -> list[list[list[int]]]:
+    """Arrays of lists as lists of numbers, the same for equal tokens of all."""
+    both = pa.concat_arrays([a.cast(pa.large_list(pa.large_string())).flatten() for a in lists])
     codes = both.dictionary_encode().indices.to_pylist()
-    lists, at = [], 0
-    for a in (reference, hypothesis):
-        sizes = pa.compute.list_value_length(a).fill_null(0).to_pylist()
-        ends = [at, *(at + n for n in accumulate(sizes))]
-        lists.append([codes[x:y] for x, y in zip(ends, ends[1:])])
+    out, at = [], 0
+    for a in lists:
+        ends = [at, *(at + n for n in accumulate(pa.compute.list_value_length(a).fill_null(0).to_pylist()))]
+        out.append([codes[x:y] for x, y in zip(ends, ends[1:])])
         at = ends[-1]
-    found = [alignment(r, h) if r != h else (0, 0, 0) for r, h in zip(*lists)]
-    return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in (zip(*found) if found else ((), (), ()))], list(_COUNTS))
+    return out

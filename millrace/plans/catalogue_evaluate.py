@@ -171,17 +171,18 @@ def tokenize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _utterances(spark: SparkSession, sf: str, unit: str) -> DataFrame:
-    """Consecutive turns of a dialogue as reference and hypothesis, as whole lists of words or characters."""
+    """Consecutive turns of a dialogue as reference and hypothesis, as whole lists of words or texts of characters."""
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", text.normalize(F.col("text")).alias("n"))
     after = F.lead("n").over(Window.partitionBy("conv_id").orderBy("turn"))
     pairs = turns.withColumn("h", after).filter("h is not null")
-    split = text.words if unit == "words" else text.characters
+    split = text.words if unit == "words" else text.joined
     return pairs.select("conv_id", "turn", "role", split(F.col("n")).alias("reference"), split(F.col("h")).alias("hypothesis"))
 
 
 def _aligned(spark: SparkSession, sf: str, unit: str) -> DataFrame:
     rows = _utterances(spark, sf, unit)
-    return rows.select("conv_id", "turn", "role", F.size("reference").cast("long").alias("reference_length"), text.align("reference", "hypothesis").alias("a")).select("*", "a.*")
+    size = F.size if unit == "words" else F.length
+    return rows.select("conv_id", "turn", "role", size("reference").cast("long").alias("reference_length"), text.align("reference", "hypothesis").alias("a")).select("*", "a.*")
 
 
 def _alignment_sql(unit: str) -> str:

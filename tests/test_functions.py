@@ -187,3 +187,27 @@ def test_fields():
         fields.find_field(["a"], fields.LABEL, "label", override="b")
     assert fields.text_column(["text", "sentence"]) == "sentence" and fields.text_column(["a", "b"], "b") == "b"
     assert fields.corpus_format(["obs", "help_needed", "x"]) == "proactive" and fields.corpus_format(["x"]) == "generic"
+
+
+def test_alignment_of_texts_and_of_large_batches(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    random.seed(5)
+    pairs = [("".join(random.choices("abü😀", k=random.randrange(9))), "".join(random.choices("abü😀", k=random.randrange(9)))) for _ in range(60)] + [("", "a"), ("ab", ""), (None, "ab"), ("abc", None), (None, None)]
+    rows = spark.createDataFrame(pairs, "r string, h string").coalesce(1)
+    lists = [text.characters(F.coalesce(c, F.lit(""))).alias(c) for c in ("r", "h")]
+    told = rows.select(text.align("r", "h").alias("a")).collect()
+    assert told == rows.select(*lists).select(text.align("r", "h").alias("a")).collect()
+    # A batch is worked on part by part, and a part's lists go; the parts' results come in order.
+    same = pa.array([[str(k % 7) for k in range(400)]] * 4000, pa.list_(pa.string()))
+    odd = pa.concat_arrays([same.slice(0, 3999), pa.array([["x", "1"]], same.type)])
+    joined = [pa.array(["".join(x) for x in a.to_pylist()]) for a in (same, odd)]
+    for reference, hypothesis in ((same, odd), joined):
+        tracemalloc.start()
+        found = text.align.func(reference, hypothesis).to_pylist()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 12e6 and all(sum(x.values()) == 0 for x in found[:-1])
+        assert found[-1] == {"substitutions": 1, "deletions": 398, "insertions": 0}
