@@ -58,7 +58,7 @@ class _Known:
         self.add(own, lengths, ids[_ragged(starts, lengths)])
 
 
-_SHARED: dict[tuple[str, int], _Known] = {}  # a worker's tasks follow each other and share what is known
+_SHARED: dict[tuple[str, int], tuple[_Known, _Known]] = {}  # a worker's tasks follow each other and share what is known: words and their parts
 
 
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -72,9 +72,9 @@ class WordEncoder:
 
     Words are what ASCII white space separates; the file's normaliser (NFC, lower case) and its pre-tokeniser never
     reach across it, so a text's ids are its words' ids in order. Words are told apart by Arrow, a slice of texts at a time;
-    only words that a worker doesn't know yet reach the tokeniser, all of a slice in one call, and ids are gathered as
-    arrays. Memory is bounded: a slice has about 4 MB of text (a longer text is cut at white space), and a worker knows at
-    most cache_size words.
+    of words that a worker doesn't know yet, only the parts (by the pre-tokeniser) that it doesn't know either reach the model,
+    all of a slice in one call, and ids are gathered as arrays. Memory is bounded: a slice has about 4 MB of text (a longer text
+    is cut at white space), and a worker knows at most cache_size words and as many parts.
     """
 
     def __init__(self, path: str, eos: int, cache_size: int = 600_000) -> None:
@@ -97,7 +97,7 @@ class WordEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self._bytes = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)} | {10: _BREAK, 32: 32}
-        self._known = _SHARED.setdefault((self.path, self.cache_size), _Known(self.cache_size))
+        self._known, self._parts = _SHARED.setdefault((self.path, self.cache_size), (_Known(self.cache_size), _Known(self.cache_size)))
         self._ready = True
 
     def _learn(self, words: list[str]) -> None:
@@ -113,10 +113,25 @@ class WordEncoder:
         if not words:
             return
         parts = _WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower() + "\n")
-        shown = " ".join(parts).encode().decode("latin-1").translate(self._bytes)
-        ids = np.array(self._model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.uint32)
-        breaks = np.flatnonzero((ids[:-1] == self._break[0]) & (ids[1:] == self._break[1]))
-        self._known.add(words, np.diff(breaks, prepend=-2) - 2, np.delete(ids, np.concatenate([breaks, breaks + 1])))
+        at, distinct = self._parts.place, dict.fromkeys(parts)
+        at["\n"] = -1  # the line end between words is no part
+        new = [p for p in distinct if p not in at]
+        if len(at) + len(new) > self.cache_size:
+            self._parts.clear()
+            at = self._parts.place
+            at["\n"] = -1
+            new = [p for p in distinct if p != "\n"]
+        if new:
+            shown = "\n".join([*new, ""]).replace("\n", " \n ").encode().decode("latin-1").translate(self._bytes)
+            ids = np.array(self._model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.uint32)
+            breaks = np.flatnonzero((ids[:-1] == self._break[0]) & (ids[1:] == self._break[1]))
+            self._parts.add(new, np.diff(breaks, prepend=-2) - 2, np.delete(ids, np.concatenate([breaks, breaks + 1])))
+        place = np.fromiter(map(at.__getitem__, parts), np.int64, len(parts))
+        ends = np.flatnonzero(place < 0)
+        own = place[place >= 0]
+        lengths = self._parts.lengths[own]
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        self._known.add(words, np.diff(total[ends - np.arange(len(ends))], prepend=0), self._parts.ids[_ragged(self._parts.starts[own], lengths)])
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a slice, and where each text's begin and end."""

@@ -340,3 +340,35 @@ def test_decontamination_odd_rows(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(spark.createDataFrame(ODD, DOCS), empty).collect() == []
     assert decontam.contaminated(spark.createDataFrame([], DOCS), items).collect() == []
+
+
+def test_encoder_sends_only_unknown_parts_of_words_to_the_model():
+    import numpy as np
+
+    from millrace.llm.packing import WordEncoder
+    from millrace.llm.queries import EOS, TOKENIZER
+    import public_tokenizers
+
+    def ids(*texts, size=600_000):
+        return [np.frombuffer(x, "<u4").tolist() for x in WordEncoder(public_tokenizers.path(TOKENIZER), EOS, size)(list(texts))]
+
+    made = WordEncoder(public_tokenizers.path(TOKENIZER), EOS, 900_001)
+    list(made(["Zorbal 7 !! quex."]))
+
+    class Counted:
+        def __init__(self, model):
+            self.model, self.calls = model, 0
+
+        def encode_batch_fast(self, *args, **more):
+            self.calls += 1
+            return self.model.encode_batch_fast(*args, **more)
+
+    made._model = Counted(made._model)
+    texts = ["zorbal!! QUEX7. quexzorbal", "zorbal7quex.", None, "　 zorbal　quex"]
+    own = [np.frombuffer(x, "<u4").tolist() for x in made(texts[:1])]
+    assert made._model.calls == 1  # quexzorbal is a new part
+    assert len(list(made(texts[1:]))) == 3 and made._model.calls == 1
+    whole = made._whole
+    assert own == [[*whole.encode(texts[0], add_special_tokens=False).ids, EOS]]
+    for size in (600_000, 2):  # 2: what is known goes again and again
+        assert ids(*texts, size=size) == [[*whole.encode(t or "", add_special_tokens=False).ids, EOS] for t in texts]
