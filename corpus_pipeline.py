@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import decontam, ngram_join, packing, pii, quality
 from millrace.llm.queries import encoder
+from millrace.llm.sieve import without
 from millrace.llm.staging import new_folder, release, remove, staged, staged_so_far
 
 
@@ -40,10 +41,11 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = ngram_join.cluster(rows, key=name)
     if name != "doc_id":
         ids = rows.select(name, F.col("doc_id").isNull().alias("_null"), F.col("doc_id").alias("_id"))
-        found = found.join(ids, name).groupBy("component_id").agg(F.min(F.struct("_null", "_id", name))[name].alias(name))
+        stay = found.join(ids, name).groupBy("component_id").agg(F.min(F.struct("_null", "_id", name))[name].alias(name))
+        gone = found.join(stay, name, "left_anti")
     else:
-        found = found.filter("doc_id = component_id")
-    return rows.join(found.select(name), name, "left_semi").select(docs.columns)
+        gone = found.filter("doc_id <> component_id")
+    return without(rows, name, gone.select(name)).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     an item go, and a null id doesn't save one."""
     rows, name = _by_row(docs)
     found = decontam.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=name)
-    return rows.join(found.select(name).distinct(), name, "left_anti").select(docs.columns)
+    return without(rows, name, found.select(name).distinct()).select(docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm.staging import discard, settled, staged, staged_so_far
+from millrace.llm.sieve import sifted
+from millrace.llm.staging import discard, few_tasks, settled, staged, staged_so_far
 
 _BASE = 0x9E3779B97F4A7C13  # odd, 3 modulo 8: its powers differ in low bits
 _CHUNK = 1 << 20
@@ -161,18 +162,18 @@ def sign(docs: DataFrame, settings: Settings, key: str, text: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(node, n, tokens) of docs (key, node, text): the whole sets. Another text of an equal key doesn't give the node's set."""
+    """(node, lacking, n, tokens) of docs (node, lacking, text): the whole sets. Another text of an equal key doesn't give the node's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(settings.words)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                sets = [s.view(np.int64) for s in shingler.sets([(t.as_py() or "").encode() for t in part.column(1)])]
-                own = [(k, s) for k, s in zip(part.column(0).to_pylist(), sets) if _node(s) == k]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int32()), pa.array([s for _, s in own], pa.list_(pa.int64()))], ["node", "n", "tokens"])
+                sets = [s.view(np.int64) for s in shingler.sets([(t.as_py() or "").encode() for t in part.column(2)])]
+                own = [(k, x, s) for k, x, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), sets) if _node(s) == k]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in own], pa.int64()), pa.array([x for _, x, _ in own], pa.bool_()), pa.array([len(s) for _, _, s in own], pa.int32()), pa.array([s for _, _, s in own], pa.list_(pa.int64()))], ["node", "lacking", "n", "tokens"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, n int, tokens array<long>")
+    return docs.select("node", "lacking", "text").mapInArrow(run, "node long, lacking boolean, n int, tokens array<long>")
 
 
 def _least(n: Column, s: Settings) -> Column:
@@ -189,8 +190,8 @@ def _alike_sizes(a: Column, b: Column, s: Settings) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * s.percent)
 
 
-def _match(rows: DataFrame, sizes: DataFrame, frequent: DataFrame, level: int, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """One round: (pairs, unsatisfied nodes) of rows (token, node), the prefixes of this level, and sizes (node, n).
+def _match(rows: DataFrame, sizes: DataFrame, frequent: DataFrame, level: int, s: Settings, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """One round: (pairs, unsatisfied nodes) of rows (token, node), the prefixes of this level, and sizes (node, n). tasks: that write the shared tokens at most.
 
     frequent is a bounded list of tokens that are skipped at once; other tokens in more than s.bucket nodes are skipped
     after their count. Two linked documents share at least level tokens in these prefixes, so a document that has fewer
@@ -199,9 +200,10 @@ def _match(rows: DataFrame, sizes: DataFrame, frequent: DataFrame, level: int, s
     known = F.broadcast(frequent.select("token"))
     here = rows.join(known, "token", "left_anti").repartition("token").groupBy("token", "node").agg(F.lit(1).alias("one"))
     count = here.groupBy("token").agg(F.count("*").alias("df"))
-    shared = staged(here.join(count.filter("df > 1"), "token").select("token", "node", "df"), "ngram-shared")
+    shared = staged(here.join(count.filter("df > 1"), "token").select("token", "node", "df"), "ngram-shared", tasks)
+    tasks = few_tasks(shared)
     skipped = rows.join(known, "token", "left_semi").distinct().select("node").unionByName(shared.filter(F.col("df") > s.bucket).select("node"))
-    missing = staged(skipped.groupBy("node").agg(F.count("*").alias("skipped")).join(sizes, "node"), "ngram-missing")
+    missing = staged(skipped.groupBy("node").agg(F.count("*").alias("skipped")).join(sizes, "node"), "ngram-missing", tasks)
     lacking = missing.filter(F.col("skipped") >= F.least(F.lit(level), _least(F.col("n"), s)))
     few = shared.filter(F.col("df") <= s.bucket).select("token", "node")
     a, b = few.alias("a"), few.alias("b")
@@ -213,17 +215,26 @@ def _match(rows: DataFrame, sizes: DataFrame, frequent: DataFrame, level: int, s
     # A linked pair shares so many tokens; what lies beyond one of the prefixes, or was skipped by both, isn't seen here.
     beyond = lambda n: _least(n, s) - F.least(F.lit(level), _least(n, s))
     least = _pair_least(F.col("na"), F.col("nb"), s) - F.greatest(beyond(F.col("na")), beyond(F.col("nb"))) - F.least("skipped_a", "skipped_b")
-    pairs = staged(pairs.filter((F.col("shared") >= least) & _alike_sizes(F.col("na"), F.col("nb"), s)).select("a", "b"), "ngram-pairs")
+    pairs = staged(pairs.filter((F.col("shared") >= least) & _alike_sizes(F.col("na"), F.col("nb"), s)).select("a", "b"), "ngram-pairs", tasks)
     discard(shared)
     return pairs, lacking
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
+    """The pairs whose whole sets are similar enough. sets: staged, with other
+    columns or not; only those of these pairs are shuffled."""
+    tasks = few_tasks(sets)
+    pairs = staged(pairs, "ngram-candidates", tasks)
+    sets = sifted(sets.select("node", "n", "tokens"), "node", _ends(pairs))
     x = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     y = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
-    return both.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * s.percent).select("a", "b")
+    alike = both.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * s.percent)
+    return staged(alike.select("a", "b"), "ngram-links", tasks)
 
 
 def _frequent(rows: DataFrame, s: Settings) -> DataFrame:
@@ -246,7 +257,8 @@ def _remainder(lacking: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     alone = F.col("n") - F.size("t")  # tokens of this node only come first and meet nothing
     prefix = own.select("node", "n", (F.col("skipped") / F.col("n")).alias("weight")).join(ranked, "node").filter(width > alone)
     first = F.slice(F.sort_array("t"), 1, (width - alone).cast("int"))
-    prefix = staged(prefix.select("node", "n", "weight", alone.alias("alone"), F.posexplode(first).alias("k", "t")).select("t.token", "node", "n", "weight", (F.col("alone") + F.col("k") + 1).alias("rank")), "ngram-ranked")
+    prefix = staged(prefix.select("node", "n", "weight", alone.alias("alone"), F.posexplode(first).alias("k", "t")).select("t.token", "node", "n", "weight", (F.col("alone") + F.col("k") + 1).alias("rank")), "ngram-ranked", few_tasks(own))
+    tasks = few_tasks(prefix)
     # At the first token that two sets share, what is left of each bounds their intersection.
     within = lambda n, rank, other: n - rank + 1 >= _pair_least(n, other, s)
     found, comps = None, prefix.select("node").distinct().withColumn("component", F.col("node"))
@@ -254,7 +266,7 @@ def _remainder(lacking: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
         now = prefix.join(comps, "node")
         sizes = now.groupBy("token", "component").agg(F.count("*").alias("c"), F.max(F.struct("weight", "node", "n")).alias("top"))
         spread = sizes.groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "top", "component")).alias("lead"), F.count("*").alias("k")).filter("k > 1")
-        spread = staged(spread.select("token", F.col("lead.component").alias("lead_component"), F.col("lead.top.node").alias("leader"), F.col("lead.top.n").alias("leader_n"), "all", "same"), "ngram-spread")
+        spread = staged(spread.select("token", F.col("lead.component").alias("lead_component"), F.col("lead.top.node").alias("leader"), F.col("lead.top.n").alias("leader_n"), "all", "same"), "ngram-spread", tasks)
         open_pairs, open_rows = spread.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.lit(0.0)), F.coalesce(F.sum("all"), F.lit(0))).first()
         if open_pairs == 0:
             break
@@ -262,16 +274,16 @@ def _remainder(lacking: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
         if open_pairs <= 8 * open_rows or found is not None and merged == 0:  # noqa: F821
             a, b = mixed.alias("a"), mixed.alias("b")
             pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _alike_sizes(F.col("a.n"), F.col("b.n"), s) & within(F.col("a.n"), F.col("a.rank"), F.col("b.n")) & within(F.col("b.n"), F.col("b.rank"), F.col("a.n"))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-            last = staged(_verified(pairs, sets, s), "ngram-links")
+            last = _verified(pairs, sets, s)
             found = last if found is None else found.unionByName(last)
             break
         star = mixed.filter((F.col("component") != F.col("lead_component")) & _alike_sizes(F.col("n"), F.col("leader_n"), s) & within(F.col("n"), F.col("rank"), F.col("leader_n"))).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        links = staged(_verified(star, sets, s), "ngram-links")
+        links = _verified(star, sets, s)
         merged = links.count()
         found = links if found is None else found.unionByName(links)
         if merged:
-            new = components(found)
-            comps = staged(prefix.select("node").distinct().join(new, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "ngram-components")
+            new = components(found, tasks)
+            comps = staged(prefix.select("node").distinct().join(new, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "ngram-components", tasks)
     return found if found is not None else lacking.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
 
 
@@ -290,38 +302,42 @@ def cluster(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id
     """
     s, since = settings, staged_so_far()
     signed = staged(sign(docs, s, key, text), "ngram-signed")
-    members = signed.filter("heavy is null").select("key", "node", "n")
+    members = staged(signed.filter("heavy is null").select("key", "node", "n"), "ngram-members")
+    tasks = few_tasks(members)
     sizes = members.filter("node is not null").select("node", "n").distinct()
     rows = signed.filter("node is not null").select(F.explode("prefix").alias("token"), "node")
     heavy = signed.filter("heavy is not null").select(F.explode(F.arrays_zip("heavy", "times")).alias("h")).groupBy(F.col("h.heavy").alias("token")).agg(F.sum("h.times").alias("times"))
     frequent = staged(heavy.filter(F.col("times") > 4 * s.bucket).orderBy(F.desc("times"), "token").limit(s.broadcast), "ngram-frequent")
     pairs, lacking = _match(rows, sizes, frequent, s.levels[0], s)
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(lacking.select("node")).distinct()
-    one = members.filter("node is not null").groupBy("node").agg(F.min("key").alias("key")).join(needed, "node")
+    discard(signed)
+    needed = _ends(pairs).withColumn("lacking", F.lit(False)).unionByName(lacking.select("node", F.lit(True).alias("lacking"))).groupBy("node").agg(F.max("lacking").alias("lacking"))
+    one = staged(members.filter("node is not null").groupBy("node").agg(F.min("key").alias("key")).join(needed, "node").select("key", "node", "lacking"), "ngram-needed", tasks)
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    own = texts.join(one.hint("merge"), "key")  # one way at every size: what is needed grows with the documents
+    own = sifted(texts, "key", one).join(one.hint("merge"), "key")  # one way at every size: what is needed grows with the documents
     if not members.groupBy("key").count().filter("count > 1").isEmpty():  # repeated rows
         own = own.dropDuplicates(["node", "text"])
     sets = staged(_sets(own, s), "ngram-sets")
-    here = sets  # of the documents that are still to be matched, fewer each round
+    here = sets.filter("lacking").drop("lacking")  # of the documents that are still to be matched, fewer each round
     for level in s.levels[1:]:
         if lacking.isEmpty():
             break
         width = F.col("n") - _least(F.col("n"), s) + F.least(F.lit(level), _least(F.col("n"), s))
-        here = staged(here.join(lacking.select("node"), "node"), "ngram-sets")
+        if level != s.levels[1]:
+            left = lacking.select("node")
+            here = staged(sifted(here, "node", left).join(left.hint("merge"), "node"), "ngram-sets", few_tasks(sets))
         rows = staged(here.select(F.explode(F.slice("tokens", 1, width.cast("int"))).alias("token"), "node"), "ngram-prefix")
-        more, lacking = _match(rows, here.select("node", "n"), _frequent(rows, s), level, s)
+        more, lacking = _match(rows, here.select("node", "n"), _frequent(rows, s), level, s, few_tasks(rows))
         discard(rows)
         pairs = pairs.unionByName(more)
-    links = staged(_verified(pairs.distinct(), sets, s), "ngram-links")
+    links = _verified(pairs.distinct(), sets, s)
     if not lacking.isEmpty():
         links = links.unionByName(_remainder(lacking, here, s))
-    label = components(links)
+    label = components(links, tasks)
     by_node = members.filter("node is not null").groupBy("node").agg(F.min("key").alias("least"))
     named = by_node.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # Written, so that the join deals out its nodes itself and a large component can be split; behind the sums it couldn't.
-    smallest = staged(named.groupBy("component").agg(F.min("least").alias("component_id")), "ngram-smallest")
+    smallest = staged(named.groupBy("component").agg(F.min("least").alias("component_id")), "ngram-smallest", tasks)
     of_node = named.join(smallest, "component").select("node", "component_id")
     out = members.join(of_node, "node", "left")
     named = out.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id"))
-    return settled(named, "ngram-clusters", since)
+    return settled(named, "ngram-clusters", since, tasks)

@@ -30,13 +30,26 @@ def new_folder(spark: SparkSession, label: str) -> str:
 _TABLES: list[str] = []  # folders of staged tables that haven't been removed
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df, written once as Parquet and read back: a lost executor costs a re-read, not a recomputation.
+_FEW, _TASK_BYTES = 16, 2 << 20
+
+
+def few_tasks(*tables: DataFrame) -> int:
+    """Tasks for a table made of these staged ones: 16, and one more for each 2 MB that they take. Else every partition of a
+    shuffle writes a file, however few rows it has."""
+    total = 0
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        total += path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return _FEW + total // _TASK_BYTES
+
+
+def staged(df: DataFrame, label: str, tasks: int | None = None) -> DataFrame:
+    """df, written once as Parquet, by so many tasks at most, and read back: a lost executor costs a re-read, not a recomputation.
 
     The finished query's shuffle files are of no more use; the driver's garbage collection lets Spark delete them.
     """
     spark, path = df.sparkSession, new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.parquet(path)
     _TABLES.append(path)
     spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
@@ -67,9 +80,9 @@ def release(spark: SparkSession, since: int) -> None:
     del _TABLES[since:]
 
 
-def settled(df: DataFrame, label: str, since: int) -> DataFrame:
+def settled(df: DataFrame, label: str, since: int, tasks: int | None = None) -> DataFrame:
     """df, staged, without the tables staged since then, which it was made of."""
-    out = staged(df, label)
+    out = staged(df, label, tasks)
     for path in _TABLES[since:-1]:
         remove(df.sparkSession, path)
     del _TABLES[since:-1]
